@@ -31,7 +31,7 @@ from verdara.llm.common import materialize
 
 LIMIT = 2048
 GROUP = 20_000
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _PLAIN = re.compile("[\t\n\r -~¡-ÿ]*")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-z0-9ª²³µ¹º¼-¾ß-öø-ÿ]+")
 
@@ -41,38 +41,48 @@ class WordTokens(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Words are normalised and split already: the same model without those steps.
+        self.by_word = Tokenizer.from_file(path)
+        self.by_word.encode_special_tokens = True
+        self.by_word.normalizer = normalizers.Sequence([])
+        self.by_word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         n = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
 
-    def learn(self, words: list[str]) -> None:
-        """Encode the unknown of these words in one call; a word's ids end with a word-end token."""
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if not new:
-            return
+    def learn(self, new: list[str]) -> None:
+        """Encode unknown words in one call; a word's ids end with a word-end token."""
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = list(dict.fromkeys(words))
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.by_word.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         assert len(stops) == len(new), "the tokenizer split a word"
-        start = 0
-        for w, stop in zip(new, stops.tolist(), strict=True):
-            self[w] = ids[start:stop].tobytes()
+        raw, start = ids.tobytes(), 0
+        for w, stop in zip(new, (4 * stops).tolist(), strict=True):
+            self[w] = raw[start:stop]
             start = stop
 
-    def encode(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = _WORD.findall(text.lower())
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.__getitem__, words))
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian ids of each text."""
+        plain = [_WORD.findall(t.lower()) if t and _PLAIN.fullmatch(t) else None for t in texts]
+        get = self.get
+        found = [list(map(get, w)) if w else [] for w in plain]
+        new = {w for words, ids in zip(plain, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if new:
+            self.learn(list(new))
+        out = []
+        for text, words, ids in zip(texts, plain, found, strict=True):
+            if words is None:
+                out.append(self._whole(text))
+            else:
+                out.append(b"".join([self[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids))
+        return out
+
+    def _whole(self, text: str | None) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if text else b""
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -92,8 +102,10 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         tokens = word_tokens(path)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = tokens.encode(text or "") + b"\0\0\0\0"
+            texts = batch.column(1).to_pylist()
+            encoded = (x for at in range(0, len(texts), 64) for x in tokens.encode_all(texts[at : at + 64]))
+            for row, ids in enumerate(encoded):
+                ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     rows.append(row)
