@@ -6,8 +6,8 @@ the prefix before it is the one, since a BPE encoding is right exactly when all
 then read backwards from the last prefix. A pair is compatible when merging its joined text gives the pair
 back; pairs are remembered.
 
-A text splits into segments where no token can span: before a run of spaces that follows another character
-and around line feeds. Segments of up to `LONGEST` characters are remembered, within a fixed bound. Runs of
+A text splits into segments where no token can span: before a run of spaces that follows another character,
+around line feeds, and before marks that the vocabulary never has behind a letter. Segments of up to `LONGEST` characters are remembered, within a fixed bound. Runs of
 two or more spaces hold tokens of equal score, for which the table's argument fails; those segments are
 merged step by step in the library's order. Characters outside the vocabulary become their bytes' tokens.
 
@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
+NEVER = float("-inf")
 LONGEST = 48
-REMEMBERED = 300_000
-_SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+REMEMBERED = 400_000
 
 
 class PieceTable:
@@ -57,9 +57,30 @@ class PieceTable:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self._pairs: dict[int, bool] = {}
+        self.known = frozenset(p for p in self.ids if len(p) == 1)
+        marks = re.escape("".join(sorted(self._marks())))
+        first = f"{SPACE}*[{marks}][^{SPACE}\n]*|" if marks else ""
+        self.segment = re.compile(f"\n|{SPACE}*[^{SPACE}\n{marks}]+|{first}{SPACE}+")
+
+    def _marks(self) -> set[str]:
+        """Characters other than letters and digits that no piece has behind a character outside this set: a
+        segment may end before them."""
+        before: dict[str, set[str]] = {}
+        for p in self.ids:
+            for a, b in zip(p, p[1:], strict=False):
+                before.setdefault(b, set()).add(a)
+        marks = {p for p in self.ids if len(p) == 1 and p != SPACE and not p.isalnum()}
+        while bad := {m for m in marks if before.get(m, set()) - marks - {SPACE}}:
+            marks -= bad
+        return marks
+
+    def segments(self, text: str) -> list[str]:
+        return self.segment.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def merged(self, text: str) -> list[str]:
         """Merge step by step: the best scored neighbours first, the leftmost on a tie."""
+        if len(text) <= 24:
+            return self._merged_short(text)
         parts: list[str | None] = list(text)
         left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -84,6 +105,24 @@ class PieceTable:
             offer(a, right[a])
         return [p for p in parts if p is not None]
 
+    def _merged_short(self, text: str) -> list[str]:
+        """The same without a heap: the scores of neighbours in a list."""
+        get = self.score.get
+        parts = list(text)
+        scores = [get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores:
+            best = max(scores)
+            if best == NEVER:
+                break
+            k = scores.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], NEVER)
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], NEVER)
+        return parts
+
     def compatible(self, a: int, b: int) -> bool:
         key = a << 20 | b
         known = self._pairs.get(key)
@@ -98,20 +137,28 @@ class PieceTable:
         """Ids of a segment whose characters are all in the vocabulary, by the prefix table."""
         n = len(segment)
         last, width = [-1] * (n + 1), [0] * (n + 1)
-        compatible = self.compatible
+        pairs = self._pairs
         for end, (token, size) in self.automaton.iter(segment):
-            stop = end + 1
-            if last[stop] < 0:
-                start = stop - size
-                if start == 0 or (last[start] >= 0 and compatible(last[start], token)):
-                    last[stop], width[stop] = token, size
+            if last[end + 1] >= 0:
+                continue
+            start = end + 1 - size
+            if start:
+                if (before := last[start]) < 0:
+                    continue
+                fits = pairs.get(before << 20 | token)
+                if not (self.compatible(before, token) if fits is None else fits):
+                    continue
+            last[end + 1], width[end + 1] = token, size
         out = []
         while n:
             out.append(last[n])
             n -= width[n]
-        return out[::-1]
+        out.reverse()
+        return out
 
     def encode_segment(self, segment: str) -> list[int]:
+        if SPACE * 2 not in segment and self.known.issuperset(segment):
+            return self.prefix_ids(segment)
         ids, out, run = self.ids, [], []
 
         def flush() -> None:
@@ -174,14 +221,10 @@ def remembered(path: str) -> _Remembered:
     return _TABLES[path]
 
 
-def segments(text: str) -> list[str]:
-    return _SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
 def encode(text: str | None, path: str) -> list[int]:
     """Ids of a text with the end id."""
     memory = remembered(path)
-    return [int(i) for s in segments(text or "") for i in memory[s][0].split()] + [memory.table.end]
+    return [int(i) for s in memory.table.segments(text or "") for i in memory[s][0].split()] + [memory.table.end]
 
 
 def decode(ids: list[int], path: str) -> str:
@@ -195,7 +238,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         memory = remembered(path)
         end = str(memory.table.end)
-        get = memory.__getitem__
+        get, segments = memory.__getitem__, memory.table.segments
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
