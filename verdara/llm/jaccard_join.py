@@ -10,8 +10,9 @@
 4. Second round. Only lists whose members still lie in different components give more pairs, only across
    components, and only those not verified before. Any link shares a posting list, so its ends are in one
    component or are verified: components are exact, though a group of m near copies costs about m pairs.
-5. Verification joins the two sets, tries the suffix filter (lower bounds of the difference from splits of
-   the sorted hashes), then counts the intersection.
+5. Pairs pass a suffix filter on counts by hash range that nodes carry, so few texts move. Verification joins
+   the two texts, tries the suffix filter again (lower bounds of the difference from splits of the sorted
+   hashes), then counts the intersection.
 
 Links are whole for components; `links` holds the verified ones. Components are found by alternating large-star
 and small-star steps on tables in the shared folder.
@@ -34,6 +35,7 @@ from verdara.llm.common import materialize
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
+BINS = 64
 
 
 @dataclass(frozen=True)
@@ -115,61 +117,63 @@ def count_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, like: Likeness, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, sig, prefix (shingles rare first) of each document; sig and prefix null for an empty set."""
+    """doc_id, n, sig, prefix (shingles rare first), bins of each document; the last three null for an empty set."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch)
     mask = np.uint64(len(sketch) - 1)
 
     def run(batches):
         rank = counts.value
         for batch in batches:
-            n, sig, prefix = [], [], []
+            n, sig, prefix, bins = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, like.words)
                 n.append(len(s))
                 if not len(s):
                     sig.append(None)
                     prefix.append(None)
+                    bins.append(None)
                     continue
                 order = np.argsort(rank[(s & mask).astype(np.int64)], kind="stable")
                 sig.append(signature(s))
                 prefix.append(s[order[: like.prefix(len(s))]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "prefix"])
+                # Counts that stop at 255 still bound the difference from below.
+                bins.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bins, pa.binary())], ["doc_id", "n", "sig", "prefix", "bins"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, sig binary, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, sig binary, prefix array<bigint>, bins binary")
 
 
-def _wanted_bits(sigs: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each signature's low bits: a filter of fixed size that only saves work."""
+def _wanted_bits(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each doc_id's hash: a filter of fixed size that only saves work."""
 
     def run(batches):
         seen = np.zeros(1 << bits, bool)
         for batch in batches:
-            for sig in batch.column(0).to_pylist():
-                seen[int.from_bytes(sig[:8], "little") & ((1 << bits) - 1)] = True
+            seen[batch.column(0).to_numpy()] = True
         made = list(_blocks(seen, "u1"))
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], ["block", "values"])
 
-    return np.packbits(_gathered(sigs.select("sig").mapInArrow(run, "block int, values binary"), 1 << bits, "u1") > 0)
+    places = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("at"))
+    return np.packbits(_gathered(places.mapInArrow(run, "block int, values binary"), 1 << bits, "u1") > 0)
 
 
-def _sets(docs: DataFrame, sigs: DataFrame, like: Likeness, bits: int = 22) -> DataFrame:
-    """(sig, items) for at least the signatures asked for, one row each."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_wanted_bits(sigs, bits))
+def _texts(docs: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
+    """(node, sig, text) of the nodes' representatives; wanted has node, sig and the doc_id that stands for it.
+
+    The filter keeps all but few other texts out of the shuffle. A doc_id that several rows share brings
+    several texts; those that don't have the node's signature are left out at verification.
+    """
+    seen = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted, bits))
 
     def run(batches):
-        have = np.unpackbits(wanted.value)
+        have = np.unpackbits(seen.value).astype(bool)
         for batch in batches:
-            sig, items = [], []
-            for text in batch.column(0).to_pylist():
-                s = shingles(text, like.words)
-                if len(s):
-                    d = signature(s)
-                    if have[int.from_bytes(d[:8], "little") & ((1 << bits) - 1)]:
-                        sig.append(d)
-                        items.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(items, pa.binary())], ["sig", "items"])
+            part = batch.filter(pa.array(have[batch.column(2).to_numpy()]))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["doc_id", "text"])
 
-    return docs.select("text").mapInArrow(run, "sig binary, items binary").groupBy("sig").agg(F.first("items").alias("items"))
+    near = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("at")).mapInArrow(run, docs.select("doc_id", "text").schema)
+    wanted = wanted.withColumnRenamed("doc_id", "_id")
+    return near.join(wanted, near["doc_id"].eqNullSafe(wanted["_id"])).select("node", "sig", "text")
 
 
 def suffix_difference(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -190,21 +194,62 @@ def linked(x: np.ndarray, y: np.ndarray, like: Likeness) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs whose sets, counted by the top bits of their hashes, don't differ too much to be linked.
+
+    This is the suffix filter's bound with fixed splits of the hash range, tried before any text moves: the
+    sum of the counts' differences is at most that of the sets.
+    """
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("bins").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("bins").alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for k in (3, 5))
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            most = total - 2 * -(-like.num * total // (like.den + like.num))
+            keep = pa.array(np.abs(x - y).sum(axis=1) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "x", "ny", "y").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     """Of the (a, b) pairs of nodes those that are linked."""
+    pairs = materialize(plausible(pairs, nodes, like), "jaccard-plausible")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(ends.join(nodes.select("node", "sig"), "node"), "jaccard-wanted")
-    sets = _sets(docs, wanted, like).join(wanted, "sig").select("node", "items")
-    sets = materialize(sets, "jaccard-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    wanted = materialize(ends.join(nodes.select("node", "sig", F.col("min_doc").alias("doc_id")), "node"), "jaccard-wanted")
+    texts = materialize(_texts(docs, wanted), "jaccard-texts")
+    left = texts.select(F.col("node").alias("a"), F.col("sig").alias("sx"), F.col("text").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("sig").alias("sy"), F.col("text").alias("y"))
 
     def run(batches):
+        known: dict[int, np.ndarray | None] = {}  # sets of nodes just met, a few MB at most
+        held = 0
+
+        def items(node: int, sig: bytes, text: str) -> np.ndarray | None:
+            nonlocal held
+            if node not in known:
+                s = shingles(text, like.words)
+                if held + len(s) > 1_000_000:
+                    known.clear()
+                    held = 0
+                held += len(s)
+                if signature(s) != sig:
+                    return None  # another text of the same doc_id
+                known[node] = s
+            return known[node]
+
         for batch in batches:
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), like) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            a, b, sx, sy, x, y = (batch.column(k).to_pylist() for k in range(6))
+            keep = []
+            for row in zip(a, sx, x, b, sy, y, strict=True):
+                p, q = items(*row[:3]), items(*row[3:])
+                keep.append(p is not None and q is not None and linked(p, q, like))
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sx", "sy", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,7 +293,7 @@ def _filters(nx, ny, px, py, like: Likeness):
 def jaccard_join(docs: DataFrame, like: Likeness = Likeness(), bits: int = 20) -> Joined:
     docs = docs.select("doc_id", "text")
     profile = materialize(profiles(docs, like, count_sketch(docs, like.words, bits)), "jaccard-profiles")
-    by_sig = profile.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("min_doc"), F.first("prefix").alias("prefix"))
+    by_sig = profile.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("min_doc"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
     nodes = materialize(by_sig.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")
     posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     star = posts.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("p"), F.count("*").alias("m")).where("m > 1")
