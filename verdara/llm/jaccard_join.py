@@ -284,9 +284,10 @@ class Joined:
 
 
 def _filters(nx, ny, px, py, like: Likeness):
-    """Length filter, and the bound on the intersection that a common shingle's places allow."""
+    """Length filter, and the bound on the intersection if this common shingle is the pair's first: no earlier
+    one is shared, so what follows it in the shorter rest bounds the whole. Every link passes at its first."""
     small, large = F.least(nx, ny), F.greatest(nx, ny)
-    upper = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
+    upper = F.least(nx - px, ny - py)
     return (like.den * small >= like.num * large) & (upper * (like.den + like.num) >= like.num * (nx + ny))
 
 
