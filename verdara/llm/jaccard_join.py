@@ -336,12 +336,19 @@ def components_of(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 def thin(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """`docs` with one document of each component, the one with the least doc_id; columns as they were.
 
-    Documents without a set stay. Rows that repeat the least doc_id are thinned to one.
+    Documents without a set stay. Rows that share a doc_id are judged together: if one of them is its
+    component's least, one row for each of their texts stays, else none.
     """
     from pyspark.sql import Window
 
-    found = materialize(components_of(docs, like), "jaccard-members")
-    stay = found.where("n_shingles = 0 or doc_id <=> component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.max(F.col("n_shingles") > 0).alias("_in_set"))
-    rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rows.withColumn("_n", n).where("not _in_set or _n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = components_of(docs, like).groupBy("doc_id").agg(F.max((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n"))
+    found = materialize(found, "jaccard-members")
+    # The ids to take out are written, so that their size is known: few are broadcast, many are not.
+    out = materialize(found.where("not stays or n > 1").select(F.col("doc_id").alias("_out")), "jaccard-out")
+    kept = docs.join(out, docs["doc_id"].eqNullSafe(out["_out"]), "left_anti")
+    shared = materialize(found.where("stays and n > 1").select(F.col("doc_id").alias("_shared")), "jaccard-shared")
+    if shared.isEmpty():
+        return kept
+    rows = docs.join(shared, docs["doc_id"].eqNullSafe(shared["_shared"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).orderBy(F.lit(1)))
+    return kept.unionByName(rows.withColumn("_n", first).where("_n = 1").drop("_n"))
