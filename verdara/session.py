@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: ANSI stays on; timestamps are UTC; AQE coalesces, splits skew and switches joins.
@@ -21,3 +26,16 @@ def build_session(app: str = "verdara", master: str | None = None, **conf: str)
     for key, value in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application, unless PYTHONPATH already names it."""
+    root = Path(__file__).resolve().parents[1]
+    if spark.sparkContext.applicationId in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    made = shutil.make_archive(os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="verdara-")), "verdara"), "zip", root, "verdara")
+    spark.sparkContext.addPyFile(made)
+    _SHIPPED.add(spark.sparkContext.applicationId)
