@@ -217,11 +217,18 @@ class Identifier:
 
 
 def sample(train: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """(lang, text) of the bounded training sample, from rows with doc_id, text and lang."""
-    rows = train.where(F.col("lang").isNotNull() & (F.char_length("text") <= FIT_CHARS)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    by = Window.partitionBy("lang").orderBy("h", "text")
-    rows = rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_lang)
-    return [(r["lang"], r["text"]) for r in rows.select("lang", "text", "h").orderBy("lang", "h").toLocalIterator()]
+    """(lang, text) of the bounded training sample, from rows with doc_id, text and lang.
+
+    Ids are chosen first, so the window by language carries no text; a doc_id counts once.
+    """
+    fits = train.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.char_length("text") <= FIT_CHARS))
+    by = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = fits.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_lang)
+    chosen = [r["doc_id"] for r in ids.select("doc_id").collect()]  # at most per_lang a language
+    if not chosen:
+        return []
+    rows = fits.where(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x"), F.xxhash64("doc_id").alias("h"))
+    return [(r["lang"], r["text"]) for r in sorted(rows.select("x.lang", "x.text", "h", "doc_id").collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"]))]
 
 
 def fit(pairs: list[tuple[str, str]]) -> Identifier:
