@@ -218,7 +218,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     by = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = marks.withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_class).select("doc_id", "y")
     chosen = {r["doc_id"]: r["y"] for r in chosen.collect()}  # at most 2 * per_class
-    rows = docs.where(F.col("doc_id").isin(list(chosen)) & (F.char_length("text") <= FIT_CHARS)).select("doc_id", "text").collect() if chosen else []
+    rows = docs.where(F.col("doc_id").isin(list(chosen)) & (F.char_length("text") <= FIT_CHARS)).groupBy("doc_id").agg(F.min("text").alias("text")).collect() if chosen else []
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [chosen[r["doc_id"]] for r in rows]
 
