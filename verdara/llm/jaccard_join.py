@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import materialize
+from verdara.llm.common import materialize, settings
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
@@ -227,10 +227,10 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Likeness)
         known: dict[int, np.ndarray | None] = {}  # sets of nodes just met, a few MB at most
         held = 0
 
-        def items(node: int, sig: bytes, text: str) -> np.ndarray | None:
+        def items(node: int, sig: bytes, text: pa.StringScalar) -> np.ndarray | None:
             nonlocal held
             if node not in known:
-                s = shingles(text, like.words)
+                s = shingles(text.as_py(), like.words)
                 if held + len(s) > 1_000_000:
                     known.clear()
                     held = 0
@@ -241,7 +241,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Likeness)
             return known[node]
 
         for batch in batches:
-            a, b, sx, sy, x, y = (batch.column(k).to_pylist() for k in range(6))
+            a, b, sx, sy = (batch.column(k).to_pylist() for k in range(4))
+            x, y = batch.column(4), batch.column(5)  # a text is decoded only if its set isn't known
             keep = []
             for row in zip(a, sx, x, b, sy, y, strict=True):
                 p, q = items(*row[:3]), items(*row[3:])
@@ -249,7 +250,9 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Likeness)
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sx", "sy", "x", "y").mapInArrow(run, "a long, b long")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "sx", "sy", "x", "y").mapInArrow(run, "a long, b long")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch="4m"):
+        return materialize(found, "jaccard-verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -304,7 +307,7 @@ def jaccard_join(docs: DataFrame, like: Likeness = Likeness(), bits: int = 20) -
     near = _filters(F.col("n"), F.col("p_n"), F.col("pos"), F.col("p_pos"), like)
     first = lists.where((F.col("node") != F.col("p_node")) & near).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
     first = materialize(first, "jaccard-pairs")
-    links = materialize(verify(first, nodes, docs, like), "jaccard-links")
+    links = verify(first, nodes, docs, like)
     roots = materialize(components(links), "jaccard-roots")
 
     placed = lists.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
