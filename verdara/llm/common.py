@@ -45,9 +45,13 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write `df` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Once the table is written nothing reads the shuffles that made it, so their files go at once.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
