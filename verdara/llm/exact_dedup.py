@@ -88,9 +88,20 @@ def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    decided = exact_dedup(docs, capacity).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha")).distinct()
+    by_row = exact_dedup(docs, capacity).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    decided = materialize(by_row.agg(F.max("kept").alias("stays"), F.count("*").alias("n")), "dedup-decided")
+    # Written, so that its size is known: few ids to take out are broadcast, many are not.
+    out = materialize(decided.where("not stays or n > 1").select("_id", "_sha"), "dedup-out")
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("_sha_own", F.sha2(norm.cast("binary"), 256))
-    rows = rows.join(decided, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha_own") == F.col("_sha")))
-    first = Window.partitionBy("doc_id", "_sha").orderBy(F.lit(1))
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    sha = F.sha2(norm.cast("binary"), 256)
+
+    def match(ids: DataFrame, how: str) -> DataFrame:
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]) & (sha == ids["_sha"]), how)
+
+    kept = match(out, "left_anti")
+    shared = materialize(decided.where("stays and n > 1").select("_id", "_sha"), "dedup-shared")
+    if shared.isEmpty():
+        return kept
+    nth = "_n" + "_" * max(map(len, docs.columns))  # longer than any name, so it clashes with none
+    numbered = match(shared, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.lit(1))))
+    return kept.unionByName(numbered.where(F.col(nth) == 1).drop(nth))
