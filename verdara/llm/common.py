@@ -14,6 +14,8 @@ from verdara.session import ship
 
 _OWN: dict[str, str] = {}
 
+SMALL_BATCHES = {"spark__sql__execution__arrow__maxBytesPerBatch": "4m"}
+
 
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a local master only."""
@@ -44,17 +46,28 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+def write_at(df: DataFrame, path: str) -> DataFrame:
+    """Write `df` as Parquet at a path of the shared folder and read it back.
 
-    Once the table is written nothing reads the shuffles that made it, so their files go at once.
+    Once the table is written nothing reads the shuffles that made it, so their files go at once. Rows cross
+    to Python in batches of 4 MB, since a worker holds a few copies of its batch.
     """
-    path = shared_path(df.sparkSession, name)
-    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **SMALL_BATCHES):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    return write_at(df, shared_path(df.sparkSession, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the queries; the package goes to the workers first."""
     ship(spark)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import materialize, settings
+from verdara.llm.common import SMALL_BATCHES, materialize, settings
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
@@ -89,8 +89,9 @@ def _gathered(rows: DataFrame, size: int, dtype: str) -> np.ndarray:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
 
     out = np.zeros(size, "<i4")
-    for r in rows.groupBy("block").applyInArrow(add, "block int, values binary").toLocalIterator():
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["values"], "<i4")
+    with settings(rows.sparkSession, **SMALL_BATCHES):
+        for r in rows.groupBy("block").applyInArrow(add, "block int, values binary").toLocalIterator():
+            out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["values"], "<i4")
     return out
 
 
@@ -251,8 +252,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Likeness)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "sx", "sy", "x", "y").mapInArrow(run, "a long, b long")
-    with settings(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch="4m"):
-        return materialize(found, "jaccard-verified")
+    return materialize(found, "jaccard-verified")
 
 
 def components(links: DataFrame) -> DataFrame:
