@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import SMALL_BATCHES, materialize, settings
+from verdara.llm.common import SMALL_BATCHES, materialize, remove, settings, shared_path, write_at
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
@@ -296,9 +296,12 @@ def _filters(nx, ny, px, py, like: Likeness):
 
 def jaccard_join(docs: DataFrame, like: Likeness = Likeness(), bits: int = 20) -> Joined:
     docs = docs.select("doc_id", "text")
-    profile = materialize(profiles(docs, like, count_sketch(docs, like.words, bits)), "jaccard-profiles")
+    heavy = shared_path(docs.sparkSession, "jaccard-profiles")
+    profile = write_at(profiles(docs, like, count_sketch(docs, like.words, bits)), heavy)
     by_sig = profile.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("min_doc"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
     nodes = materialize(by_sig.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")
+    profile = materialize(profile.select("doc_id", "n", "sig"), "jaccard-rows")
+    remove(docs.sparkSession, heavy)  # its prefixes now stand with the nodes
     posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     star = posts.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("p"), F.count("*").alias("m")).where("m > 1")
     star = star.select("token", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
