@@ -126,3 +126,37 @@ def colour_index(v: Column, low: float = -0.2, high: float = 0.9) -> Column:
 def decimate(pixels: DataFrame, longest: int, max_dim: int) -> DataFrame:
     step = max(1, -(-longest // max_dim))
     return pixels.where((F.col("row") % step == 0) & (F.col("col") % step == 0))
+
+
+def resample_nearest(cells: DataFrame, source: DataFrame, resolution: float, left: float, top: float) -> DataFrame:
+    """cells (row, col, x, y of the centre) with the value of the source cell that holds the centre.
+
+    source: key, row, col, value on the lattice that starts at (left, top). One equi-join on the source cell,
+    so both sides shuffle by it at most once; cells that no source cell holds have no rows.
+    """
+    at = cells.withColumns({"_c": F.floor((F.col("x") - left) / resolution), "_r": F.floor((top - F.col("y")) / resolution)})
+    src = source.select("key", F.col("row").alias("_sr"), F.col("col").alias("_sc"), "value")
+    return at.join(src, (F.col("_r") == F.col("_sr")) & (F.col("_c") == F.col("_sc"))).select("key", "row", "col", "value")
+
+
+def resample_bilinear(cells: DataFrame, source: DataFrame, resolution: float, left: float, top: float) -> DataFrame:
+    """As resample_nearest, with the mean of the four cells about the centre by their distance; missing ones have no weight."""
+    at = cells.withColumns({"_u": (F.col("x") - left) / resolution - 0.5, "_v": (top - F.col("y")) / resolution - 0.5})
+    at = at.withColumns({"_c": F.floor("_u"), "_r": F.floor("_v")})
+    u, v = F.col("_u") - F.col("_c"), F.col("_v") - F.col("_r")
+    near = [F.struct((F.col("_r") + i).alias("r"), (F.col("_c") + j).alias("c"), ((v if i else 1 - v) * (u if j else 1 - u)).alias("w")) for i in (0, 1) for j in (0, 1)]
+    at = at.select("row", "col", F.explode(F.array(*near)).alias("n")).where("n.w > 0").select("row", "col", "n.*")
+    src = source.select("key", F.col("row").alias("r"), F.col("col").alias("c"), "value").where("value is not null")
+    part = at.join(src, ["r", "c"]).groupBy("key", "row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("w"))
+    return part.select("key", "row", "col", (F.col("s") / F.col("w")).alias("value"))
+
+
+def mosaic_rgb(granules: DataFrame, cell: list[str], bands: tuple[str, str, str] = ("red", "green", "blue")) -> DataFrame:
+    """First valid value of each band by ascending item, as 0 to 255; 0 where a band has none. One shuffle."""
+
+    def band(name: str) -> Column:
+        seen = (F.col("band") == name) & F.col("value").isNotNull()
+        v = F.min(F.when(seen, F.struct("item_id", "value")))["value"]
+        return F.least(F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)), F.lit(255.0)).cast("int").alias(name)
+
+    return granules.groupBy(*cell).agg(*[band(b) for b in bands])
