@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from verdara.session import ship
+
 # The raster's marker of missing cells.
 NODATA = -9999.0
 TILE = 256
@@ -71,6 +73,7 @@ def geotiff(values: np.ndarray, left: float, top: float, resolution: float, epsg
 
 
 def _image_rows(pixels: DataFrame, key: str, columns: list[str], make) -> DataFrame:
+    ship(pixels.sparkSession)
     kind = dict(pixels.dtypes)[key]
 
     def run(group, table):
