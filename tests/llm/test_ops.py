@@ -80,6 +80,33 @@ def test_join_of_edited_copies(spark, like):
     assert rows(got, "doc_id", "n_shingles", "component_id") == brute.components(table, like.words, like.num, like.den)
 
 
+@pytest.mark.parametrize("chunk", [1024, 5])
+def test_join_gives_all_links(spark, monkeypatch, chunk):
+    """Not only those that span components, also when a component is dealt over many blocks."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_NODES", chunk)
+    like, rng = jaccard_join.Likeness(3, 80, 100), random.Random(4)
+    texts = ["", None, "alone in the table"]
+    for _ in range(4):
+        base = [rng.choice("abcdefghij") + str(rng.randint(0, 30)) for _ in range(90)]
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = f"z{rng.randint(0, 5)}"
+            texts.append(" ".join(copy))
+    table = list(enumerate(texts + texts[3:9] + [t.upper() for t in texts[3:6]]))
+    sets = [brute.shingle_set(t, 3) for _, t in table]
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = jaccard_join.linked_documents(frame, like)
+    assert rows(got, "doc_id", "n_links") == [(i, sum(i in p for p in near)) for i in range(len(table))]
+    assert rows(got, "doc_id", "n_shingles", "component_id") == brute.components(table, 3, 80, 100)
+    joined = jaccard_join.jaccard_join(frame, like)
+    stands = {r["node"]: r["min_doc"] for r in joined.nodes.collect()}
+    links = [tuple(sorted((stands[r["a"]], stands[r["b"]]))) for r in jaccard_join.links(frame, joined, like).collect()]
+    assert len(links) == len(set(links)) and set(links) == {p for p in near if set(p) <= set(stands.values()) and sets[p[0]] != sets[p[1]]}
+    assert joined.spanning.count() < len(links)
+
+
 def test_op3(spark, duck):
     got = queries()["op3_sharding"](spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in docs(duck))

@@ -14,8 +14,13 @@
    the two texts, tries the suffix filter again (lower bounds of the difference from splits of the sorted
    hashes), then counts the intersection.
 
-Links are whole for components; `links` holds the verified ones. Components are found by alternating large-star
-and small-star steps on tables in the shared folder.
+Components are found by alternating large-star and small-star steps on tables in the shared folder. The links
+verified on the way (`Joined.spanning`) are whole for components only.
+
+All links (`links`, `link_counts`). Both ends of a link lie in one component, so the sets of linked nodes are dealt
+by component: small components share blocks, a large one is dealt by a hash into chunks, one block for each two
+chunks. Any two nodes of a component meet in exactly one block, where the sizes of all intersections come from
+products of incidence matrices: every pair is verified, once, none is left out.
 
 Defined cases: null, empty or wordless text has the empty set and is linked with nothing; with fewer words
 than a shingle has, the whole sequence is the one shingle; repeated doc_ids are separate rows; a null doc_id
@@ -36,6 +41,8 @@ from verdara.llm.common import SMALL_BATCHES, materialize, remove, settings, sha
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
 BINS = 64
+#: Most nodes and shingles of a chunk, on average, and columns of a matrix.
+CHUNK_NODES, CHUNK_ITEMS, SLAB = 1024, 500_000, 2048
 
 
 @dataclass(frozen=True)
@@ -278,11 +285,11 @@ def components(links: DataFrame) -> DataFrame:
 
 @dataclass
 class Joined:
-    """nodes: (node, sig, n, min_doc); links: verified (a, b); rows: doc_id, n, sig; roots: (node, root)."""
+    """nodes: (node, sig, n, min_doc, copies); spanning: the (a, b) verified for components; rows: doc_id, n, sig; roots: (node, root)."""
 
     rows: DataFrame
     nodes: DataFrame
-    links: DataFrame
+    spanning: DataFrame
     roots: DataFrame
 
 
@@ -298,7 +305,7 @@ def jaccard_join(docs: DataFrame, like: Likeness = Likeness(), bits: int = 20) -
     docs = docs.select("doc_id", "text")
     heavy = shared_path(docs.sparkSession, "jaccard-profiles")
     profile = write_at(profiles(docs, like, count_sketch(docs, like.words, bits)), heavy)
-    by_sig = profile.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("min_doc"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
+    by_sig = profile.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
     nodes = materialize(by_sig.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")
     profile = materialize(profile.select("doc_id", "n", "sig"), "jaccard-rows")
     remove(docs.sparkSession, heavy)  # its prefixes now stand with the nodes
@@ -310,8 +317,8 @@ def jaccard_join(docs: DataFrame, like: Likeness = Likeness(), bits: int = 20) -
     near = _filters(F.col("n"), F.col("p_n"), F.col("pos"), F.col("p_pos"), like)
     first = lists.where((F.col("node") != F.col("p_node")) & near).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
     first = materialize(first, "jaccard-pairs")
-    links = verify(first, nodes, docs, like)
-    roots = materialize(components(links), "jaccard-roots")
+    spanning = verify(first, nodes, docs, like)
+    roots = materialize(components(spanning), "jaccard-roots")
 
     placed = lists.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
@@ -321,18 +328,131 @@ def jaccard_join(docs: DataFrame, like: Likeness = Likeness(), bits: int = 20) -
     second = x.join(y, (F.col("x.token") == F.col("y.token")) & far).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     if second.isEmpty():
-        return Joined(profile, nodes, links, roots)
-    links = materialize(links.unionByName(verify(second, nodes, docs, like)), "jaccard-links")
-    return Joined(profile, nodes, links, materialize(components(links), "jaccard-roots"))
+        return Joined(profile, nodes, spanning, roots)
+    spanning = materialize(spanning.unionByName(verify(second, nodes, docs, like)), "jaccard-spanning")
+    return Joined(profile, nodes, spanning, materialize(components(spanning), "jaccard-roots"))
+
 
+def _dealt(joined: Joined, docs: DataFrame, like: Likeness) -> DataFrame:
+    """(grp, i, j, chunk, root, node, copies, items): the sets of linked nodes, once for each block they are compared in."""
+    ends = joined.roots.join(joined.nodes.select("node", "sig", "n", "copies", F.col("min_doc").alias("doc_id")), "node")
+    ends = materialize(ends, "jaccard-ends")
+    texts = _texts(docs.select("doc_id", "text"), ends.select("node", "sig", "doc_id"))
 
-def membership(joined: Joined) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            node, items = [], []
+            for at, sig, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = shingles(text.as_py(), like.words)
+                if signature(s) == sig:  # else another text of the same doc_id
+                    node.append(at)
+                    items.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
+
+    # Rows that share a doc_id and a set bring it once each; one is enough.
+    sets = materialize(texts.mapInArrow(run, "node long, items binary").groupBy("node").agg(F.first("items").alias("items")), "jaccard-sets")
+    sizes = ends.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    sizes = materialize(sizes.select("root", "total", F.ceil(F.greatest(F.col("m") / CHUNK_NODES, F.col("total") / CHUNK_ITEMS)).alias("k")), "jaccard-sizes")
+    small = sizes.where("k = 1").agg(F.sum("total")).first()[0] or 0
+    buckets = max(1, -(-small // CHUNK_ITEMS))
+    rows = ends.select("node", "root", "copies").join(sizes.select("root", "k"), "root").join(sets, "node")
+    rows = rows.withColumns({"chunk": F.pmod(F.xxhash64("node"), "k"), "grp": F.when(F.col("k") == 1, -1 - F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root"))})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return rows.select("grp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "root", "node", "copies", "items")
+
+
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y."""
+    both = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+
+    def places(sets):
+        items, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, items), max(len(both) - 1, 0))
+        known = both[at] == items if len(both) else np.zeros(len(items), bool)
+        order = np.argsort(at[known], kind="stable")
+        return row[known][order], at[known][order]
+
+    (rx, cx), (ry, cy) = places(x), places(y)
+    out = np.zeros((len(x), len(y)), np.float32)  # whole numbers below 2^24 are exact
+    for low in range(0, len(both), SLAB):
+        width = min(SLAB, len(both) - low)
+        part = []
+        for rows, cols, height in ((rx, cx, len(x)), (ry, cy, len(y))):
+            a, b = np.searchsorted(cols, (low, low + width))
+            m = np.zeros((height, width), np.float32)
+            m[rows[a:b], cols[a:b] - low] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out.astype(np.int64)
+
+
+def _blocks_links(table: pa.Table, like: Likeness):
+    """(nodes x, nodes y, copies x, copies y, linked?) of each component in a block; y is x where a chunk meets itself."""
+    table = table.sort_by("root")
+    root, chunk, node, copies = (table.column(k).to_numpy() for k in ("root", "chunk", "node", "copies"))
+    sets = [np.frombuffer(v, np.uint64) for v in table.column("items").to_pylist()]
+    cuts = [0, *(np.flatnonzero(np.diff(root)) + 1).tolist(), len(root)]
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        ix = low + np.flatnonzero(chunk[low:high] == i)
+        iy = low + np.flatnonzero(chunk[low:high] == j)
+        if not len(ix) or not len(iy):
+            continue
+        x, y = [sets[k] for k in ix], [sets[k] for k in iy]
+        both = _intersections(x, y)
+        total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+        near = like.den * both >= like.num * (total - both)
+        if i == j:
+            np.fill_diagonal(near, False)
+        yield node[ix], node[iy], copies[ix], copies[iy], near, i == j
+
+
+def links(docs: DataFrame, joined: Joined, like: Likeness = Likeness()) -> DataFrame:
+    """(a, b), a < b: all pairs of nodes that are linked. Documents of one node have equal sets, so they are linked too."""
+
+    def run(table):
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for nx, ny, _, _, near, same in _blocks_links(table, like):
+            p, q = np.nonzero(np.triu(near) if same else near)
+            a.append(np.minimum(nx[p], ny[q]))
+            b.append(np.maximum(nx[p], ny[q]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return _dealt(joined, docs, like).groupBy("grp", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def link_counts(docs: DataFrame, joined: Joined, like: Likeness = Likeness()) -> DataFrame:
+    """(node, others): rows of other nodes that each node with any link is linked to; no pair leaves its block."""
+
+    def run(table):
+        node, count = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for nx, ny, cx, cy, near, same in _blocks_links(table, like):
+            node.append(nx)
+            count.append(near @ cy)
+            if not same:
+                node.append(ny)
+                count.append(cx @ near)
+        return pa.table({"node": np.concatenate(node), "others": np.concatenate(count).astype(np.int64)})
+
+    return _dealt(joined, docs, like).groupBy("grp", "i", "j").applyInArrow(run, "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
+
+
+def linked_documents(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """The members with n_links: the other rows of `docs` whose sets are as similar as asked, equal sets among them."""
+    joined = jaccard_join(docs, like)
+    others = joined.nodes.select("node", "sig", "copies").join(link_counts(docs, joined, like), "node", "left")
+    others = materialize(others.select(F.col("sig").alias("_sig"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "jaccard-counts")
+    found = membership(joined, "sig")
+    return found.join(others, found["sig"] == others["_sig"], "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def membership(joined: Joined, *also: str) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links and equal sets reach."""
     node = joined.nodes.select("node", "sig", "min_doc").join(joined.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = node.groupBy("root").agg(F.min("min_doc").alias("component_id"))
     by_sig = node.join(least, "root").select("sig", "component_id")
     rows = joined.rows.select("doc_id", "n", "sig").join(by_sig, "sig", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *also)
 
 
 def components_of(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:

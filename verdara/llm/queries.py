@@ -21,7 +21,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.components_of(read_table(spark, sf_dir, "documents"), jaccard_join.Likeness(words=3, num=90, den=100))
+    return jaccard_join.linked_documents(read_table(spark, sf_dir, "documents"), jaccard_join.Likeness(words=3, num=90, den=100))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
