@@ -157,6 +157,26 @@ def test_search_empties_bins():
     assert sum((2048 - r) ** 2 for r in plain.room) >= before and sorted(i for b in plain.items for i in b) == list(range(300))
 
 
+@pytest.mark.parametrize("least, most, n", [(600, 1000, 3000), (400, 1100, 3000), (1, 400, 400)])
+def test_search_ends_without_a_step(least, most, n):
+    """Tried by force: no underfull bin has a move or swap with a fuller one, however many bins there are."""
+    rng = random.Random(5)
+    bins = packing.Bins([rng.randint(least, most) for _ in range(n)], 2048)
+    bins.best_fit()
+    bins.improve()
+    assert sorted(i for b in bins.items for i in b) == list(range(n))
+    assert bins.room == [2048 - sum(bins.lengths[i] for i in b) for b in bins.items] and min(bins.room) >= 0
+    under = [b for b in range(len(bins.items)) if bins.items[b] and bins.room[b]]
+    sizes = {b: sorted({bins.lengths[i] for i in bins.items[b]}) for b in under}
+    for s in under:
+        own = [bins.lengths[i] for i in bins.items[s]]
+        outs = {*own, *(own[a] + v for a in range(len(own)) for v in own[a + 1 :])}
+        for t in under:
+            if t != s and bins.room[t] <= bins.room[s]:
+                assert min(own) > bins.room[t]
+                assert not any(0 < o - v <= bins.room[t] for v in sizes[t] for o in outs)
+
+
 def test_op6(spark, duck):
     hard_text = "<|im_end|><|im_start|>assistant ok"
     turns = duck.sql("SELECT conv_id, turn, role, text FROM conversations").fetchall() + [(-1, 0, "user", hard_text), (-1, 1, "assistant", hard_text)]

@@ -7,9 +7,10 @@ which normalisation reaches across words, are encoded whole by the tokenizer.
 Packing. Full pieces are sequences of their own. The others, one a document at most, are dealt by a hash
 into groups of about `GROUP` pieces; each group is packed by one task in bounded memory, so the number of
 tasks grows with the input and at most one sequence a group stays underfull. In a group, best fit in
-decreasing order comes first. Then the search takes the emptiest underfull bin and lets its documents move
-into other bins, swap one for one, or swap two for one, whenever that fills the other bin further: each
-such step raises the sum of squared fills. It ends when a bin is empty (and is dropped) or nothing helps.
+decreasing order comes first. Then the search takes each underfull bin, the emptiest first, and lets its
+documents move into fuller bins, swap one for one, or swap two for one, whenever that fills the other bin
+further: each such step raises the sum of squared fills. Empty bins are dropped. It ends when no underfull
+bin has such a step with any other; an index of bins by length and room finds the partners.
 
 Defined cases: null text is empty and is one piece of the closing id alone; repeated rows and repeated
 doc_ids are separate pieces; null doc_ids are packed; an empty table gives no rows; extra columns are
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -160,44 +162,91 @@ class Bins:
             self.room[b] -= n
             self._file(b)
 
-    def improve(self, rounds: int = 200, tries: int = 400) -> None:
-        """Empty the emptiest bins into the others, for as long as a bin goes or the squared fill grows."""
+    def improve(self) -> None:
+        """Empty the emptiest bins into the others until no underfull bin has a step with any other one.
+
+        A sweep takes the underfull bins from the emptiest on. The index holds those still to come and those
+        of the source's own room, so each pair is judged with its emptier bin as the source. Each step
+        raises the sum of squared fills, so the sweeps end; the last one finds no step.
+        """
         self.by_room, self.rooms = [], []
-        for _ in range(rounds):
-            under = sorted((b for b in range(len(self.items)) if self.items[b] and self.room[b]), key=lambda b: -self.room[b])
-            if len(under) < 2 or sum(self.room[b] for b in under) < self.limit:
-                return  # what is left cannot spare a bin
-            source, grown = under[0], False
-            for target in under[1 : 1 + tries]:
-                grown |= self._step(source, target)
-                if not self.items[source]:
-                    break
-            if not grown:
-                return
-
-    def _step(self, s: int, t: int) -> bool:
-        """Move, swap one for one or two for one between bins s and t so that the fuller one gains; True if so."""
-        n, done = self.lengths, False
-        if self.limit - self.room[s] > self.limit - self.room[t]:
-            s, t = t, s
-        for i in sorted(self.items[s], key=lambda i: -n[i]):
-            if n[i] <= self.room[t]:
-                self._shift([i], [], s, t)
-                done = True
-        best: tuple[int, list[int], list[int]] = (0, [], [])
-        own = self.items[s]
-        for j in self.items[t]:
-            most = n[j] + self.room[t]
-            for a, i in enumerate(own):
-                if n[j] < n[i] <= most and n[i] - n[j] > best[0]:
-                    best = (n[i] - n[j], [i], [j])
-                for k in own[a + 1 :]:
-                    if n[j] < n[i] + n[k] <= most and n[i] + n[k] - n[j] > best[0]:
-                        best = (n[i] + n[k] - n[j], [i, k], [j])
-        if best[0]:
-            self._shift(best[1], best[2], s, t)
-            done = True
-        return done
+        while self._sweep():
+            pass
+
+    def _sweep(self) -> bool:
+        under = [b for b in range(len(self.items)) if self.items[b] and self.room[b]]
+        self._holding: list[list[tuple[int, int]]] = [[] for _ in range(self.limit + 1)]  # by length: sorted (room, bin); 0: all
+        self._reach = np.arange(self.limit + 1)  # length and the most room beside it; the length alone if no bin has it
+        for b in under:
+            for v in {0, *(self.lengths[i] for i in self.items[b])}:
+                self._holding[v].append((self.room[b], b))
+        for v, held in enumerate(self._holding):
+            if held:
+                held.sort()
+                self._reach[v] = v + held[-1][0]
+        coming, grown = [(-self.room[b], b) for b in under], False
+        level: set[int] = set()  # judged, with the same room as the source
+        heapify(coming)
+        while coming:
+            r, s = heappop(coming)
+            if -r != self.room[s]:  # filled since
+                if self.room[s]:
+                    heappush(coming, (-self.room[s], s))
+                continue
+            if level and self.room[next(iter(level))] != -r:
+                for b in level:
+                    self._index(b, False)
+                level.clear()
+            self._index(s, False)
+            while self.items[s] and (step := self._best(s)):
+                out, back, t = step
+                self._index(t, False)
+                self._shift(out, back, s, t)
+                if self.room[t]:
+                    self._index(t, True)
+                    if t in level:
+                        heappush(coming, (-self.room[t], t))
+                level.discard(t)
+                grown = True
+            if self.room[s] == -r:
+                self._index(s, True)
+                level.add(s)
+        return grown
+
+    def _index(self, b: int, add: bool) -> None:
+        for v in {0, *(self.lengths[i] for i in self.items[b])}:
+            held, entry = self._holding[v], (self.room[b], b)
+            if add:
+                insort(held, entry)
+            else:
+                held.pop(bisect_left(held, entry))
+            self._reach[v] = v + (held[-1][0] if held else 0)
+
+    def _best(self, s: int) -> tuple[list[int], list[int], int] | None:
+        """The step from s that fills another bin furthest: one or two documents out, at most one back."""
+        n, by = self.lengths, {}
+        for i in self.items[s]:
+            by.setdefault(n[i], []).append(i)
+        sizes = {v: same[:1] for v, same in by.items()}
+        each = sorted(by)
+        for a, v in enumerate(each):
+            for w in each[a:]:
+                if v != w or len(by[v]) > 1:
+                    sizes.setdefault(v + w, [by[v][0], by[w][v == w]])
+        gain, best = 0, None
+        for size, out in sizes.items():
+            low, high = max(0, size - self.room[s]), min(size - gain, self.limit + 1)
+            if low < high:
+                fits = self._reach[low:high] >= size
+                k = int(fits.argmax())
+                if fits[k]:
+                    gain, best = size - low - k, (out, low + k)
+        if best is None:
+            return None
+        out, v = best
+        held = self._holding[v]
+        t = held[bisect_left(held, (gain, -1))][1]  # the fullest bin that the gain fits
+        return out, [next(j for j in self.items[t] if n[j] == v)] if v else [], t
 
     def _shift(self, out: list[int], back: list[int], s: int, t: int) -> None:
         for i in out:
