@@ -261,6 +261,22 @@ def test_hard_rows(spark, hard, labels):
     assert len(scores) == n and all(0 <= r["score"] <= 1 for r in scores)
 
 
+def test_whole_licences_and_identifiers(spark):
+    from pathlib import Path
+
+    from verdara.llm import license_texts
+
+    folder = Path(license_texts.__file__).parent / "licenses"
+    whole = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense", "BSL-1.0"]
+    lines = ["BSD-3-Clause", "ISC", "LGPL-2.1-only", "MPL-2.0", "GPL-2.0-only", "GPL-3.0-or-later", "EPL-2.0", "AGPL-3.0-only"]
+    table = [(k, (folder / f"{i}.txt").read_text()) for k, i in enumerate(whole)] + [(100 + k, f"code\n# SPDX-License-Identifier: {i}\nmore") for k, i in enumerate(lines)]
+    table += [(200, license_texts._APACHE_NOTICE)]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert [(got[k]["license_id"], got[k]["match_kind"]) for k in range(len(whole))] == [(i, "text") for i in whole]
+    assert [got[100 + k]["notices"] for k in range(len(lines))] == lines
+    assert (got[200]["license_id"], got[200]["match_kind"]) == ("Apache-2.0", "notice")
+
+
 def test_empty_tables(spark, hard, labels):
     none = hard.where("false")
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.deduplicate(none).count() == 0

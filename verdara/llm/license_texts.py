@@ -1,4 +1,9 @@
-"""Canonical licence texts and notices (fixed values: public texts that digests must equal)."""
+"""Canonical licence texts and notices (fixed values: public texts that digests must equal).
+
+The folder `licenses` holds longer texts as they are published, and the SPDX identifiers (list 3.0.23 of spdx-license-ids).
+"""
+
+from pathlib import Path
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 _ISC_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
@@ -24,7 +29,7 @@ TEXTS: list[tuple[str, str, str]] = [
     ("BSD-2-Clause", "text", f"{_BSD_HEAD}\n1. {_BSD_SOURCE}\n2. {_BSD_BINARY}\n{_BSD_WARRANTY}"),
     ("BSD-3-Clause", "text", f"BSD 3-Clause License\n{_BSD_HEAD}\n1. {_BSD_SOURCE}\n2. {_BSD_BINARY}\n3. {_BSD_NAMES}\n{_BSD_WARRANTY}"),
     ("BSD-3-Clause", "text", f"{_BSD_HEAD}\n1. {_BSD_SOURCE}\n2. {_BSD_BINARY}\n3. {_BSD_NAMES}\n{_BSD_WARRANTY}"),
-    ("Apache-2.0", "text", _APACHE_NOTICE),
+    ("Apache-2.0", "notice", _APACHE_NOTICE),
     ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "notice", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "notice", "Released under the MIT License."),
@@ -37,3 +42,22 @@ TEXTS: list[tuple[str, str, str]] = [
     ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "notice", "SPDX-License-Identifier: CC-BY-4.0"),
 ]
+
+_FOLDER = Path(__file__).parent / "licenses"
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _long_texts() -> list[tuple[str, str, str]]:
+    """The texts of the folder, and those with an appendix on their use once more without it."""
+    out = []
+    for path in sorted(_FOLDER.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, "text", text))
+        if _END in text:
+            out.append((path.stem, "text", text[: text.index(_END) + len(_END)]))
+            out.append((path.stem, "text", text[: text.index(_END)]))
+    return out
+
+
+SPDX_IDS = (_FOLDER / "spdx_ids").read_text(encoding="utf-8").split()
+TEXTS += _long_texts() + [(i, "notice", f"SPDX-License-Identifier: {i}") for i in SPDX_IDS]
