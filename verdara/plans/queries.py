@@ -296,6 +296,13 @@ def ts_join(spark, d):
     return line.join(o, line["l_orderkey"] == o["o_orderkey"]).select("o_orderkey", "l_linenumber", "l_partkey", "o_orderdate", "l_shipdate")
 
 
+@query("SELECT o_orderkey, l_linenumber, l_partkey, o_orderdate, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def ts_join_whole(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    line = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    return line.join(o, line["l_orderkey"] == o["o_orderkey"]).select("o_orderkey", "l_linenumber", "l_partkey", "o_orderdate", "l_shipdate")
+
+
 @query("SELECT c_custkey, o_orderkey, coalesce(CAST(o_orderkey AS VARCHAR), 'unattributed') AS item FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'")
 def artifacts_outer_join(spark, d):
     o = _t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
