@@ -1,16 +1,15 @@
-"""Exact dedup through an extendible-hash index kept in shared files; DataFrame functions only.
+"""Exact dedup by an aggregate, its groups kept in shared files by extendible-hash bucket; DataFrame functions only.
 
 Build. Rows collapse map-side on (key, normalised text), so copies meet by comparing their bytes and a
 group that holds a third of all rows ships one partial row a task. Each distinct text becomes one index
 entry; entries whose 64-bit keys collide are chained under that key.
 
-Directory. A histogram of key prefixes drives the doublings: at global depth d the directory has 2**d
-slots; a bucket with more entries than `capacity` splits, and doubles the directory while its local depth
-equals the global one. A bucket's local depth is thus the least depth at which its prefix fits. The
-histogram's size follows entries / capacity, never documents.
+Directory. The global depth d is set once from entries / capacity, and the directory has 2**d slots. By a
+histogram of key prefixes a bucket's local depth is the least one at which it holds at most `capacity`
+entries, or d, where it may hold more. The histogram's size follows entries / capacity, never documents.
 
-Storage. Owner tasks take buckets, that is contiguous ranges of keys, and write them as sorted files with
-the directory beside them. Probing joins documents to their key's chain; that join has no hot side but the
+Storage. Owner tasks take buckets by a hash of their number and write them as sorted files. The bucket is a
+label: probing joins documents to their key's chain on key and SHA-256; that join has no hot side but the
 documents', which adaptive execution can split.
 
 Defined cases: null text equals the empty text; null doc_ids take part and lose to any number; repeated
