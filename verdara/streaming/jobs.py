@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MESSAGE = "analysis_id string, enqueued_at timestamp"
-MAX_DEQUEUE = 3
 
 
 def parse_messages(raw: DataFrame) -> DataFrame:
