@@ -6,7 +6,7 @@ which normalisation reaches across words, are encoded whole by the tokenizer.
 
 Packing. Full pieces are sequences of their own. The others, one a document at most, are dealt by a hash
 into groups of about `GROUP` pieces; each group is packed by one task in bounded memory, so the number of
-tasks grows with the input and at most one sequence a group stays underfull. In a group, best fit in
+tasks grows with the input. In a group, best fit in
 decreasing order comes first. Then the search takes each underfull bin, the emptiest first, and lets its
 documents move into fuller bins, swap one for one, or swap two for one, whenever that fills the other bin
 further: each such step raises the sum of squared fills. Empty bins are dropped. It ends when no underfull
