@@ -1,16 +1,21 @@
-"""Exact dedup by an aggregate, its groups kept in shared files by extendible-hash bucket; DataFrame functions only.
+"""Exact dedup through an extendible-hash index on shared files; DataFrame functions only.
 
-Build. Rows collapse map-side on (key, normalised text), so copies meet by comparing their bytes and a
-group that holds a third of all rows ships one partial row a task. Each distinct text becomes one index
-entry; entries whose 64-bit keys collide are chained under that key.
+Keys. A row's normalised text has a 64-bit key and a SHA-256. Both are written once, without the text, and serve
+the directory and the look-ups.
 
-Directory. The global depth d is set once from entries / capacity, and the directory has 2**d slots. By a
-histogram of key prefixes a bucket's local depth is the least one at which it holds at most `capacity`
-entries, or d, where it may hold more. The histogram's size follows entries / capacity, never documents.
+Directory. It begins with one bucket of all keys. While a bucket holds more than `capacity` different keys it is
+split by the next bits of its keys, as many as its load asks for, and the directory of 2**depth slots is doubled
+as often as its deepest bucket needs. Splitting works on counts by key prefix of `DEEPEST` bits, so at most
+2**DEEPEST rows however many documents there are; a bucket still overfull at that depth stays so, as one key's
+texts do anyway, and costs its owner time, not the result. With the input the capacity grows too, so that the
+directory has about `BUCKETS` buckets at most, which makes it a table of bounded size that every task may hold.
 
-Storage. Owner tasks take buckets by a hash of their number and write them as sorted files. The bucket is a
-label: probing joins documents to their key's chain on key and SHA-256; that join has no hot side but the
-documents', which adaptive execution can split.
+Insertion. Rows find their slot by their key's first bits, and by it their bucket. In a bucket copies meet by key
+and by their whole bytes, after a map-side aggregate, so that a text that a third of all rows share moves as one
+partial row a task. What is left has one entry for each different text: keep_id, group_size, SHA-256.
+
+Owners. Each takes a range of buckets, that is of keys, chains the entries of one key, and writes its buckets in
+order. Look-up. A document's key leads to slot, bucket and chain; in the chain its SHA-256 names the entry.
 
 Defined cases: null text equals the empty text; null doc_ids take part and lose to any number; repeated
 doc_ids are separate rows; an empty table gives no rows; extra columns are ignored.
@@ -18,66 +23,102 @@ doc_ids are separate rows; an empty table gives no rows; extra columns are ignor
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import ascii_lower, materialize, shared_path
-
-CAPACITY = 65_536
-
+from verdara.llm.common import ascii_lower, materialize, remove, shared_path, spare, write_at
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, norm, key): the normalised text and its 64-bit key."""
-    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select("doc_id", norm.alias("norm")).withColumn("key", F.xxhash64("norm"))
+CAPACITY = 256
+BUCKETS = 1 << 17
+DEEPEST = 24
 
 
-def _slot(key, depth: int):
-    """The directory slot of a key: its top `depth` bits."""
-    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+def normalised(text: Column) -> Column:
+    return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def build_directory(entries: DataFrame, depth: int, capacity: int) -> DataFrame:
-    """(slot, local_depth, bucket) for each of the 2**depth slots in use, from counts of entries by prefix."""
-    counts = entries.groupBy(_slot(F.col("key"), depth).alias("slot")).agg(F.count("*").alias("n"))
-    counts = materialize(counts, "dedup-counts")
-    levels = counts.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
-    prefix = F.expr(f"shiftright(slot, {depth} - level)")
-    filled = levels.groupBy("level", prefix.alias("prefix")).agg(F.sum("n").alias("filled"))
-    # A slot's bucket: the first doubling at which its prefix no longer overflows, else the last.
-    fits = filled.where((F.col("filled") <= capacity) | (F.col("level") == depth)).select("level", "prefix")
-    own = counts.select("slot", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).withColumn("prefix", prefix)
-    local = own.join(fits, ["level", "prefix"]).groupBy("slot").agg(F.min("level").alias("local_depth"))
-    # The bucket is named by its first slot, so that buckets sort as the keys' ranges do.
-    return local.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {depth} - local_depth), {depth} - local_depth)"))
+def _prefix(key: Column, bits: int) -> Column:
+    """The first bits of a key."""
+    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Index rows (bucket, local_depth, key, chain), the chain an array of (text_sha256, keep_id, group_size)."""
-    spark = docs.sparkSession
-    groups = keyed(docs).groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = groups.select("key", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-    entries = materialize(entries, "dedup-entries")
-    n = entries.count()
-    depth = min(40, math.ceil(math.log2(max(n / capacity, 1))) + 3)
-    directory = materialize(build_directory(entries, depth, capacity), "dedup-directory")
-    chained = entries.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("text_sha256", "keep_id", "group_size"))).alias("chain"))
-    placed = chained.withColumn("slot", _slot(F.col("key"), depth)).join(directory, "slot")
-    owned = placed.repartition("bucket").sortWithinPartitions("bucket", "key")
-    path = shared_path(spark, "dedup-index")
-    owned.select("bucket", "local_depth", "key", "chain").write.parquet(path)
-    return spark.read.parquet(path)
+def split_buckets(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """(bucket, local_depth) of the buckets and the directory's depth, for a table of different keys.
 
-
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    A bucket is named by its first prefix of DEEPEST bits, so that buckets sort as the ranges of their keys do.
+    """
+    # One row a prefix that occurs, with the depth of the bucket that holds it.
+    state = keys.groupBy(_prefix(F.col("key"), DEEPEST).alias("prefix")).agg(F.count("*").alias("n")).withColumn("local_depth", F.lit(0))
+    state = materialize(state, "dedup-prefixes")
+    depth = 0
+    while True:
+        buckets = state.groupBy(_start(F.col("prefix"), F.col("local_depth")).alias("bucket"), "local_depth").agg(F.sum("n").alias("load"))
+        over = materialize(buckets.where((F.col("load") > capacity) & (F.col("local_depth") < DEEPEST)).select("bucket", F.least(F.col("local_depth") + F.ceil(F.log2(F.col("load") / capacity)), F.lit(DEEPEST)).cast("int").alias("deeper")), "dedup-overfull")
+        deepest = over.agg(F.max("deeper")).first()[0]
+        if deepest is None:
+            return buckets.select("bucket", "local_depth"), depth
+        depth = max(depth, deepest)  # the directory doubles until the deepest bucket has a slot of its own
+        at = state.withColumn("bucket", _start(F.col("prefix"), F.col("local_depth")))
+        state = materialize(at.join(over, "bucket", "left").select("prefix", "n", F.coalesce("deeper", "local_depth").alias("local_depth")), "dedup-prefixes")
+
+
+def _start(prefix: Column, local_depth: Column) -> Column:
+    """The first prefix of the bucket of that depth that holds `prefix`."""
+    low = F.lit(DEEPEST) - local_depth
+    return F.call_function("shiftleft", F.call_function("shiftright", prefix, low), low)
+
+
+def directory_of(buckets: DataFrame, depth: int) -> DataFrame:
+    """(slot, bucket, local_depth): a bucket of local depth l has 2**(depth - l) of the 2**depth slots."""
+    first = F.shiftright("bucket", DEEPEST - depth)
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(depth) - F.col("local_depth"))
+    return buckets.select(F.explode(F.sequence(first, first + width - 1)).alias("slot"), "bucket", "local_depth")
+
+
+class Index:
+    """The keys of all documents, the directory, and the files of the buckets."""
+
+    def __init__(self, docs: DataFrame, capacity: int = CAPACITY, key: Callable[[Column], Column] = F.xxhash64):
+        spark = docs.sparkSession
+        norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+        keyed = norm.select("doc_id", key(F.col("norm")).alias("key"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
+        self._paths = [shared_path(spark, n) for n in ("dedup-keys", "dedup-entries", "dedup-index")]
+        self.rows = write_at(keyed, self._paths[0])
+        keys = materialize(self.rows.select("key").distinct(), "dedup-distinct")
+        self.capacity = max(capacity, -(-keys.count() // BUCKETS))
+        buckets, self.depth = split_buckets(keys, self.capacity)
+        self.directory = materialize(directory_of(buckets, self.depth), "dedup-directory")
+
+        placed = self._placed(norm.withColumn("key", key(F.col("norm"))))
+        copies = placed.groupBy("bucket", "local_depth", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        entries = copies.select("bucket", "local_depth", "key", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "keep_id", "group_size")
+        entries = write_at(entries, self._paths[1])
+        owners = entries.repartitionByRange("bucket", "key")
+        entry = F.struct("sha", "keep_id", "group_size")
+        chains = owners.groupBy("bucket", "key").agg(F.first("local_depth").alias("local_depth"), F.array_sort(F.collect_list(entry)).alias("chain"))
+        self.files = write_at(chains.sortWithinPartitions("bucket", "key"), self._paths[2])
+        remove(spark, self._paths[1])
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with the bucket of their key. The directory has at most some 2 * BUCKETS slots in use: it is broadcast."""
+        at = rows.withColumn("slot", _prefix(F.col("key"), self.depth))
+        return at.join(F.broadcast(self.directory), "slot").drop("slot")
+
+    def find(self) -> DataFrame:
+        """One row a document: doc_id, sha, keep_id, group_size."""
+        chains = self.files.select("bucket", "key", "chain")
+        rows = self._placed(self.rows).join(chains, ["bucket", "key"])
+        own = F.filter("chain", lambda e: e["sha"] == F.col("sha"))[0]
+        return rows.select("doc_id", "sha", own.alias("e")).select("doc_id", "sha", "e.keep_id", "e.group_size")
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row a document: doc_id, keep_id (largest doc_id of equal texts), group_size, kept, text_sha256."""
-    index = build_index(docs, capacity).select("key", F.inline("chain"))
-    probe = keyed(docs).select("doc_id", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    found = probe.join(index, ["key", "text_sha256"])
+    found = Index(docs, capacity, key).find()
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -87,12 +128,12 @@ def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    by_row = exact_dedup(docs, capacity).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    decided = materialize(by_row.agg(F.max("kept").alias("stays"), F.count("*").alias("n")), "dedup-decided")
+    found = Index(docs, capacity).find()
+    by_row = found.groupBy(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
+    decided = materialize(by_row.agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"), F.count("*").alias("n")), "dedup-decided")
     # Written, so that its size is known: few ids to take out are broadcast, many are not.
     out = materialize(decided.where("not stays or n > 1").select("_id", "_sha"), "dedup-out")
-    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    sha = F.sha2(norm.cast("binary"), 256)
+    sha = F.unhex(F.sha2(normalised(docs["text"]).cast("binary"), 256))
 
     def match(ids: DataFrame, how: str) -> DataFrame:
         return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]) & (sha == ids["_sha"]), how)
@@ -101,6 +142,6 @@ def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = materialize(decided.where("stays and n > 1").select("_id", "_sha"), "dedup-shared")
     if shared.isEmpty():
         return kept
-    nth = "_n" + "_" * max(map(len, docs.columns))  # longer than any name, so it clashes with none
+    nth = spare(docs)
     numbered = match(shared, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.lit(1))))
     return kept.unionByName(numbered.where(F.col(nth) == 1).drop(nth))
