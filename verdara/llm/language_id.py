@@ -7,36 +7,41 @@ a binary search. The language with the least cross-entropy per character wins. A
 depends on the last `ORDER` characters of its word only, so scores are summed from words; those of words
 already met are remembered within a fixed bound, and nothing of a text is left out.
 
-Calibration uses held-back training texts: a softmax temperature that makes the score a probability, and for
-each language a ceiling on the cross-entropy of its own texts, mean + WIDTH standard deviations, wider for
-short texts. A text above its language's ceiling is marked rejected.
-
-Models are fitted on a bounded sample: the `PER_LANG` training texts of each language with the least hash of
-their doc_id, of at most `FIT_CHARS` characters each.
-
-Defined cases: a text that is null or has no letter is `und`, score 0 and rejected; ties go to the language
-first by name; without any training text all documents are `und`; repeated rows and extra columns do no harm.
+Calibration uses texts that the models haven't seen: a softmax temperature that makes the score a probability,
+and for each language a ceiling on the cross-entropy of its own texts. A text's excess is its distance from the
+mean of held-back texts in standard deviations, wider for short texts; the ceiling is the conformal quantile of
+their excesses at which a text of the language is rejected with a probability of `FALSE_REJECTION` at most. A
+language with fewer held-back texts than that level needs, 1 / FALSE_REJECTION - 1, rejects no text with letters.
+
+Models are fitted on a bounded sample: the `FIT` training texts of each language with the least hash of their
+doc_id; the next `HELD` calibrate. With fewer texts a fifth is held back, never a language's only one. A sampled text
+of more than `FIT_CHARS` characters is represented by pieces of 1000, evenly spaced over the whole of it.
+
+Defined cases: a text that is null or has no letter is `und`, score 0 and rejected, and isn't learned from; ties
+go to the language first by name; without any training text all documents are `und`; repeated rows and extra
+columns do no harm.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import id_remainder
+from verdara.llm.common import id_remainder, pieces_of, sample_by_group, tidy
 
 ORDER = 5
 CHUNK = 32
-PER_LANG = 300
+FIT, HELD = 300, 600
 FIT_CHARS = 20_000
 REMEMBERED = 250_000
-WIDTH = 8.0
+FALSE_REJECTION = 0.002
 UND = "und"
 _RUN = re.compile(r"[^\W\d_]{1,%d}" % CHUNK)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -129,13 +134,17 @@ class Identifier:
     def __init__(self, models: dict[str, Model]):
         self.langs = sorted(models)
         self.models = [models[x] for x in self.langs]
-        self.sharpness, self.ceilings = 1.0, np.full((len(self.langs), 3), np.inf)
+        self.sharpness, self.usual = 1.0, np.tile([0.0, 1.0, 1.0], (len(self.langs), 1))
+        self.ceilings = np.full(len(self.langs), np.inf)
         self._known: dict[str, int] = {}
         self._scores = np.zeros((0, len(self.langs) + 2))
 
     def __getstate__(self):
         return {**self.__dict__, "_known": {}, "_scores": np.zeros((0, len(self.langs) + 2))}
 
+    def forget(self) -> None:
+        self._known, self._scores = {}, np.zeros((0, len(self.langs) + 2))
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row a word: log-probability by language, characters predicted, letters."""
         _, place, number, hashes = _grams(words)
@@ -188,11 +197,15 @@ class Identifier:
         odds = np.exp(-self.sharpness * (entropy - least[:, None]))
         score = odds[np.arange(len(texts)), best] / odds.sum(axis=1)
         none = sums[:, -1] == 0
-        mean, spread, per_char = self.ceilings[best].T
-        rejected = none | (least > mean + WIDTH * np.sqrt(spread**2 + per_char**2 / n))
+        rejected = none | (self._excess(least, n, best) > self.ceilings[best])
         names = [UND if z else self.langs[b] for b, z in zip(best, none, strict=True)]
         return names, np.where(none, 0.0, score), np.where(none, np.nan, least), rejected
 
+    def _excess(self, entropy: np.ndarray, n: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
+        """How far a text of n characters lies above its language's usual cross-entropy, in standard deviations."""
+        mean, spread, per_char = self.usual[lang].T
+        return (entropy - mean) / np.sqrt(spread**2 + per_char**2 / n)
+
     def calibrate(self, texts: dict[str, list[str]]) -> None:
         """Fit the softmax and the ceilings on texts that the models haven't seen."""
         rows, truth = [], []
@@ -206,7 +219,11 @@ class Identifier:
             truth += [k] * len(sums)
             own, n = entropy[:, k], sums[:, -2]
             per_char = float(np.sqrt(np.average((own - np.average(own, weights=n)) ** 2 * n)))
-            self.ceilings[k] = (np.average(own, weights=n), own.std() if len(own) > 4 else 1.0, max(per_char, 1.0))
+            self.usual[k] = (np.average(own, weights=n), own.std() if len(own) > 4 else 1.0, max(per_char, 1.0))
+            # Of m held-back texts and one more, the latter has the r-th least excess or less with probability r / (m + 1).
+            place = math.ceil((len(own) + 1) * (1 - FALSE_REJECTION))
+            if place <= len(own):
+                self.ceilings[k] = np.sort(self._excess(own, n, k))[place - 1]
         if rows:
             entropy, truth = np.concatenate(rows), np.array(truth)
             losses = []
@@ -216,32 +233,26 @@ class Identifier:
             self.sharpness = grid[int(np.argmin(losses))]
 
 
-def sample(train: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """(lang, text) of the bounded training sample, from rows with doc_id, text and lang.
-
-    Ids are chosen first, so the window by language carries no text; a doc_id counts once.
-    """
-    fits = train.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.char_length("text") <= FIT_CHARS))
-    by = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = fits.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_lang)
-    chosen = [r["doc_id"] for r in ids.select("doc_id").collect()]  # at most per_lang a language
-    if not chosen:
-        return []
-    rows = fits.where(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x"), F.xxhash64("doc_id").alias("h"))
-    return [(r["lang"], r["text"]) for r in sorted(rows.select("x.lang", "x.text", "h", "doc_id").collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"]))]
+def sample(train: DataFrame, per_lang: int = FIT + HELD) -> list[tuple[str, str]]:
+    """(lang, text) of the bounded training sample, from rows with doc_id, text and lang."""
+    usable = F.when(F.col("text").rlike(r"\p{L}"), pieces_of(F.col("text"), FIT_CHARS))
+    return sample_by_group(train.select("doc_id", F.col("lang").alias("grp")), train, usable, per_lang)
 
 
 def fit(pairs: list[tuple[str, str]]) -> Identifier:
-    """Models from four fifths of the texts of each language, calibration from the rest."""
-    counts: dict[str, Counter] = {}
-    held: dict[str, list[str]] = {}
-    for k, (lang, text) in enumerate(pairs):
-        if k % 5 == 4:
-            held.setdefault(lang, []).append(text)
-        else:
-            counts.setdefault(lang, Counter()).update(words_of(text))
-    made = Identifier({lang: Model.fit(c) for lang, c in counts.items() if c})
+    """Models from the first texts of each language, calibration from the rest."""
+    by_lang: dict[str, list[str]] = {}
+    for lang, text in pairs:
+        by_lang.setdefault(lang, []).append(text)
+    models, held = {}, {}
+    for lang, texts in by_lang.items():
+        n = min(FIT, len(texts) - len(texts) // 5)
+        counts = Counter(w for text in texts[:n] for w in words_of(text))
+        if counts:
+            models[lang], held[lang] = Model.fit(counts), texts[n:]
+    made = Identifier(models)
     made.calibrate(held)
+    made.forget()
     return made
 
 
@@ -257,7 +268,7 @@ def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
                 names, score, entropy, rejected = model.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, lambda: shared.value.forget()), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def train(docs: DataFrame) -> Identifier:
@@ -278,4 +289,4 @@ def accepted(docs: DataFrame, identifier: Identifier) -> DataFrame:
                 _, _, _, rejected = model.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, lambda: shared.value.forget()), docs.schema)

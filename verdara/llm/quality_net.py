@@ -7,7 +7,8 @@ least of its chunks' values; one logistic unit turns them into a probability. Tr
 going through the maxima only.
 
 The classifier is fitted on a bounded sample: the `PER_CLASS` labelled documents of each class with the least
-hash of their doc_id, of at most `FIT_CHARS` characters each.
+hash of their doc_id. One of more than `FIT_CHARS` characters is represented by pieces of 1000, evenly spaced over
+the whole of it; labels without a document, and those of empty texts, are passed over.
 
 Defined cases: null or empty text has no chunk and gets the training sample's share of label 1; without
 labels of both classes every score is that share (0.5 with none); ties, repeated rows and extra columns do no
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import id_remainder
+from verdara.llm.common import id_remainder, pieces_of, sample_by_group, tidy
 
 WIDTH, STRIDE = 8, 4
 CHUNK, OVERLAP = 1024, 64
@@ -214,13 +215,10 @@ def _finish(net: Net, docs: list[np.ndarray], use: np.ndarray, y: np.ndarray) ->
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
     """Texts and labels of the bounded training sample (crc32(doc_id) mod 3 isn't 1)."""
     marks = labels.where("doc_id is not null and quality is not null").where(id_remainder(F.col("doc_id"), 3) != 1)
-    marks = marks.groupBy("doc_id").agg((F.max("quality") >= 1).cast("int").alias("y"))
-    by = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_class).select("doc_id", "y")
-    chosen = {r["doc_id"]: r["y"] for r in chosen.collect()}  # at most 2 * per_class
-    rows = docs.where(F.col("doc_id").isin(list(chosen)) & (F.char_length("text") <= FIT_CHARS)).groupBy("doc_id").agg(F.min("text").alias("text")).collect() if chosen else []
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows], [chosen[r["doc_id"]] for r in rows]
+    marks = marks.groupBy("doc_id").agg((F.max("quality") >= 1).cast("int").alias("grp"))
+    usable = F.when(F.col("text") != "", pieces_of(F.col("text"), FIT_CHARS))
+    rows = sample_by_group(marks, docs, usable, per_class)
+    return [text for _, text in rows], [y for y, _ in rows]
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
@@ -234,4 +232,4 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(part.column(1).to_pylist()))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
