@@ -6,8 +6,10 @@ import struct
 import zlib
 from itertools import combinations
 
+import public_tokenizers
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = public_tokenizers.path("word_bpe_49k.json").rsplit("/", 1)[0]
 
 
 def lower(text):
@@ -71,7 +73,9 @@ def conversations(rows):
         turns.sort()
         whole = "".join(f"{r}\n{t}\n" for _, r, t in turns)
         loss = "".join(t for _, r, t in turns if r == "assistant")
-        out.append((c, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+        # What escaping adds: a backslash at each "<", run of backslashes and "|"; and the four markers of a turn.
+        size = sum(len(r) + len(t) + len(re.findall(r"<\\*\|", t)) + len("<|im_start|>\n<|im_end|>\n") for _, r, t in turns)
+        out.append((c, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), size))
     return sorted(out)
 
 

@@ -12,7 +12,9 @@ holds a whole conversation. `digest` streams the sorted rows through running has
 
 Defined cases: null text is empty, a null role an empty role; null conv_ids form one conversation; turns
 are ordered by turn (nulls first), ties by role, then text; repeated rows are separate turns; a part of
-unknown type raises; an empty table gives no rows; extra columns are ignored.
+another type, or of none, is an attachment of kind `unknown` that expands to no tokens, a null part is nothing;
+an empty table gives no rows; extra columns are ignored, and so is a `content` that isn't an array of structs with
+a string `type`.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, NumericType, StringType, StructType
+
+from verdara.llm.common import tidy
 
 START, END = "<|im_start|>", "<|im_end|>"
 _BARE = re.compile(r"<(\\*)\|")
@@ -81,20 +87,22 @@ class Flattener:
 
     def image(self, part: dict) -> None:
         side = self.image_patch * self.image_merge
-        self._attach("image", part, math.ceil((part.get("width") or side) / side) * math.ceil((part.get("height") or side) / side))
+        self._attach("image", part, math.ceil(float(part.get("width") or side) / side) * math.ceil(float(part.get("height") or side) / side))
 
     def audio(self, part: dict) -> None:
-        self._attach("audio", part, math.ceil((part.get("seconds") or 0) * self.audio_per_second))
+        self._attach("audio", part, math.ceil(float(part.get("seconds") or 0) * self.audio_per_second))
 
     def document(self, part: dict) -> None:
-        self._attach("document", part, (part.get("pages") or 1) * self.document_per_page)
+        self._attach("document", part, math.ceil(part.get("pages") or 1) * self.document_per_page)
+
+    def unknown(self, part: dict) -> None:
+        self._attach("unknown", part, 0)
 
-    def visit(self, parts: list[dict]) -> Flattener:
+    def visit(self, parts: list[dict | None]) -> Flattener:
         handlers = {"text": self.text, "image": self.image, "audio": self.audio, "document": self.document}
         for part in parts:
-            if part["type"] not in handlers:
-                raise ValueError(f"unknown content part {part['type']!r}")
-            handlers[part["type"]](part)
+            if part is not None:
+                handlers.get(part.get("type"), self.unknown)(part)
         return self
 
 
@@ -109,13 +117,21 @@ def format_turn(role: str | None, parts: list[dict]) -> tuple[str, tuple[int, in
 _FORMATTED = "conv_id {}, turn long, role string, formatted string, loss_start long, loss_end long, attachments array<struct<kind:string,reference:string,tokens:long,at:long>>, extra_tokens long"
 
 
+def _is_typed(kind: DataType) -> bool:
+    if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, StructType):
+        return False
+    fields = {f.name: f.dataType for f in kind.elementType.fields}
+    numbers = all(isinstance(fields[n], NumericType) for n in ("width", "height", "seconds", "pages") if n in fields)
+    return isinstance(fields.get("type"), StringType) and numbers and all(isinstance(fields[n], StringType) for n in ("text", "ref") if n in fields)
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """A row a turn: the formatted text, its loss span, attachments and the tokens they expand to.
 
     `content`, an array of typed parts, is used if that column exists and isn't null; else `text`.
     """
     kind = dict(turns.dtypes)["conv_id"]
-    typed = "content" in turns.columns and "array<struct<" in dict(turns.dtypes)["content"]
+    typed = "content" in turns.columns and _is_typed(turns.schema["content"].dataType)
     columns = [F.col("conv_id"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"), *([F.col("content")] if typed else [])]
     attachment = pa.struct([("kind", pa.string()), ("reference", pa.string()), ("tokens", pa.int64()), ("at", pa.int64())])
 
@@ -133,7 +149,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                 ["conv_id", "turn", "role", "formatted", "loss_start", "loss_end", "attachments", "extra_tokens"],
             )
 
-    return turns.select(*columns).mapInArrow(run, _FORMATTED.format(kind))
+    return turns.select(*columns).mapInArrow(tidy(run), _FORMATTED.format(kind))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -170,14 +186,11 @@ def digest(formatted: DataFrame) -> DataFrame:
         if done:
             yield _batch(done)
 
-    id_type = formatted.select("conv_id").schema[0].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_id = to_arrow_type(id_type)
+    arrow_id = to_arrow_type(formatted.schema["conv_id"].dataType)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         types = [arrow_id, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -70,6 +70,22 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a `materialize` whose tables are deleted at the end; what is kept is written before by the other one."""
+    paths: list[str] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        paths.append(shared_path(spark, name))
+        return write_at(df, paths[-1])
+
+    try:
+        yield write
+    finally:
+        for path in paths:
+            remove(spark, path)
+
+
 def spare(df: DataFrame) -> str:
     """A column name longer than any of `df`, so that it clashes with none."""
     return "_" * (1 + max((len(c) for c in df.columns), default=0))

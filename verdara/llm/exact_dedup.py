@@ -5,7 +5,7 @@ the directory and the look-ups.
 
 Directory. It begins with one bucket of all keys. While a bucket holds more than `capacity` different keys it is
 split by the next bits of its keys, as many as its load asks for, and the directory of 2**depth slots is doubled
-as often as its deepest bucket needs. Splitting works on counts by key prefix of `DEEPEST` bits, so at most
+as often as its deepest bucket needs; slots of empty buckets aren't stored. Splitting works on counts by key prefix of `DEEPEST` bits, so at most
 2**DEEPEST rows however many documents there are; a bucket still overfull at that depth stays so, as one key's
 texts do anyway, and costs its owner time, not the result. With the input the capacity grows too, so that the
 directory has about `BUCKETS` buckets at most, which makes it a table of bounded size that every task may hold.

@@ -2,14 +2,17 @@
 
 1. A text's set is its distinct word shingles, as 64-bit hashes. Equal sets collapse into one node, found by
    a 128-bit digest, so copies meet in a map-side aggregate and never as pairs.
-2. A fixed-size count sketch over all texts orders shingles, rare ones first. Two sets of similarity t share
-   a shingle among the first n - ceil(t n) + 1 of either, whatever the order, so only those are posted.
+2. A count sketch over all texts, of four counters a document up to 2**24 of them, orders shingles, rare ones
+   first. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of either, whatever the order,
+   so only those are posted.
 3. First round. In each posting list the node whose shingle stands earliest (the one with fewest rarities,
    that is the middle of a group of near copies) is the pivot; pairs of pivot and member pass the length and
    positional filters and are verified. Verified links are merged into components.
 4. Second round. Only lists whose members still lie in different components give more pairs, only across
    components, and only those not verified before. Any link shares a posting list, so its ends are in one
    component or are verified: components are exact, though a group of m near copies costs about m pairs.
+   Before nodes are paired, a node's size and its shingle's place bound the sizes of its partners; it looks in
+   the bands of those sizes alone, and nodes that no partner is left for, in either role, are not looked at.
 5. Pairs pass a suffix filter on counts by hash range that nodes carry, so few texts move. Verification joins
    the two texts, tries the suffix filter again (lower bounds of the difference from splits of the sorted
    hashes), then counts the intersection.
@@ -29,14 +32,15 @@ is never the smallest unless all are null; an empty table gives no rows; extra c
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdara.llm.common import SMALL_BATCHES, materialize, remove, settings, shared_path, write_at
+from verdara.llm.common import SMALL_BATCHES, materialize, scratch, settings, spare, tidy
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
@@ -86,42 +90,44 @@ def signature(s: np.ndarray) -> bytes:
     return xxh3_128_digest(s.tobytes())
 
 
-def _gathered(rows: DataFrame, size: int, dtype: str) -> np.ndarray:
-    """Sum of the (block, values) rows that tasks made; the result's size is fixed, whatever the input's."""
+def _gathered(rows: DataFrame, out: np.ndarray, fold: np.ufunc) -> np.ndarray:
+    """The (block, values) rows that tasks made, folded into `out`, whose size is bounded whatever the input's."""
 
     def add(key, table):
         total = np.zeros(BLOCK, np.int64)
         for value in table.column("values").to_pylist():
-            total += np.frombuffer(value, dtype)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+            total = fold(total, np.frombuffer(value, f"<u{len(value) // BLOCK}"))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([np.minimum(total, 2**31 - 1).astype("<u4").tobytes()], pa.binary())})
 
-    out = np.zeros(size, "<i4")
     with settings(rows.sparkSession, **SMALL_BATCHES):
         for r in rows.groupBy("block").applyInArrow(add, "block int, values binary").toLocalIterator():
-            out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["values"], "<i4")
+            out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["values"], "<u4")
     return out
 
 
-def _blocks(counts: np.ndarray, dtype: str):
+def _blocks(counts: np.ndarray) -> pa.RecordBatch:
+    """The blocks in use, in as few bytes a counter as a block's largest needs."""
+    number, values = [], []
     for b in range(len(counts) // BLOCK):
         part = counts[b * BLOCK : (b + 1) * BLOCK]
-        if part.any():
-            yield b, part.astype(dtype).tobytes()
+        if top := int(part.max()):
+            number.append(b)
+            values.append(part.astype("u1" if top < 256 else "<u2" if top < 65_536 else "<u4").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(values, pa.binary())], ["block", "values"])
 
 
 def count_sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
     """Occurrences of shingles by the low bits of their hash, over all texts."""
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         mask = np.uint64((1 << bits) - 1)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 np.add.at(counts, (shingles(text, words) & mask).astype(np.int64), 1)
-        made = list(_blocks(np.minimum(counts, 2**31 - 1), "<i4"))
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], ["block", "values"])
+        yield _blocks(counts)
 
-    return _gathered(docs.select("text").mapInArrow(run, "block int, values binary"), 1 << bits, "<i4")
+    return _gathered(docs.select("text").mapInArrow(tidy(run), "block int, values binary"), np.zeros(1 << bits, np.int32), np.add)
 
 
 def profiles(docs: DataFrame, like: Likeness, sketch: np.ndarray) -> DataFrame:
@@ -148,38 +154,40 @@ def profiles(docs: DataFrame, like: Likeness, sketch: np.ndarray) -> DataFrame:
                 bins.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bins, pa.binary())], ["doc_id", "n", "sig", "prefix", "bins"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, sig binary, prefix array<bigint>, bins binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, sig binary, prefix array<bigint>, bins binary")
 
 
 def _wanted_bits(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each doc_id's hash: a filter of fixed size that only saves work."""
+    """A bit for each doc_id's hash, eight to a byte: a filter that only saves work."""
 
     def run(batches):
-        seen = np.zeros(1 << bits, bool)
+        seen = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches:
-            seen[batch.column(0).to_numpy()] = True
-        made = list(_blocks(seen, "u1"))
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], ["block", "values"])
+            at = batch.column(0).to_numpy()
+            np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield _blocks(seen)
 
     places = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("at"))
-    return np.packbits(_gathered(places.mapInArrow(run, "block int, values binary"), 1 << bits, "u1") > 0)
+    return _gathered(places.mapInArrow(tidy(run), "block int, values binary"), np.zeros(1 << bits - 3, np.uint8), np.bitwise_or)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, sig, text) of the nodes' representatives; wanted has node, sig and the doc_id that stands for it.
 
-    The filter keeps all but few other texts out of the shuffle. A doc_id that several rows share brings
-    several texts; those that don't have the node's signature are left out at verification.
+    A filter of 16 bits a wanted row, up to 2**26, keeps most other texts out of the shuffle. A doc_id that
+    several rows share brings several texts; those that don't have the node's signature are left out at verification.
     """
+    bits = min(26, max(18, math.ceil(math.log2(16 * max(wanted.count(), 1)))))
     seen = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted, bits))
 
     def run(batches):
-        have = np.unpackbits(seen.value).astype(bool)
+        have = seen.value
         for batch in batches:
-            part = batch.filter(pa.array(have[batch.column(2).to_numpy()]))
+            at = batch.column(2).to_numpy()
+            part = batch.filter(pa.array((have[at >> 3] >> (at & 7) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["doc_id", "text"])
 
-    near = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("at")).mapInArrow(run, docs.select("doc_id", "text").schema)
+    near = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("at")).mapInArrow(tidy(run), docs.select("doc_id", "text").schema)
     wanted = wanted.withColumnRenamed("doc_id", "_id")
     return near.join(wanted, near["doc_id"].eqNullSafe(wanted["_id"])).select("node", "sig", "text")
 
@@ -219,15 +227,20 @@ def plausible(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
             keep = pa.array(np.abs(x - y).sum(axis=1) <= most)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "x", "ny", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "x", "ny", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     """Of the (a, b) pairs of nodes those that are linked."""
-    pairs = materialize(plausible(pairs, nodes, like), "jaccard-plausible")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(ends.join(nodes.select("node", "sig", F.col("min_doc").alias("doc_id")), "node"), "jaccard-wanted")
-    texts = materialize(_texts(docs, wanted), "jaccard-texts")
+    with scratch(docs.sparkSession) as write:
+        pairs = write(plausible(pairs, nodes, like), "jaccard-plausible")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = write(ends.join(nodes.select("node", "sig", F.col("min_doc").alias("doc_id")), "node"), "jaccard-wanted")
+        texts = write(_texts(docs, wanted), "jaccard-texts")
+        return materialize(_verified(pairs, texts, like), "jaccard-verified")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("sig").alias("sx"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("sig").alias("sy"), F.col("text").alias("y"))
 
@@ -258,29 +271,30 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Likeness)
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "sx", "sy", "x", "y").mapInArrow(run, "a long, b long")
-    return materialize(found, "jaccard-verified")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sx", "sy", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each linked node's component, by large-star and small-star steps."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "jaccard-edges")
-    mark = None
-    while True:
-        # Large star: hang each node's larger neighbours on its least one.
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "jaccard-large")
-        # Small star: hang each node and its smaller neighbours on the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "jaccard-edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct()
+    with scratch(links.sparkSession) as write:
+        edges = write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "jaccard-edges")
+        while not _is_stars(edges):
+            # Large star: hang each node's larger neighbours on its least one.
+            both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = write(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "jaccard-large")
+            # Small star: hang each node and its smaller neighbours on the least of them.
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = write(small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "jaccard-edges")
+        return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct(), "jaccard-roots")
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one other at most, and none that hangs has others on it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(edges.select("v", F.lit(0), F.lit(1)))
+    by = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return by.where("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
 
 
 @dataclass
@@ -301,36 +315,58 @@ def _filters(nx, ny, px, py, like: Likeness):
     return (like.den * small >= like.num * large) & (upper * (like.den + like.num) >= like.num * (nx + ny))
 
 
-def jaccard_join(docs: DataFrame, like: Likeness = Likeness(), bits: int = 20) -> Joined:
+def _partners(nx, px, like: Likeness):
+    """Bounds of the sizes of partners of a set of nx shingles whose first shared one is at px: (least, most)."""
+    return F.ceil(like.num * nx / like.den), F.floor((nx - px) * (like.den + like.num) / like.num) - nx
+
+
+def _across(placed: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): pairs of a list's nodes from different components that pass the length and positional filters.
+
+    The larger set looks for the smaller, by token and band of sizes; bands are as wide as sizes of linked sets may
+    differ, so it looks in two or three. Sets of one size are told apart by their nodes' numbers.
+    """
+    band = lambda n: F.floor(F.log(n) / F.lit(math.log(like.den / like.num)))
+    least, most = _partners(F.col("n"), F.col("pos"), like)
+    named = lambda end: [F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "pos", "root")]
+    x = placed.withColumns({"low": F.greatest(least, F.lit(1)), "high": F.least(most, F.col("n"))}).where("low <= high")
+    x = x.select("token", *named("x"), F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"))
+    y = placed.where(most >= F.col("n")).select("token", *named("y"), band(F.col("n")).alias("band"))
+    c = F.col
+    once = (c("n_y") < c("n_x")) | ((c("n_y") == c("n_x")) & (c("node_y") < c("node_x")))
+    far = once & (c("root_x") != c("root_y")) & _filters(c("n_x"), c("n_y"), c("pos_x"), c("pos_y"), like)
+    return x.join(y, ["token", "band"]).where(far).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def jaccard_join(docs: DataFrame, like: Likeness = Likeness(), bits: int | None = None) -> Joined:
     docs = docs.select("doc_id", "text")
-    heavy = shared_path(docs.sparkSession, "jaccard-profiles")
-    profile = write_at(profiles(docs, like, count_sketch(docs, like.words, bits)), heavy)
-    by_sig = profile.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
-    nodes = materialize(by_sig.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")
-    profile = materialize(profile.select("doc_id", "n", "sig"), "jaccard-rows")
-    remove(docs.sparkSession, heavy)  # its prefixes now stand with the nodes
-    posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    star = posts.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("p"), F.count("*").alias("m")).where("m > 1")
-    star = star.select("token", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
-    lists = materialize(posts.join(star, "token"), "jaccard-lists")
-
-    near = _filters(F.col("n"), F.col("p_n"), F.col("pos"), F.col("p_pos"), like)
-    first = lists.where((F.col("node") != F.col("p_node")) & near).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-    first = materialize(first, "jaccard-pairs")
-    spanning = verify(first, nodes, docs, like)
-    roots = materialize(components(spanning), "jaccard-roots")
-
-    placed = lists.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    placed = materialize(placed.join(open_, "token", "left_semi"), "jaccard-open")
-    x, y = placed.alias("x"), placed.alias("y")
-    far = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _filters(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), like)
-    second = x.join(y, (F.col("x.token") == F.col("y.token")) & far).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-    if second.isEmpty():
-        return Joined(profile, nodes, spanning, roots)
-    spanning = materialize(spanning.unionByName(verify(second, nodes, docs, like)), "jaccard-spanning")
-    return Joined(profile, nodes, spanning, materialize(components(spanning), "jaccard-roots"))
+    if bits is None:
+        bits = min(24, max(20, math.ceil(math.log2(4 * max(docs.count(), 1)))))
+    with scratch(docs.sparkSession) as write:
+        heavy = write(profiles(docs, like, count_sketch(docs, like.words, bits)), "jaccard-profiles")
+        by_sig = heavy.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
+        nodes = materialize(by_sig.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")
+        rows = materialize(heavy.select("doc_id", "n", "sig"), "jaccard-rows")  # prefixes stand with the nodes
+    with scratch(docs.sparkSession) as write:
+        posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        star = posts.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("p"), F.count("*").alias("m")).where("m > 1")
+        star = star.select("token", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
+        lists = write(posts.join(star, "token"), "jaccard-lists")
+
+        near = _filters(F.col("n"), F.col("p_n"), F.col("pos"), F.col("p_pos"), like)
+        first = lists.where((F.col("node") != F.col("p_node")) & near).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+        first = write(first, "jaccard-pairs")
+        spanning = verify(first, nodes, docs, like)
+        roots = components(spanning)
+
+        placed = lists.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        placed = write(placed.join(open_, "token", "left_semi"), "jaccard-open")
+        second = write(_across(placed, like).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not second.isEmpty():
+            spanning = materialize(spanning.unionByName(verify(second, nodes, docs, like)), "jaccard-spanning")
+            roots = components(spanning)
+    return Joined(rows, nodes, spanning, roots)
 
 
 def _dealt(joined: Joined, docs: DataFrame, like: Likeness) -> DataFrame:
@@ -350,7 +386,7 @@ def _dealt(joined: Joined, docs: DataFrame, like: Likeness) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
 
     # Rows that share a doc_id and a set bring it once each; one is enough.
-    sets = materialize(texts.mapInArrow(run, "node long, items binary").groupBy("node").agg(F.first("items").alias("items")), "jaccard-sets")
+    sets = materialize(texts.mapInArrow(tidy(run), "node long, items binary").groupBy("node").agg(F.first("items").alias("items")), "jaccard-sets")
     sizes = ends.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     sizes = materialize(sizes.select("root", "total", F.ceil(F.greatest(F.col("m") / CHUNK_NODES, F.col("total") / CHUNK_ITEMS)).alias("k")), "jaccard-sizes")
     small = sizes.where("k = 1").agg(F.sum("total")).first()[0] or 0
@@ -465,8 +501,6 @@ def thin(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     Documents without a set stay. Rows that share a doc_id are judged together: if one of them is its
     component's least, one row for each of their texts stays, else none.
     """
-    from pyspark.sql import Window
-
     found = components_of(docs, like).groupBy("doc_id").agg(F.max((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n"))
     found = materialize(found, "jaccard-members")
     # The ids to take out are written, so that their size is known: few are broadcast, many are not.
@@ -476,5 +510,5 @@ def thin(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     if shared.isEmpty():
         return kept
     rows = docs.join(shared, docs["doc_id"].eqNullSafe(shared["_shared"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).orderBy(F.lit(1)))
-    return kept.unionByName(rows.withColumn("_n", first).where("_n = 1").drop("_n"))
+    first, nth = F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).orderBy(F.lit(1))), spare(docs)
+    return kept.unionByName(rows.withColumn(nth, first).where(F.col(nth) == 1).drop(nth))

@@ -38,7 +38,7 @@ from verdara.llm.common import id_remainder, pieces_of, sample_by_group, tidy
 
 ORDER = 5
 CHUNK = 32
-FIT, HELD = 300, 600
+FIT, HELD = 500, 600
 FIT_CHARS = 20_000
 REMEMBERED = 250_000
 FALSE_REJECTION = 0.002

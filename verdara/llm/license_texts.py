@@ -17,6 +17,9 @@ _MIT_LIABILITY = "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE F
 _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+_X11 = f"{_MIT_GRANT}, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n{_WARRANTY} {_MIT_LIABILITY.replace('THE AUTHORS OR COPYRIGHT HOLDERS', 'THE X CONSORTIUM')}\nExcept as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium.\nX Window System is a trademark of X Consortium, Inc."
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."
+
 #: (licence id, kind, text); kind is "text" for a whole licence, "notice" for a short statement of one.
 TEXTS: list[tuple[str, str, str]] = [
     ("MIT", "text", f"MIT License\n{_MIT_GRANT}, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n{_WARRANTY} {_MIT_LIABILITY}"),
@@ -29,6 +32,19 @@ TEXTS: list[tuple[str, str, str]] = [
     ("BSD-2-Clause", "text", f"{_BSD_HEAD}\n1. {_BSD_SOURCE}\n2. {_BSD_BINARY}\n{_BSD_WARRANTY}"),
     ("BSD-3-Clause", "text", f"BSD 3-Clause License\n{_BSD_HEAD}\n1. {_BSD_SOURCE}\n2. {_BSD_BINARY}\n3. {_BSD_NAMES}\n{_BSD_WARRANTY}"),
     ("BSD-3-Clause", "text", f"{_BSD_HEAD}\n1. {_BSD_SOURCE}\n2. {_BSD_BINARY}\n3. {_BSD_NAMES}\n{_BSD_WARRANTY}"),
+    ("BSD-1-Clause", "text", f"{_BSD_HEAD}\n1. {_BSD_SOURCE}\n{_BSD_WARRANTY}"),
+    ("BSD-4-Clause-UC", "text", f"{_BSD_HEAD}\n1. {_BSD_SOURCE}\n2. {_BSD_BINARY}\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the University of California, Berkeley and its contributors.\n4. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n{_BSD_WARRANTY.replace('THE COPYRIGHT HOLDERS AND CONTRIBUTORS', 'THE REGENTS AND CONTRIBUTORS').replace('THE COPYRIGHT HOLDER OR CONTRIBUTORS', 'THE REGENTS OR CONTRIBUTORS')}"),
+    ("X11", "text", f"X11 License\n{_X11}"),
+    ("X11", "text", _X11),
+    ("JSON", "text", f"{_MIT_GRANT}, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nThe Software shall be used for Good, not Evil.\n{_WARRANTY} {_MIT_LIABILITY}"),
+    ("curl", "text", f'Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n{_WARRANTY.replace("NONINFRINGEMENT.", "NONINFRINGEMENT OF THIRD PARTY RIGHTS.")} {_MIT_LIABILITY}\nExcept as contained in this notice, the name of a copyright holder shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization of the copyright holder.'),
+    ("Zlib", "text", f"zlib License\n{_ZLIB}"),
+    ("Zlib", "text", _ZLIB),
+    ("PostgreSQL", "text", 'Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.\nIN NO EVENT SHALL THE UNIVERSITY OF CALIFORNIA BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL, OR CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING OUT OF THE USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF THE UNIVERSITY OF CALIFORNIA HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.\nTHE UNIVERSITY OF CALIFORNIA SPECIFICALLY DISCLAIMS ANY WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. THE SOFTWARE PROVIDED HEREUNDER IS ON AN "AS IS" BASIS, AND THE UNIVERSITY OF CALIFORNIA HAS NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, ENHANCEMENTS, OR MODIFICATIONS.'),
+    ("WTFPL", "text", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\nCopyright (C) 2004 Sam Hocevar <sam@hocevar.net>\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("FSFAP", "text", "Copying and distribution of this file, with or without modification, are permitted in any medium without royalty provided the copyright notice and this notice are preserved. This file is offered as-is, without any warranty."),
+    ("Fair", "text", "Usage of the works is permitted provided that this instrument is retained with the works, so that any entity that uses the works is notified of this instrument.\nDISCLAIMER: THE WORKS ARE WITHOUT WARRANTY."),
+    ("blessing", "text", "The author disclaims copyright to this source code. In place of a legal notice, here is a blessing:\nMay you do good and not evil.\nMay you find forgiveness for yourself and forgive others.\nMay you share freely, never taking more than you give."),
     ("Apache-2.0", "notice", _APACHE_NOTICE),
     ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "notice", "SPDX-License-Identifier: Apache-2.0"),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import materialize
+from verdara.llm.common import materialize, tidy
 
 LIMIT = 2048
 GROUP = 20_000
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, lambda: word_tokens(path).clear()), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:

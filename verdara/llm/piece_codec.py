@@ -27,6 +27,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from verdara.llm.common import tidy
+
 SPACE = "▁"
 NEVER = float("-inf")
 LONGEST = 48
@@ -251,4 +253,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

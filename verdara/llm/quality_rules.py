@@ -1,13 +1,21 @@
 """Quality rules whose cutoffs carry a guarantee; DataFrame functions only.
 
-Rules compare integer measures of a text with a fixed ladder of cutoffs, lenient to strict. Labelled
-documents (quality = 1) are the holdout of each stratum, a language. For a cutoff that falsely rejects k of
-a stratum's n good documents, P(X <= k | n, max_false) is the exact binomial (Clopper-Pearson) p-value of
-"it rejects more than max_false of good documents". A ladder is walked from its lenient end and stops at the
-first p-value above level / number of (rule, stratum) ladders: fixed-sequence testing inside a ladder,
-Bonferroni across them. So with confidence 1 - level no cutoff in use rejects more than max_false of the
-good documents of its stratum. Of the certified cutoffs the one with most bad documents rejected, less
-`cost` times the good ones, is used, the lenient one on a tie; if none gains, the rule is off.
+Rules compare integer measures of a text with a fixed ladder of cutoffs, lenient to strict. Labelled documents
+that pass the base rule are dealt by a hash of their doc_id: a quarter selects, the rest, the holdout, certifies.
+Strata are languages.
+
+Selection. For each stratum and rule, of the cutoffs that reject at most a share `max_false` of the quarter's good
+documents (quality = 1) the one with most bad documents rejected, less `cost` times the good ones; the lenient one
+on a tie; none if nothing is gained. A stratum's rules are ranked by that gain.
+
+Certification. What may be rejected falsely is bounded for a stratum's rules together. U_j is the union of its
+first j rules. If it rejects k of the holdout's n good documents, P(X <= k | n, max_false) is the exact binomial
+(Clopper-Pearson) p-value of "U_j rejects more than max_false of good documents". The U_j are nested and their
+order is fixed before the holdout is looked at, so they are tested one after another, each at the whole level,
+until one fails (fixed-sequence testing); across strata the level is divided by their number (Bonferroni). So
+with confidence 1 - level no stratum's rules in use, all taken together, reject more than max_false of its good
+documents. With fewer than log(level / strata) / log(1 - max_false) good documents in the holdout, 436 for four
+strata, no rule of a stratum can be certified and only the base rule rejects.
 
 Measures are computed inside each row (no explode), so a long document costs its length and no shuffle
 carries words.
@@ -19,7 +27,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdara.llm.common import materialize
@@ -110,28 +118,58 @@ def _binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.least(F.lit(1.0), F.aggregate(steps, start, add, lambda a: a["s"]))
 
 
-def certify(measures: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, level: float = LEVEL, cost: int = COST) -> DataFrame:
-    """(stratum, rule, cutoff): the cutoffs in use."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    held = measures.where(~base_failed()).join(marks, "doc_id")
-    stratum = F.coalesce(F.col("lang"), F.lit("")).alias("stratum")
+def selects(doc_id: Column) -> Column:
+    """Whether a labelled document belongs to the quarter that selects cutoffs."""
+    return F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 1) < "4"
+
+
+def _named(cutoffs: DataFrame, value: str, prefix: str) -> DataFrame:
+    """A row a stratum, with a column for each rule."""
+    return cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first(value)).withColumnsRenamed({r: prefix + r for r in RULES})
+
+
+def _hit_rules(value) -> Column:
+    """Array of value(rule) for the rules whose cutoff, in the columns cut_*, rejects the row."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(_hits(num, den, way, F.col(f"cut_{r}")), F.lit(False)), value(r)) for r, (num, den, way, _) in RULES.items()]))
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A table of a row a stratum, to be broadcast while it is small; beyond that joins are left to the optimizer."""
+    return F.broadcast(table) if table.count() <= 10_000 else table
+
+
+def select_cutoffs(held: DataFrame, max_false: float, cost: int) -> DataFrame:
+    """(stratum, rule, cutoff, rank) from labelled rows (stratum, quality, measures)."""
     steps = [(rule, step, cut, num, den, way) for rule, (num, den, way, cuts) in RULES.items() for step, cut in enumerate(cuts)]
     good, bad = F.col("quality") == 1, F.col("quality") != 1
     counts = [F.count_if(good & _hits(num, den, way, cut)).alias(f"g{i}") for i, (_, _, cut, num, den, way) in enumerate(steps)]
     counts += [F.count_if(bad & _hits(num, den, way, cut)).alias(f"b{i}") for i, (_, _, cut, num, den, way) in enumerate(steps)]
-    by = held.groupBy(stratum).agg(F.count_if(good).alias("n"), *counts)
-    rows = [F.struct(F.lit(r).alias("rule"), F.lit(s).alias("step"), F.lit(c).alias("cutoff"), F.col(f"g{i}").alias("k"), F.col(f"b{i}").alias("bad")) for i, (r, s, c, *_) in enumerate(steps)]
-    # One row a stratum with the ladders inside, written so that counting the strata doesn't repeat the work.
-    by = materialize(by.select("stratum", "n", F.array(*rows).alias("steps")), "quality-ladders")
-    ladders = max(1, by.count()) * len(RULES)
-    tested = by.select("stratum", "n", F.inline("steps")).withColumn("p", _binomial_cdf(F.col("k"), F.col("n"), max_false))
-    ok = (F.col("n") > 0) & (F.col("p") <= level / ladders)
-    # Walk each ladder up to its first step that isn't certified.
-    stop = tested.groupBy("stratum", "rule").agg(F.coalesce(F.min(F.when(~ok, F.col("step"))), F.lit(1_000_000)).alias("stop"))
-    certified = tested.join(stop, ["stratum", "rule"]).where("step < stop")
+    by = held.groupBy("stratum").agg(F.count_if(good).alias("n"), *counts)
+    order = {r: i for i, r in enumerate(RULES)}
+    rows = [F.struct(F.lit(r).alias("rule"), F.lit(order[r]).alias("place"), F.lit(s).alias("step"), F.lit(c).alias("cutoff"), F.col(f"g{i}").alias("k"), F.col(f"b{i}").alias("bad")) for i, (r, s, c, *_) in enumerate(steps)]
     gain = F.col("bad") - cost * F.col("k")
-    best = certified.where(gain > 0).groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain, -F.col("step"))).alias("cutoff"))
-    return best
+    fits = by.select("stratum", "n", F.inline(F.array(*rows))).withColumn("gain", gain).where((F.col("gain") > 0) & (F.col("k") <= F.col("n") * max_false))
+    best = fits.groupBy("stratum", "rule", "place").agg(F.max_by(F.struct("cutoff", "gain"), F.struct(F.col("gain"), -F.col("step"))).alias("b"))
+    ranked = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("b.gain"), "place"))  # as many rows as there are rules
+    return best.select("stratum", "rule", "b.cutoff", ranked.alias("rank"))
+
+
+def certify(measures: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, level: float = LEVEL, cost: int = COST) -> DataFrame:
+    """(stratum, rule, cutoff): the cutoffs in use."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    numbers = sorted({x for num, den, _, _ in RULES.values() for x in (num, den)})
+    held = measures.where(~base_failed()).select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), *numbers).join(marks, "doc_id")
+    held = materialize(held.select("stratum", "quality", selects(F.col("doc_id")).alias("selects"), *numbers), "quality-held")
+    strata = max(1, held.select("stratum").distinct().count())
+    chosen = materialize(select_cutoffs(held.where("selects"), max_false, cost), "quality-chosen")
+    wide = materialize(_named(chosen, "cutoff", "cut_").join(_named(chosen, "rank", "rank_"), "stratum"), "quality-wide")
+    first = F.array_min(_hit_rules(lambda r: F.col(f"rank_{r}")))
+    good = held.where("not selects and quality = 1").join(_few(wide), "stratum").select("stratum", first.alias("first"))
+    tests = F.array(*[F.struct(F.lit(j).alias("rank"), F.count_if(F.col("first") <= j).alias("k")) for j in range(1, len(RULES) + 1)])
+    by = materialize(good.groupBy("stratum").agg(F.count("*").alias("n"), tests.alias("tests")), "quality-tests")
+    certified = by.select("stratum", "n", F.inline("tests")).where(_binomial_cdf(F.col("k"), F.col("n"), max_false) <= level / strata)
+    # p-values rise with the rank, so the ranks that pass are those before the first that fails.
+    return chosen.join(certified.select("stratum", "rank"), ["stratum", "rank"]).select("stratum", "rule", "cutoff")
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, level: float = LEVEL, cost: int = COST) -> DataFrame:
@@ -150,12 +188,8 @@ def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _verdicts(measures: DataFrame, labels: DataFrame, max_false: float, level: float, cost: int, keep: list[str] | None = None) -> DataFrame:
-    cutoffs = certify(measures, labels, max_false, level, cost).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    cutoffs = materialize(cutoffs.withColumnsRenamed({r: f"cut_{r}" for r in RULES}), "quality-cutoffs")
-    if cutoffs.count() <= 10_000:  # a row a stratum; beyond that the join is left to the optimizer
-        cutoffs = F.broadcast(cutoffs)
-    joined = measures.join(cutoffs, F.coalesce(measures["lang"], F.lit("")) == cutoffs["stratum"], "left")
-    failed = F.array_compact(F.array(*[F.when(F.coalesce(_hits(num, den, way, F.col(f"cut_{r}")), F.lit(False)), F.lit(r)) for r, (num, den, way, _) in RULES.items()]))
-    base = base_failed()
+    cutoffs = materialize(_named(certify(measures, labels, max_false, level, cost), "cutoff", "cut_"), "quality-cutoffs")
+    joined = measures.join(_few(cutoffs), F.coalesce(measures["lang"], F.lit("")) == cutoffs["stratum"], "left")
+    failed, base = _hit_rules(F.lit), base_failed()
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return joined.select(*(keep or []), *names, base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), F.array_join(failed, ",").alias("failed_rules"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdara.llm import chat, exact_dedup, jaccard_join, language_id, license_scan, packing, piece_codec, quality_net, quality_rules, sharding
 from verdara.llm.common import id_remainder, read_table, shared_path
 
-#: Folder of the public tokenizers' vocabulary files.
-TOKENIZERS = os.environ.get("VERDARA_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_path(name: str) -> str:
+    """Where the vocabulary file of a public tokenizer lies, on the driver and on executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +27,16 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three arrivals of documents, then compaction; where each row lies in the committed version."""
+    """Three arrivals of documents in shards of 16384 rows at most, 16 of an arrival at least; then compaction;
+    where each row lies in the committed version."""
     docs = read_table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, shared_path(spark, "shards"), docs.schema)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    rows = docs.count()
     for low, high in ((0, 10), (10, 14), (14, 16)):
-        store.append(docs.where((part >= low) & (part < high)))
+        store.append(docs.where((part >= low) & (part < high)), max(1, min(16_384, rows * (high - low) // 256)))
     store.compact()
-    store.vacuum()
+    store.vacuum(keep_versions=1, grace_s=0)  # nothing else reads this store
     return sharding.place(store)
 
 
@@ -41,7 +45,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +56,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode_documents(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return piece_codec.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,22 +8,28 @@ partitions of the target size and writes each as it is read: no shuffle. A commi
 aside and renames it to its version's name, which fails if that version exists, so readers see an old or
 a new version and a failed or repeated task leaves only files that no manifest names.
 
-The manifest is bounded by the number of shards, not rows. Defined cases: nulls, repeated rows and extra
-columns are stored as they are; an empty arrival adds no shard; an empty store reads as no rows with the
-given schema.
+Writers that lose a race try again on the newer version: an append adds its shards to that; a merge stands as long
+as all shards that it replaces are still there, else its files are dropped. `vacuum` leaves the newest versions and
+whatever is younger than a time of grace to readers and running writers, and deletes all other files, those of
+failed tasks too.
+
+The manifest is bounded by the number of shards, not rows. Defined cases: nulls, repeated rows, very long texts and
+extra columns, one named `_metadata` too, are stored as they are; an empty arrival adds no shard; an empty store
+reads as no rows with the given schema.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from verdara.llm.common import shared_path
+from verdara.llm.common import settings, shared_path
 
 TARGET_BYTES = 128 << 20
 FANOUT = 4
@@ -86,21 +92,43 @@ class ShardStore:
             raise
         return base + 1
 
+    def _publish(self, change) -> int:
+        """Commit change(shards) upon the newest version, again upon a newer one as often as another writer is first.
+
+        `change` gives None when it has become pointless; then nothing is committed.
+        """
+        while True:
+            base, shards = self.manifest()
+            made = change(shards)
+            if made is None:
+                return base
+            try:
+                return self.commit(base, made)
+            except CommitConflict:
+                continue
+
     # -- writing ----------------------------------------------------------------------------------
     def _written(self, folder: str) -> list[Shard]:
         files = {s.getPath().toString(): s.getLen() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")}
         if not files:
             return []
-        rows = self.spark.read.schema(self.schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
+        found = self.spark.read.schema(self.schema).parquet(folder)
+        rows = found.groupBy(found.metadataColumn("_metadata")["file_name"].alias("f")).count().collect()
         by_name = {r["f"]: r["count"] for r in rows}
         return [Shard(p, n, by_name[p.rsplit("/", 1)[1]]) for p, n in sorted(files.items()) if by_name.get(p.rsplit("/", 1)[1])]
 
-    def append(self, arrival: DataFrame) -> int:
-        """Write an arrival as immutable shards, one for each of its partitions, and commit them."""
-        base, shards = self.manifest()
-        folder = f"{self.root}/data/{shared_path(self.spark, 'a').rsplit('/', 1)[1]}"
-        arrival.write.parquet(folder)
-        return self.commit(base, shards + self._written(folder))
+    def _folder(self, kind: str) -> str:
+        return f"{self.root}/data/{shared_path(self.spark, kind).rsplit('/', 1)[1]}"
+
+    def append(self, arrival: DataFrame, rows_per_shard: int = 0) -> int:
+        """Write an arrival as immutable shards and commit them.
+
+        Each partition of the arrival is a shard, or several of `rows_per_shard` rows if that is given.
+        """
+        folder = self._folder("a")
+        arrival.write.option("maxRecordsPerFile", rows_per_shard).parquet(folder)
+        made = self._written(folder)
+        return self._publish(lambda shards: shards + made)
 
     def runs(self, shards: list[Shard]) -> list[list[Shard]]:
         """Shards to merge, by tier: similar sizes, at least `fanout` of them, all below the target."""
@@ -111,38 +139,44 @@ class ShardStore:
         return [run for _, run in sorted(tiers.items()) if len(run) >= self.fanout]
 
     def compact(self) -> int:
-        """Merge each run into files near the target size; one commit swaps all of them."""
-        base, shards = self.manifest()
-        runs = self.runs(shards)
-        if not runs:
-            return base
-        gone, made = set(), []
-        packing = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        before = {k: self.spark.conf.get(k, None) for k in packing}
-        try:
-            for k, v in packing.items():
-                self.spark.conf.set(k, v)
-            for run in runs:
-                folder = f"{self.root}/data/{shared_path(self.spark, 'c').rsplit('/', 1)[1]}"
-                self.spark.read.schema(self.schema).parquet(*[s.path for s in run]).write.parquet(folder)
-                made += self._written(folder)
-                gone |= {s.path for s in run}
-        finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-        return self.commit(base, [s for s in shards if s.path not in gone] + made)
-
-    def vacuum(self) -> int:
-        """Delete the shards that only superseded manifests name; returns how many."""
-        version, live = self.manifest()
-        keep = {s.path for s in live}
-        old = {s.path for v in self.versions() if v != version for s in self.manifest(v)[1]} - keep
-        for path in old:
+        """Merge runs into files near the target size until there is no run; each round is one commit."""
+        while runs := self.runs(self.manifest()[1]):
+            gone, made = set(), []
+            with settings(self.spark, spark__sql__files__maxPartitionBytes=str(self.target), spark__sql__files__openCostInBytes="0", spark__sql__files__minPartitionNum="1"):
+                for run in runs:
+                    folder = self._folder("c")
+                    self.spark.read.schema(self.schema).parquet(*[s.path for s in run]).write.parquet(folder)
+                    made += self._written(folder)
+                    gone |= {s.path for s in run}
+            version = self._publish(lambda shards, gone=gone, made=made: [s for s in shards if s.path not in gone] + made if gone <= {s.path for s in shards} else None)
+            if not {s.path for s in made} <= {s.path for s in self.manifest(version)[1]}:
+                self._drop([s.path for s in made])  # another merge was first
+        return self.manifest()[0]
+
+    def _drop(self, paths: list[str]) -> None:
+        for path in paths:
             self._fs.delete(self._path(path), False)
-        for v in self.versions():
-            if v != version:
-                self._fs.delete(self._path(f"{self.root}/manifest/v{v:08d}.json"), False)
-        return len(old)
+
+    def vacuum(self, keep_versions: int = 2, grace_s: float = 3600.0) -> int:
+        """Delete files that none of the newest versions names and that are older than the grace; returns how many shards."""
+        now = time.time()
+        old = lambda status: status.getModificationTime() / 1000 <= now - grace_s
+        versions = self.versions()
+        kept = versions[-keep_versions:]
+        for v in versions[: -len(kept) or None] if kept else []:
+            path = self._path(f"{self.root}/manifest/v{v:08d}.json")
+            if old(self._fs.getFileStatus(path)):
+                self._fs.delete(path, False)
+        live = {s.path for v in self.versions() for s in self.manifest(v)[1]}
+        data, gone = self._path(f"{self.root}/data"), []
+        if self._fs.exists(data):
+            files = self._fs.listFiles(data, True)
+            while files.hasNext():
+                status = files.next()
+                if old(status) and status.getPath().toString() not in live:
+                    gone.append(status.getPath().toString())
+        self._drop(gone)
+        return sum(path.endswith(".parquet") for path in gone)
 
     # -- reading ----------------------------------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame:
@@ -159,5 +193,7 @@ def place(store: ShardStore) -> DataFrame:
     if not shards:
         return store.spark.createDataFrame([], "doc_id long, shard string, position long, version int, shard_rows long, shard_bytes long")
     sizes = store.spark.createDataFrame([(s.path.rsplit("/", 2)[1] + "/" + s.path.rsplit("/", 1)[1], s.rows, s.size) for s in shards], "shard string, shard_rows long, shard_bytes long")
-    rows = store.read().select("doc_id", F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)$", 1).alias("shard"), F.col("_metadata.row_index").alias("position"))
+    found = store.read()
+    place = found.metadataColumn("_metadata")
+    rows = found.select("doc_id", F.regexp_extract(place["file_path"], r"([^/]+/[^/]+)$", 1).alias("shard"), place["row_index"].alias("position"))
     return rows.join(sizes, "shard").select("doc_id", "shard", "position", F.lit(version).alias("version"), "shard_rows", "shard_bytes")

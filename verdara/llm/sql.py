@@ -18,6 +18,7 @@ def _lower(x: str) -> str:
 def _quality() -> str:
     ladders = ", ".join(f"('{r}', {s}, {c})" for r, (_, _, _, cuts) in RULES.items() for s, c in enumerate(cuts))
     hit = " ".join(f"WHEN rule = '{r}' THEN 1000 * {num} {'>=' if way > 0 else '<='} cutoff * {den}" for r, (num, den, way, _) in RULES.items())
+    rules = f"[{', '.join(_text(r) for r in RULES)}]"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, stratum, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -33,17 +34,19 @@ m0 AS (SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m0),
 marks AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
 steps(rule, step, cutoff) AS (VALUES {ladders}),
-held AS (SELECT m.*, quality FROM m JOIN marks USING (doc_id) WHERE NOT base_failed),
-by_step AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (quality = 1) AS n,
-  count(*) FILTER (quality = 1 AND (CASE {hit} END)) AS k, count(*) FILTER (quality <> 1 AND (CASE {hit} END)) AS bad
-  FROM held CROSS JOIN steps GROUP BY ALL),
-tested AS (SELECT *, list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({MAX_FALSE}) + (n - j) * ln(1 - {MAX_FALSE})))) AS p FROM by_step),
-ok AS (SELECT *, n > 0 AND p <= {LEVEL} / ((SELECT count(DISTINCT stratum) FROM held) * {len(RULES)}) AS pass FROM tested),
-stop AS (SELECT stratum, rule, coalesce(min(step) FILTER (NOT pass), 1000000) AS stop FROM ok GROUP BY 1, 2),
-best AS (SELECT stratum, rule, arg_max(cutoff, (bad - {COST} * k) * 1000 - step) AS cutoff FROM ok JOIN stop USING (stratum, rule)
-  WHERE step < stop AND bad - {COST} * k > 0 GROUP BY 1, 2),
+held AS (SELECT m.*, quality, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '4' AS selects, row_number() OVER () AS rid FROM m JOIN marks USING (doc_id) WHERE NOT base_failed),
+sel AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND (CASE {hit} END)) AS k,
+  count(*) FILTER (quality <> 1 AND (CASE {hit} END)) - {COST} * count(*) FILTER (quality = 1 AND (CASE {hit} END)) AS gain
+  FROM held CROSS JOIN steps WHERE selects GROUP BY ALL),
+chosen AS (SELECT stratum, rule, arg_max(cutoff, gain * 1000 - step) AS cutoff, max(gain) AS gain FROM sel WHERE gain > 0 AND k <= n * {MAX_FALSE} GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, list_position({rules}, rule)) AS rank FROM chosen),
+good AS (SELECT stratum, count(*) AS n FROM held WHERE NOT selects AND quality = 1 GROUP BY 1),
+first AS (SELECT stratum, rid, min(rank) AS rank FROM held JOIN ranked USING (stratum) WHERE NOT selects AND quality = 1 AND (CASE {hit} END) GROUP BY 1, 2),
+tested AS (SELECT r.stratum, r.rule, r.cutoff, any_value(good.n) AS n, count(first.rid) AS k FROM ranked r JOIN good USING (stratum) LEFT JOIN first ON first.stratum = r.stratum AND first.rank <= r.rank GROUP BY ALL),
+best AS (SELECT stratum, rule, cutoff FROM tested WHERE list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({MAX_FALSE}) + (n - j) * ln(1 - {MAX_FALSE}))))
+  <= {LEVEL} / (SELECT count(DISTINCT stratum) FROM held)),
 failed AS (SELECT doc_id, string_agg(rule, ',' ORDER BY rank) AS rules FROM (
-  SELECT m.doc_id, rule, list_position([{", ".join(f"'{r}'" for r in RULES)}], rule) AS rank FROM m JOIN best USING (stratum) WHERE CASE {hit} END) GROUP BY 1)
+  SELECT m.doc_id, rule, list_position({rules}, rule) AS rank FROM m JOIN best USING (stratum) WHERE CASE {hit} END) GROUP BY 1)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS failed_rules
 FROM m LEFT JOIN failed ON failed.doc_id = m.doc_id"""
 
