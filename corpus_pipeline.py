@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdara.llm import exact_dedup, jaccard_join, language_id, packing, quality_rules
 from verdara.llm.common import materialize, read_table
-from verdara.llm.queries import TOKENIZERS
+from verdara.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of the documents, packed into sequences."""
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [
