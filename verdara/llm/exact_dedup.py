@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdara.llm.common import ascii_lower, materialize, remove, shared_path, spare, write_at
@@ -124,24 +124,21 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key: Callable[[Column
 def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`docs` without all but one of each group of equal texts; columns as they were.
 
-    Rows that share both text and doc_id are thinned to one by a row number within that id.
+    Ids alone say which rows go; the SHA-256 is looked at for repeated ids only. Rows that share both text and
+    doc_id are thinned to one by a row number within that id.
     """
-    from pyspark.sql import Window
-
     found = Index(docs, capacity).find()
-    by_row = found.groupBy(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
-    decided = materialize(by_row.agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"), F.count("*").alias("n")), "dedup-decided")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    by_id = materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(stays).alias("stays"), F.count("*").alias("n")), "dedup-decided")
     # Written, so that its size is known: few ids to take out are broadcast, many are not.
-    out = materialize(decided.where("not stays or n > 1").select("_id", "_sha"), "dedup-out")
-    sha = F.unhex(F.sha2(normalised(docs["text"]).cast("binary"), 256))
-
-    def match(ids: DataFrame, how: str) -> DataFrame:
-        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]) & (sha == ids["_sha"]), how)
-
-    kept = match(out, "left_anti")
-    shared = materialize(decided.where("stays and n > 1").select("_id", "_sha"), "dedup-shared")
-    if shared.isEmpty():
+    out = materialize(by_id.where("not stays or n > 1").select("_id"), "dedup-out")
+    kept = docs.join(out, docs["doc_id"].eqNullSafe(out["_id"]), "left_anti")
+    again = materialize(by_id.where("stays and n > 1").select("_id"), "dedup-again")
+    if again.isEmpty():
         return kept
-    nth = spare(docs)
-    numbered = match(shared, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.lit(1))))
+    own = found.where(stays).join(again, found["doc_id"].eqNullSafe(again["_id"]), "left_semi").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
+    own = materialize(own.distinct(), "dedup-repeated")
+    sha, nth = F.unhex(F.sha2(normalised(docs["text"]).cast("binary"), 256)), spare(docs)
+    rows = docs.join(own, docs["doc_id"].eqNullSafe(own["_id"]) & (sha == own["_sha"]), "left_semi")
+    numbered = rows.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.lit(1))))
     return kept.unionByName(numbered.where(F.col(nth) == 1).drop(nth))
