@@ -132,3 +132,74 @@ def geojson_rings(text: Column) -> Column:
     sound = F.forall(outer, lambda r: (F.size(r) >= 4) & F.forall(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
     return F.when((F.size(outer) > 0) & sound, outer)
 
+
+#: Coefficients of the inverse series: of the rectifying sphere, and of the latitude.
+INVERSE = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840,
+    4397 * _N**4 / 161280,
+)
+LATITUDE = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45,
+    7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45,
+    56 * _N**3 / 15 - 136 * _N**4 / 35,
+    4279 * _N**4 / 630,
+)
+
+
+def lonlat(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a point of the UTM zone that `epsg` names."""
+    up, right = (y - F.when(epsg >= 32700, SOUTHING).otherwise(0.0)) / (K0 * RADIUS), (x - EASTING) / (K0 * RADIUS)
+    xi, eta = up, right
+    for j, c in enumerate(INVERSE, 1):
+        xi -= c * F.sin(2 * j * up) * F.cosh(2 * j * right)
+        eta -= c * F.cos(2 * j * up) * F.sinh(2 * j * right)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, c in enumerate(LATITUDE, 1):
+        lat += c * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + ((epsg % 100) * 6 - 183), F.degrees(lat)
+
+
+def ring_centroid(ring: Column) -> tuple[Column, Column]:
+    """Centre of a ring's area; of its corners, if it has no area."""
+    cross = lambda e: e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]
+    total = lambda f: F.aggregate(F.transform(_edges(ring), f), F.lit(0.0), lambda a, v: a + v)
+    twice = F.nullif(total(cross), F.lit(0.0))
+    mean = lambda k: F.aggregate(F.transform(ring, lambda p: p[k]), F.lit(0.0), lambda a, v: a + v) / F.size(ring)
+    moment = lambda k: total(lambda e: (e["p"][k] + e["q"][k]) * cross(e))
+    return tuple(F.coalesce(moment(k) / (3 * twice), mean(k)) for k in ("x", "y"))
+
+
+def ring_problem(ring: Column) -> Column:
+    """Why a ring can't be an area of interest: too few corners, no area, or two sides that cross; NULL if it can."""
+    sides = _edges(ring)
+    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    apart = lambda e, f: (F.signum(turn(e["p"], e["q"], f["p"])) * F.signum(turn(e["p"], e["q"], f["q"])) < 0) & (F.signum(turn(f["p"], f["q"], e["p"])) * F.signum(turn(f["p"], f["q"], e["q"])) < 0)
+    twice = F.aggregate(F.transform(sides, lambda e: e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]), F.lit(0.0), lambda a, v: a + v)
+    crossed = F.exists(sides, lambda e: F.exists(sides, lambda f: apart(e, f)))
+    return F.when(ring.isNull() | (F.size(F.array_distinct(ring)) < 3), "too_few_points").when(crossed, "self_intersection").when(twice == 0, "no_area")
+
+
+def coverage_pct(area: Column, footprints: Column, points: int = 64) -> Column:
+    """Percent of an area that the union of footprints (an array of rings) covers, by a lattice of points x points
+    over the area's bounds. Within a row: its cost is the lattice times the sides, whatever the table's size."""
+    at = lambda k, pick: pick(F.transform(area, lambda p: p[k]))
+    left, low = at("x", F.array_min), at("y", F.array_min)
+    dx, dy = (at("x", F.array_max) - left) / points, (at("y", F.array_max) - low) / points
+    cell = lambda i: F.struct((left + (i % points + 0.5) * dx).alias("x"), (low + (F.floor(i / points) + 0.5) * dy).alias("y"))
+    inside = F.filter(F.transform(F.sequence(F.lit(0), F.lit(points * points - 1)), cell), lambda c: contains(area, c["x"], c["y"]))
+    both = F.filter(inside, lambda c: F.exists(footprints, lambda f: contains(f, c["x"], c["y"])))
+    return F.coalesce(F.try_divide(100.0 * F.size(both), F.nullif(F.size(inside), F.lit(0))), F.lit(0.0))
+
+
+def crossings(ring: Column, y: Column) -> Column:
+    """Where the ring's sides cross the horizontal line at y; a point of that line is inside if an odd number lie right of it."""
+
+    def at(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        x = (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]
+        return F.when((p["y"] > y) != (q["y"] > y), x)
+
+    return F.array_compact(F.transform(_edges(ring), at))

@@ -79,26 +79,49 @@ def _pct(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(F.round(100.0 * part / F.nullif(whole, F.lit(0)), 4))
 
 
-def coverage_stats(indexed: DataFrame, key: str = "acquisition") -> DataFrame:
-    """Counts of the AOI's classes by acquisition; zero denominators are counted over the whole grid."""
+def _coverage_counts() -> list[Column]:
     aoi = F.col("in_aoi")
-    counts = [F.count_if(aoi & (F.col("class") == c)).alias(f"{c}_px") for c in CLASSES]
-    out = indexed.groupBy(key).agg(F.count_if(aoi).alias("aoi_px"), F.count_if(aoi & F.col("covered")).alias("covered_px"), *counts, F.count_if("zero_den").alias("zero_den_px"))
-    return out.withColumns({"coverage_pct": _pct(F.col("covered_px"), F.col("aoi_px")), "cloud_pct": _pct(F.col("cloud_px"), F.col("aoi_px"))})
+    return [F.count_if(aoi & F.col("covered")).alias("covered_px"), *[F.count_if(aoi & (F.col("class") == c)).alias(f"{c}_px") for c in CLASSES], F.count_if("zero_den").alias("zero_den_px")]
 
 
-def scene_stats(indexed: DataFrame, key: str = "acquisition") -> DataFrame:
-    """Statistics of valid AOI pixels; all NULL without one. The float index is widened before it is averaged."""
+def _statistics() -> list[Column]:
+    """Of valid AOI pixels; all NULL without one. The float index is widened before it is averaged; one pass over
+    a group's values gives all five percentiles."""
     v = F.when(F.col("in_aoi"), F.col("ndvi").cast("double"))
-    q = lambda p: F.round(F.percentile(v, F.lit(p)), 6)
+    shares = F.percentile(v, F.array(*[F.lit(p) for p in (0.5, 0.1, 0.25, 0.75, 0.9)]))
+    return [F.count(v).alias("valid_px"), F.min(v).alias("ndvi_min"), F.max(v).alias("ndvi_max"), F.avg(v).alias("ndvi_mean"), F.stddev_pop(v).alias("ndvi_std"), shares.alias("_shares")]
+
+
+def _with_percentiles(stats: DataFrame) -> DataFrame:
     r = lambda c: F.round(c, 6)
-    out = indexed.groupBy(key).agg(
-        F.count_if("in_aoi").alias("aoi_px"), F.count(v).alias("valid_px"), r(F.min(v)).alias("ndvi_min"), r(F.max(v)).alias("ndvi_max"), r(F.avg(v)).alias("ndvi_mean"),
-        q(0.5).alias("ndvi_median"), r(F.stddev_pop(v)).alias("ndvi_std"), q(0.1).alias("ndvi_p10"), q(0.25).alias("ndvi_p25"), q(0.75).alias("ndvi_p75"), q(0.9).alias("ndvi_p90"),
-    )
+    out = stats.withColumns({f"ndvi_{n}": r(F.col("_shares")[k]) for k, n in enumerate(("median", "p10", "p25", "p75", "p90"))}).drop("_shares")
+    out = out.withColumns({n: r(F.col(n)) for n in ("ndvi_min", "ndvi_max", "ndvi_mean", "ndvi_std")})
     return out.withColumns({"masked_px": F.col("aoi_px") - F.col("valid_px"), "valid_pixel_pct": _pct(F.col("valid_px"), F.col("aoi_px"))})
 
 
+def _with_shares(stats: DataFrame) -> DataFrame:
+    return stats.withColumns({"coverage_pct": _pct(F.col("covered_px"), F.col("aoi_px")), "cloud_pct": _pct(F.col("cloud_px"), F.col("aoi_px"))})
+
+
+def coverage_stats(indexed: DataFrame, key: str = "acquisition") -> DataFrame:
+    """Counts of the AOI's classes by acquisition; zero denominators are counted over the whole grid."""
+    return _with_shares(indexed.groupBy(key).agg(F.count_if("in_aoi").alias("aoi_px"), *_coverage_counts()))
+
+
+def scene_stats(indexed: DataFrame, key: str = "acquisition") -> DataFrame:
+    """Statistics of valid AOI pixels by acquisition."""
+    return _with_percentiles(indexed.groupBy(key).agg(F.count_if("in_aoi").alias("aoi_px"), *_statistics()))
+
+
+def scene_summary(indexed: DataFrame, *more: Column, key: str = "acquisition") -> DataFrame:
+    """Statistics and coverage in one aggregate: the pixels are read and shuffled once. `more`: other aggregates."""
+    counts = [c for c in _coverage_counts() if c is not None]
+    out = indexed.groupBy(key).agg(F.count_if("in_aoi").alias("aoi_px"), *_statistics(), *[c.alias("valid_class_px") if k == 1 + CLASSES.index("valid") else c for k, c in enumerate(counts)], *more)
+    out = _with_shares(_with_percentiles(out))
+    share = lambda c: _pct(F.col(c), F.col("aoi_px"))
+    return out.withColumns({"valid_coverage_pct": share("valid_class_px"), "missing_data_pct": _pct(F.col("uncovered_px") + F.col("nodata_px"), F.col("aoi_px"))})
+
+
 def gate(stats: DataFrame, min_coverage: float = 99.0, min_valid: float = 10.0) -> DataFrame:
     """Adds usable and reason; the coverage gate comes before those of validity."""
     reason = (
@@ -111,10 +134,13 @@ def gate(stats: DataFrame, min_coverage: float = 99.0, min_valid: float = 10.0)
 
 
 def mosaic_first_valid(granules: DataFrame, cell: list[str], item: str = "item_id", value: str = "value") -> DataFrame:
-    """First valid value of each cell by ascending item, its item, and whether any item covers the cell."""
+    """First valid value of each cell by ascending item, its item, the number of items, and whether any item covers
+    the cell, if the table says so for each."""
     some = F.col(value).isNotNull()
     winner = F.min(F.when(some, F.struct(F.col(item).alias("item"), F.col(value).alias("value"))))
-    return granules.groupBy(*cell).agg(winner.alias("w"), F.count(F.lit(1)).alias("n_items")).select(*cell, F.col("w.value").alias("value"), F.col("w.item").alias("winner"), "n_items")
+    own = [F.bool_or("covered").alias("covered")] if "covered" in granules.columns else []
+    made = granules.groupBy(*cell).agg(winner.alias("w"), F.count(F.lit(1)).alias("n_items"), *own)
+    return made.select(*cell, F.col("w.value").alias("value"), F.col("w.item").alias("winner"), "n_items", *(["covered"] if own else []))
 
 
 def colour_index(v: Column, low: float = -0.2, high: float = 0.9) -> Column:

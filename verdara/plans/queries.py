@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdara.functions import geo
-from verdara.operators import acquisition, raster, selection
+from verdara.operators import acquisition, raster, selection, store
 from verdara.plans.registry import QUERIES, SQL
-from verdara.sources import catalog
+from verdara.sources import catalog, stac_items
+from verdara.streaming import jobs
 
 
 def query(sql: str):
@@ -99,10 +100,7 @@ def scl_mask(spark, d):
 
 
 def _gated(spark, d):
-    # Both aggregates share the pixels' exchange by acquisition; the join adds none.
-    ix = indexed(spark, d)
-    cover = raster.coverage_stats(ix).select("acquisition", "covered_px", "coverage_pct")
-    return raster.gate(raster.scene_stats(ix).join(cover, "acquisition"), min_coverage=95.0)
+    return raster.gate(raster.scene_summary(indexed(spark, d)), min_coverage=95.0)
 
 
 @query(PIX + "SELECT acquisition, reason IS NULL AS usable, reason FROM gt")
@@ -289,35 +287,29 @@ def catalog_search_capped(spark, d):
 
 
 # -- store-shaped reads --------------------------------------------------------------------------------
-@query("SELECT o_orderkey, l_linenumber, l_partkey, o_orderdate, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 5 = 0")
-def ts_join(spark, d):
-    o = _t(spark, d, "orders").where("o_custkey % 5 = 0").select("o_orderkey", "o_orderdate")
-    line = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
-    return line.join(o, line["l_orderkey"] == o["o_orderkey"]).select("o_orderkey", "l_linenumber", "l_partkey", "o_orderdate", "l_shipdate")
-
-
 @query("SELECT o_orderkey, l_linenumber, l_partkey, o_orderdate, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def ts_join_whole(spark, d):
-    o = _t(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    line = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
-    return line.join(o, line["l_orderkey"] == o["o_orderkey"]).select("o_orderkey", "l_linenumber", "l_partkey", "o_orderdate", "l_shipdate")
+def ts_join(spark, d):
+    """Every observation beside its scene."""
+    scenes = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
+    line = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("scene_id"), "l_linenumber", "l_partkey", "l_shipdate")
+    return store.observations_of_scenes(line, scenes).select(F.col("scene_id").alias("o_orderkey"), "l_linenumber", "l_partkey", "o_orderdate", "l_shipdate")
 
 
 @query("SELECT c_custkey, o_orderkey, coalesce(CAST(o_orderkey AS VARCHAR), 'unattributed') AS item FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'")
 def artifacts_outer_join(spark, d):
     o = _t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
     c = _t(spark, d, "customer").select("c_custkey")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select("c_custkey", "o_orderkey", F.coalesce(F.col("o_orderkey").cast("string"), F.lit("unattributed")).alias("item"))
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select("c_custkey", "o_orderkey", store.artifact_group(F.col("o_orderkey"), F.lit(None)).alias("item"))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
 def list_paginated(spark, d):
-    return _t(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20)
+    return store.page(_t(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 20, 40)
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
 def latest_demo(spark, d):
-    return _t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(1)
+    return store.page(_t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 1, 0)
 
 
 @query("SELECT r_name, CAST(CASE r_name WHEN 'AMERICA' THEN 0 WHEN 'ASIA' THEN 1 ELSE 2 END AS INT) AS rank, string_agg(n_name, ',' ORDER BY n_name) AS members FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -329,9 +321,8 @@ def region_grouping(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sum(l_quantity) OVER w, 2) AS charged, sum(l_quantity) OVER w > 100 AS over_budget FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING)")
 def storage_budget_running(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("l_quantity").over(w)
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(total, 2).alias("charged"), (total > 100).alias("over_budget"))
+    rows = store.charge(_t(spark, d, "lineitem"), "l_orderkey", "l_quantity", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], 100)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("charged", 2).alias("charged"), "over_budget")
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_hour FROM events")
@@ -352,36 +343,36 @@ def json_extract_props(spark, d):
 
 @query("SELECT user_id, CASE WHEN count(*) >= 2 THEN min(event_id) END AS first_id, CASE WHEN count(*) >= 2 THEN arg_max(event_id, (ts, event_id)) END AS last_id FROM (SELECT user_id, ts, event_id, first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events) GROUP BY 1".replace("min(event_id)", "min(f)"))
 def comparison_points(spark, d):
-    at = F.struct("ts", "event_id")
-    two = F.count("*") >= 2
-    return _t(spark, d, "events").groupBy("user_id").agg(F.when(two, F.min_by("event_id", at)).alias("first_id"), F.when(two, F.max_by("event_id", at)).alias("last_id"))
+    ends = store.comparison_points(_t(spark, d, "events"), "user_id", "ts", "event_id")
+    return ends.select("user_id", F.col("first.event_id").alias("first_id"), F.col("last.event_id").alias("last_id"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_existing(spark, d):
-    c, o = _t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").select("o_custkey")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti")
+    """Customers for whom no open order is stored yet."""
+    c, o = _t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return stac_items.fresh(c, o, "c_custkey")
 
 
 @query("SELECT coalesce(n.k, o.k) AS n_nationkey, coalesce(n.v, o.v) AS n_name FROM (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey < 20) o FULL JOIN (SELECT n_nationkey AS k, lower(n_name) AS v FROM nation WHERE n_nationkey >= 10) n USING (k)")
 def region_upsert(spark, d):
     n = _t(spark, d, "nation").select("n_nationkey", "n_name")
-    new = n.where("n_nationkey >= 10").select("n_nationkey", F.lower("n_name").alias("new"))
-    return n.where("n_nationkey < 20").join(new, "n_nationkey", "full").select("n_nationkey", F.coalesce("new", "n_name").alias("n_name"))
+    new = n.where("n_nationkey >= 10").select("n_nationkey", F.lower("n_name").alias("n_name"))
+    return store.upsert(n.where("n_nationkey < 20"), new, "n_nationkey")
 
 
 @query("SELECT event_id, event_type = 'click' OR (event_type = 'view' AND ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 2 HOUR) AS claimable FROM events")
 def stale_lease_claim(spark, d):
-    stale = F.col("ts") < F.lit("2024-01-14 22:00:00").cast("timestamp_ntz")
-    kind = F.col("event_type")
-    return _t(spark, d, "events").select("event_id", ((kind == "click") | ((kind == "view") & stale)).alias("claimable"))
+    kind = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "view", "running")
+    rows = _t(spark, d, "events").select("event_id", kind.alias("status"), F.col("ts").alias("started_at"))
+    return rows.select("event_id", F.coalesce(jobs.may_claim(F.lit("2024-01-15").cast("timestamp_ntz")), F.lit(False)).alias("claimable"))
 
 
 @query("SELECT p_partkey, coalesce(try_cast(split_part(v, '.', 1) AS INT), 0) AS major, coalesce(try_cast(split_part(v, '.', 1) AS INT), 0) < 2 AS legacy FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'v2' ELSE (p_size % 4) || '.0.' || p_size END AS v FROM part)")
 def legacy_version_filter(spark, d):
     s = F.col("p_size")
     v = F.when(s % 4 == 0, F.lit(None)).when(s % 4 == 1, "v2").otherwise(F.concat((s % 4).cast("string"), F.lit(".0."), s.cast("string")))
-    major = F.coalesce(F.get(F.split(v, r"\."), F.lit(0)).try_cast("int"), F.lit(0))
+    major = store.major_version(v)
     return _t(spark, d, "part").select("p_partkey", major.alias("major"), (major < 2).alias("legacy"))
 
 

@@ -33,43 +33,64 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 9)) + chunk(b"IEND", b"")
 
 
+def _levels(values: np.ndarray) -> list[np.ndarray]:
+    """The raster and its overviews, each of every second cell of the one before, until one tile holds it."""
+    out = [values]
+    while max(out[-1].shape) > TILE:
+        out.append(out[-1][::2, ::2])
+    return out
+
+
 def geotiff(values: np.ndarray, left: float, top: float, resolution: float, epsg: int) -> bytes:
-    """Tiled float32 GeoTIFF, deflated, with NaN as the nodata value; its directory precedes its tiles.
+    """Tiled float32 GeoTIFF, deflated, with NaN as the nodata value, and overviews.
 
-    It has no overviews. A reader that wants them makes them.
+    All directories come first, the full raster's before its overviews'; of the tiles, those of the smallest
+    overview come first, so that a reader gets a small picture from the file's beginning.
     """
-    h, w = values.shape
-    down, across = -(-h // TILE), -(-w // TILE)
-    full = np.full((down * TILE, across * TILE), NODATA, "<f4")
-    full[:h, :w] = np.where(np.isfinite(values), values, NODATA)
-    tiles = [zlib.compress(full[r * TILE : (r + 1) * TILE, c * TILE : (c + 1) * TILE].tobytes(), 6) for r in range(down) for c in range(across)]
-    keys = [1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg]
     long, short, double, text = ("I", 4), ("H", 3), ("d", 12), ("s", 2)
-    tags = [
-        (256, long, [w]), (257, long, [h]), (258, short, [32]), (259, short, [8]), (262, short, [1]), (277, short, [1]), (284, short, [1]),
-        (322, short, [TILE]), (323, short, [TILE]), (324, long, [0] * len(tiles)), (325, long, [len(t) for t in tiles]), (339, short, [3]),
-        (33550, double, [resolution, resolution, 0.0]), (33922, double, [0.0, 0.0, 0.0, left, top, 0.0]), (34735, short, keys), (42113, text, f"{NODATA:g}\0".encode()),
-    ]
+    keys = [1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg]
+    levels = []
+    for number, level in enumerate(_levels(values)):
+        h, w = level.shape
+        down, across = -(-h // TILE), -(-w // TILE)
+        full = np.full((down * TILE, across * TILE), NODATA, "<f4")
+        full[:h, :w] = np.where(np.isfinite(level), level, NODATA)
+        tiles = [zlib.compress(full[r * TILE : (r + 1) * TILE, c * TILE : (c + 1) * TILE].tobytes(), 6) for r in range(down) for c in range(across)]
+        tags = [(254, long, [1])] if number else []
+        tags += [
+            (256, long, [w]), (257, long, [h]), (258, short, [32]), (259, short, [8]), (262, short, [1]), (277, short, [1]), (284, short, [1]),
+            (322, short, [TILE]), (323, short, [TILE]), (324, long, [0] * len(tiles)), (325, long, [len(t) for t in tiles]), (339, short, [3]),
+        ]
+        if not number:
+            tags += [(33550, double, [resolution, resolution, 0.0]), (33922, double, [0.0, 0.0, 0.0, left, top, 0.0]), (34735, short, keys)]
+        levels.append(([*tags, (42113, text, f"{NODATA:g}\0".encode())], tiles))
 
     def body(kind, v) -> bytes:
         return v if kind is text else struct.pack(f"<{len(v)}{kind[0]}", *v)
 
-    def directory(starts: list[int]) -> bytes:
-        at = 8 + 2 + 12 * len(tags) + 4
+    def directory(tags: list, start: int, tile_starts: list[int], follows: bool) -> bytes:
+        """A directory that begins at `start` of the file; the next one stands right behind it."""
+        at = start + 2 + 12 * len(tags) + 4
         entries, far = b"", b""
         for tag, kind, v in tags:
-            data = body(kind, starts if tag == 324 else v)
+            data = body(kind, tile_starts if tag == 324 else v)
             if len(data) <= 4:
                 held = data.ljust(4, b"\0")
             else:
                 held = struct.pack("<I", at + len(far))
                 far += data + b"\0" * (len(data) % 2)
             entries += struct.pack("<HHI", tag, kind[1], len(v)) + held
-        return struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + far
-
-    begin = 8 + len(directory([0] * len(tiles)))
-    starts = [begin + sum(map(len, tiles[:k])) for k in range(len(tiles))]
-    return b"II*\0" + struct.pack("<I", 8) + directory(starts) + b"".join(tiles)
+        return struct.pack("<H", len(tags)) + entries + struct.pack("<I", at + len(far) if follows else 0) + far
+
+    sizes = [len(directory(tags, 0, [0] * len(tiles), False)) for tags, tiles in levels]
+    at, starts = 8 + sum(sizes), {}
+    for k in reversed(range(len(levels))):
+        starts[k] = []
+        for t in levels[k][1]:
+            starts[k].append(at)
+            at += len(t)
+    heads = b"".join(directory(tags, 8 + sum(sizes[:k]), starts[k], k + 1 < len(levels)) for k, (tags, _) in enumerate(levels))
+    return b"II*\0" + struct.pack("<I", 8) + heads + b"".join(t for k in reversed(range(len(levels))) for t in levels[k][1])
 
 
 def _image_rows(pixels: DataFrame, key: str, columns: list[str], make) -> DataFrame:

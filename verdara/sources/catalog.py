@@ -19,15 +19,35 @@ def windows(spark: SparkSession, start: date, end: date, days: int = 370) -> Dat
     return spark.createDataFrame(rows, "window_id int, ws date, we date")
 
 
-def search(items: DataFrame, wins: DataFrame, max_cloud: float, cap: int) -> DataFrame:
-    """Items below the cloud limit, the first `cap` of each window, one row an item (the last window wins).
+def search(items: DataFrame, wins: DataFrame, max_cloud: float, cap: int, collection: str | None = None, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Items below the cloud limit, of a collection and meeting a bbox if they are given, the first `cap` of each
+    window, one row an item (the last window wins), by time and item.
 
-    The windows (a few rows, made above) are broadcast into a range join; the cap is a window group limit.
+    Windows are equal and consecutive, so an item's window is arithmetic, not a join. A window is truncated when it
+    has a row of rank `cap`, so nothing counts the rows beyond the cap: each task passes on `cap` of a window.
     """
+    first = wins.orderBy("window_id").collect()  # a few rows, made above
+    start, size, end = first[0]["ws"], (first[0]["we"] - first[0]["ws"]).days + 1, first[-1]["we"]
     day = F.to_date("ts")
-    hit = items.where(F.col("cloud") < max_cloud).join(F.broadcast(wins), (day >= F.col("ws")) & (day <= F.col("we")))
-    w = Window.partitionBy("window_id")
-    hit = hit.withColumns({"rn": F.row_number().over(w.orderBy("ts", "item_id")), "found": F.count("*").over(w)})
-    hit = hit.where(F.col("rn") <= cap).withColumn("truncated", F.col("found") >= cap)
+    hit = items.where((F.col("cloud") < max_cloud) & day.between(F.lit(start), F.lit(end)))
+    if collection is not None:
+        hit = hit.where(F.col("collection") == collection)
+    if bbox is not None:
+        w, s, e, n = (F.get("bbox", F.lit(k)) for k in range(4))
+        hit = hit.where((w <= bbox[2]) & (e >= bbox[0]) & (s <= bbox[3]) & (n >= bbox[1]))
+    hit = hit.withColumn("window_id", F.floor(F.datediff(day, F.lit(start)) / size).cast("int"))
+    by = Window.partitionBy("window_id")
+    kept = hit.withColumn("rn", F.row_number().over(by.orderBy("ts", "item_id"))).where(F.col("rn") <= cap)
+    kept = kept.withColumn("truncated", F.max("rn").over(by) >= cap)
     last = Window.partitionBy("item_id").orderBy(F.col("window_id").desc())
-    return hit.withColumn("k", F.row_number().over(last)).where("k = 1").select("item_id", "ts", "cloud", "window_id", "truncated")
+    return kept.withColumn("k", F.row_number().over(last)).where("k = 1").select("item_id", "ts", "cloud", "window_id", "truncated")
+
+
+def search_metadata(found: DataFrame, wins: DataFrame, cap: int) -> DataFrame:
+    """One row: how the catalogue was asked, and how many granules came."""
+    cut = found.groupBy("window_id").agg(F.bool_or("truncated").alias("t"), F.count("*").alias("n"))
+    span = F.concat_ws("/", F.col("ws").cast("string"), F.col("we").cast("string"))
+    rows = wins.join(cut, "window_id", "left").agg(
+        F.count("*").alias("window_count"), F.array_sort(F.collect_list(span)).alias("windows"), F.array_sort(F.collect_list(F.when(F.col("t"), span))).alias("truncated_windows"), F.sum(F.coalesce("n", F.lit(0))).alias("granules_returned"),
+    )
+    return rows.withColumn("max_items_per_window", F.lit(cap))

@@ -6,6 +6,8 @@ that is run again overwrites its own output by batch id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,27 +33,135 @@ def intake(raw: DataFrame, good_path: str, poison_path: str, checkpoint: str):
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+MAX_DEQUEUE = 3  # fixed value: deliveries of a message before it is poison
+
+
+def _accepted(times: list[float], at: float, limit: int, seconds: int) -> bool:
+    """Whether an event at `at` is within the limit; `times`, the accepted ones of its window, is brought up to date.
+
+    An accepted event counts until it is more than `seconds` old.
+    """
+    while times and times[0] < at - seconds:
+        times.pop(0)
+    if len(times) >= limit:
+        return False
+    times.append(at)
+    return True
+
+
+def _forget_after(state: GroupState, last: pd.Timestamp, seconds: int) -> None:
+    """Let a key's state go once the watermark is `seconds` past its last event."""
+    state.setTimeoutTimestamp(max(int((last.timestamp() + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+
+
 def rate_limited(events: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
     """client, ts, accepted: at most `limit` accepted events in any window before an event; refused ones don't count.
 
-    State by client: the accepted times of the last window, `limit` values at most.
+    State by client: the accepted times of the last window, `limit` values at most; a client that stays away for
+    a window is forgotten. A batch's events of one client are sorted, as they arrive in any order.
     """
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
-        rows = sorted(t for f in frames for t in f["ts"])
-        out = []
-        for t in rows:
-            at = t.timestamp()
-            times = [x for x in times if x > at - seconds]
-            ok = len(times) < limit
-            if ok:
-                times.append(at)
-            out.append((key[0], t, ok))
+        rows = pd.concat([f["ts"] for f in frames]).sort_values()
+        out = pd.DataFrame({"client": key[0], "ts": rows, "accepted": [_accepted(times, t.timestamp(), limit, seconds) for t in rows]})
         state.update((times,))
-        yield pd.DataFrame(out, columns=["client", "ts", "accepted"])
+        _forget_after(state, rows.iloc[-1], seconds)
+        yield out
+
+    seen = events.withWatermark("ts", f"{seconds} seconds")
+    return seen.groupBy("client").applyInPandasWithState(step, "client string, ts timestamp, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rate_limited_batch(events: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
+    """The same over a stored table (client, ts, id): adds accepted. Whether an event counts depends on those before
+    it, so a client's events are walked in order, streamed a batch at a time, with `limit` times kept."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, times = object(), []
+        for frame in frames:
+            out = []
+            for c, t in zip(frame["client"], frame["us"], strict=True):
+                if c != client:
+                    client, times = c, []
+                out.append(_accepted(times, t / 1e6, limit, seconds))
+            yield frame.drop(columns="us").assign(accepted=out)
 
-    return events.groupBy("client").applyInPandasWithState(step, "client string, ts timestamp, accepted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    ordered = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).repartition("client").sortWithinPartitions("client", "us", "id")
+    kept = ordered.drop("us")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", accepted boolean"
+    return ordered.select(*kept.columns, "us").mapInPandas(run, schema)
+
+
+def delivered(messages: DataFrame) -> DataFrame:
+    """Adds poison and delay_s to deliveries (message_id, analysis_id, dequeue_count, enqueued_at, received_at): a
+    message without an id, or delivered more than MAX_DEQUEUE times, is poison."""
+    poison = (F.coalesce(F.length("analysis_id"), F.lit(0)) == 0) | (F.col("dequeue_count") > MAX_DEQUEUE)
+    waited = (F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros(F.col("enqueued_at").cast("timestamp"))) / 1e6
+    return messages.withColumns({"poison": poison, "delay_s": F.greatest(waited, F.lit(0.0))})
+
+
+def counted(messages: DataFrame) -> DataFrame:
+    """A stream's deliveries (message_id, analysis_id, enqueued_at, received_at) with dequeue_count, for `delivered`.
+
+    State: one number a message, forgotten a day after its last delivery.
+    """
+    names = "message_id string, analysis_id string, enqueued_at timestamp, received_at timestamp, dequeue_count long"
+
+    def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames)).sort_values("received_at")
+        rows["dequeue_count"] = range(seen + 1, seen + 1 + len(rows))
+        state.update((seen + len(rows),))
+        _forget_after(state, rows["received_at"].iloc[-1], 86_400)
+        yield rows[["message_id", "analysis_id", "enqueued_at", "received_at", "dequeue_count"]]
+
+    known = messages.withWatermark("received_at", "1 day")
+    return known.groupBy("message_id").applyInPandasWithState(step, names, "n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def claims(attempts: DataFrame, stale_hours: int = 2) -> DataFrame:
+    """analysis_id, at, granted for a stream of (analysis_id, at, event): `claim` is granted when the analysis isn't
+    running, or has been since before the stale limit; `done` ends it for good. State by analysis, so of claims that
+    race one is granted."""
+
+    def step(key, frames, state: GroupState):
+        status, since = state.get if state.exists else ("queued", 0.0)
+        out = []
+        for at, event in pd.concat(list(frames)).sort_values("at")[["at", "event"]].itertuples(index=False):
+            if event == "done":
+                status = "done"
+            elif event == "claim":
+                free = status == "queued" or status == "running" and since < at.timestamp() - stale_hours * 3600
+                if free:
+                    status, since = "running", at.timestamp()
+                out.append((key[0], at, free))
+        state.update((status, since))
+        yield pd.DataFrame(out, columns=["analysis_id", "at", "granted"])
+
+    return attempts.groupBy("analysis_id").applyInPandasWithState(step, "analysis_id string, at timestamp, granted boolean", "status string, since double", "append", GroupStateTimeout.NoTimeout)
+
+
+def requeued(jobs: DataFrame, now, stale_hours: int = 2) -> DataFrame:
+    """Jobs as they are after an operator's requeue: those that are running and not stale, or have succeeded, are
+    refused and stay as they are."""
+    stale = F.col("started_at") < now - F.expr(f"INTERVAL {stale_hours} HOURS")
+    refused = F.when((F.col("status") == "running") & ~F.coalesce(stale, F.lit(False)), "running").when(F.col("status") == "succeeded", "succeeded")
+    kept = lambda name, new: F.when(refused.isNull(), new).otherwise(F.col(name))
+    made = {"refused": refused, "status": kept("status", F.lit("queued")), "failure_category": kept("failure_category", F.lit(None)), "retry_count": kept("retry_count", F.col("retry_count") + 1)}
+    return jobs.withColumns(made)
+
+
+def job_metrics(runs: DataFrame, bins: int = 10) -> DataFrame:
+    """One row: runs that succeeded and failed, and histograms of (seconds, delay_s), from (status, seconds, delay_s)."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return runs.agg(count("succeeded"), count("failed"), *[F.histogram_numeric(c, F.lit(bins)).alias(f"{c}_histogram") for c in ("seconds", "delay_s")])
 
 
 def group_stream(granules: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -59,6 +169,11 @@ def group_stream(granules: DataFrame, late: str = "1 hour") -> DataFrame:
     return granules.withWatermark("ts", late).groupBy(F.window("ts", "1 minute"), "platform", "orbit").agg(F.count("*").alias("granule_count"), F.min("ts").alias("observed_at"))
 
 
+def may_claim(now, stale_hours: int = 2):
+    """Queued, or running since before the stale limit."""
+    return (F.col("status") == "queued") | ((F.col("status") == "running") & (F.col("started_at") < now - F.expr(f"INTERVAL {stale_hours} HOURS")))
+
+
 def claimable(jobs: DataFrame, now, stale_hours: int = 2) -> DataFrame:
-    """Jobs that may be claimed: queued, or running since before the stale limit."""
-    return jobs.where((F.col("status") == "queued") | ((F.col("status") == "running") & (F.col("started_at") < now - F.expr(f"INTERVAL {stale_hours} HOURS"))))
+    """Jobs that may be claimed."""
+    return jobs.where(may_claim(now, stale_hours))
