@@ -139,19 +139,26 @@ class ShardStore:
         return [run for _, run in sorted(tiers.items()) if len(run) >= self.fanout]
 
     def compact(self) -> int:
-        """Merge runs into files near the target size until there is no run; each round is one commit."""
-        while runs := self.runs(self.manifest()[1]):
-            gone, made = set(), []
-            with settings(self.spark, spark__sql__files__maxPartitionBytes=str(self.target), spark__sql__files__openCostInBytes="0", spark__sql__files__minPartitionNum="1"):
-                for run in runs:
-                    folder = self._folder("c")
-                    self.spark.read.schema(self.schema).parquet(*[s.path for s in run]).write.parquet(folder)
-                    made += self._written(folder)
-                    gone |= {s.path for s in run}
-            version = self._publish(lambda shards, gone=gone, made=made: [s for s in shards if s.path not in gone] + made if gone <= {s.path for s in shards} else None)
-            if not {s.path for s in made} <= {s.path for s in self.manifest(version)[1]}:
-                self._drop([s.path for s in made])  # another merge was first
-        return self.manifest()[0]
+        """Merge each run into files near the target size; one commit swaps all of them.
+
+        What is merged is of a higher tier; a later call merges it again when that tier has a run. So a call
+        writes no row twice, and takes as much disk as its runs have until the old shards are vacuumed.
+        """
+        base, shards = self.manifest()
+        runs = self.runs(shards)
+        if not runs:
+            return base
+        gone, made = set(), []
+        with settings(self.spark, spark__sql__files__maxPartitionBytes=str(self.target), spark__sql__files__openCostInBytes="0", spark__sql__files__minPartitionNum="1"):
+            for run in runs:
+                folder = self._folder("c")
+                self.spark.read.schema(self.schema).parquet(*[s.path for s in run]).write.parquet(folder)
+                made += self._written(folder)
+                gone |= {s.path for s in run}
+        version = self._publish(lambda now: [s for s in now if s.path not in gone] + made if gone <= {s.path for s in now} else None)
+        if not {s.path for s in made} <= {s.path for s in self.manifest(version)[1]}:
+            self._drop([s.path for s in made])  # another merge was first
+        return version
 
     def _drop(self, paths: list[str]) -> None:
         for path in paths:
