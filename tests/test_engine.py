@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
 from conftest import DATA
+from test_products import read_png
 from verdara.functions import formatting, projection
 from verdara.operators import acquisition, grid, process, raster, requests, store
 from verdara.plans.registry import QUERIES
@@ -224,6 +225,38 @@ def test_claims_and_deliveries_across_batches(spark, tmp_path):
     assert (r["succeeded"], r["failed"]) == (1, 1) and len(r["seconds_histogram"]) == 2
 
 
+def test_deadline_cancels_jobs(spark):
+    slow = F.udf(lambda x: __import__("time").sleep(60) or x, "long")
+    with pytest.raises(TimeoutError) as e, jobs.deadline(spark, 2):
+        spark.range(2).select(slow("id")).collect()
+    assert process.failure_category(e.value) == "timeout" and spark.range(3).count() == 3
+    with jobs.deadline(spark, 100):
+        assert spark.range(4).count() == 4
+    with pytest.raises(KeyError), jobs.deadline(spark, 100):
+        raise KeyError
+
+
+def test_true_colour_files(spark):
+    """The files decode to the pixels that the oracle checks; every second cell is taken, the first row transparent."""
+    sf = f"{DATA}/sf0.001"
+    want = {(r["label"], r["row"], r["col"]): [r["r"], r["g"], r["b"], r["alpha"]] for r in QUERIES["true_colour_pixels"](spark, sf).collect()}
+    made = {r["label"]: read_png(bytes(r["content"])) for r in images.png_images(QUERIES["true_colour_pixels"](spark, sf), "label").collect()}
+    assert {(k, y, x): p[y, x].tolist() for k, p in made.items() for y in range(4) for x in range(4)} == want
+    assert all(p.shape == (4, 4, 4) and not p[0, :, 3].any() and p[1:, :, 3].all() for p in made.values())
+    assert QUERIES["true_colour_previews"](spark, sf).count() == len(made)
+    whole = spark.createDataFrame([(1, 0, 0, 9, 8, 7)], "k int, row int, col int, red int, green int, blue int")
+    assert raster.true_colour(whole, 1).first() == (1, 0, 0, 9, 8, 7, 255)
+
+
+def test_software_and_dataset(spark, tmp_path):
+    (tmp_path / "lock").write_bytes(b"abc")
+    s = provenance.software(spark, "2.0.0", str(tmp_path / "lock"), ("numpy", "no-such-package"), git_commit_sha="c")
+    assert s["package_numpy"] == np.__version__ and s["package_no-such-package"] == "unknown" and s["dependency_lock_sha256"].startswith("ba7816bf") and s["git_commit_sha"] == "c"
+    assert "dependency_lock_sha256" not in provenance.software(spark, "2.0.0", str(tmp_path / "none"))
+    d = provenance.dataset(spark, "c", "https://example.org/stac", {"red": "B04"}, "T").first()
+    assert d["id"] == "c" and d["assets_used"] == {"red": "B04"} and d["gsd_meters"] == 10 and d["license"] == provenance.SOURCE["license"]
+
+
 def test_limits_and_words(spark):
     strict = requests.Limits(demo=True, max_area_km2=200.0).effective()
     assert strict.max_area_km2 == 200.0 and strict.max_custom_area_km2 == 200.0 and strict.max_scenes == 8

@@ -154,6 +154,16 @@ def decimate(pixels: DataFrame, longest: int, max_dim: int) -> DataFrame:
     return pixels.where((F.col("row") % step == 0) & (F.col("col") % step == 0))
 
 
+def true_colour(pixels: DataFrame, longest: int, max_dim: int = 1024) -> DataFrame:
+    """(row, col, r, g, b, alpha) and the key's columns of a preview from `mosaic_rgb`'s red, green, blue by row and col:
+    every step-th cell, renumbered; transparent where a column `valid` says no."""
+    step = max(1, -(-longest // max_dim))
+    shown = F.when(F.coalesce("valid", F.lit(False)), 255).otherwise(0) if "valid" in pixels.columns else F.lit(255)
+    place = [F.floor(F.col(c) / step).cast("int").alias(c) for c in ("row", "col")]
+    key = [c for c in pixels.columns if c not in ("row", "col", "red", "green", "blue", "valid")]
+    return decimate(pixels, longest, max_dim).select(*key, *place, F.col("red").alias("r"), F.col("green").alias("g"), F.col("blue").alias("b"), shown.alias("alpha"))
+
+
 def resample_nearest(cells: DataFrame, source: DataFrame, resolution: float, left: float, top: float) -> DataFrame:
     """cells (row, col, x, y of the centre) with the value of the source cell that holds the centre.
 

@@ -10,7 +10,7 @@ from verdara.operators import raster
 from verdara.plans.queries import _POINTS, _points, _t, pixels, query
 from verdara.sinks import documents, images
 from verdara.sources import stac_items
-from verdara.plans.registry import QUERIES
+from verdara.plans.registry import QUERIES, SQL
 
 _SER = projection.SERIES
 _UTM_SQL = (
@@ -109,6 +109,25 @@ def rgb_mosaic(spark, d):
     return raster.mosaic_rgb(rows.select("label", "pos", "item_id", band.alias("band"), value.alias("value")), ["label", "pos"])
 
 
+def _true_colour(spark, d):
+    pos = F.col("pos")
+    m = rgb_mosaic(spark, d).select("label", F.floor(pos / 8).alias("row"), (pos % 8).alias("col"), "red", "green", "blue", (pos >= 8).alias("valid"))
+    return raster.true_colour(m, 8, 4)
+
+
+@query(f"""WITH m AS ({SQL["rgb_mosaic"]}) SELECT label, CAST(pos // 16 AS INT) AS row, CAST(pos % 8 // 2 AS INT) AS col, red AS r, green AS g, blue AS b, CASE WHEN pos >= 8 THEN 255 ELSE 0 END AS alpha
+FROM m WHERE pos // 8 % 2 = 0 AND pos % 2 = 0""")
+def true_colour_pixels(spark, d):
+    return _true_colour(spark, d)
+
+
+def true_colour_previews(spark, d):
+    """PNG bytes of each label's mosaic in natural colours, by digest; the tests decode them."""
+    return images.png_images(_true_colour(spark, d), "label").select("label", F.length("content").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+QUERIES["true_colour_previews"] = true_colour_previews
+
 _STOPS = "WITH s(p, r, g, b) AS (VALUES " + ", ".join(f"({p}::DOUBLE, {c[0]}, {c[1]}, {c[2]})" for p, c in views.STOPS) + "), t AS (SELECT *, lead(p) OVER o AS p2, lead(r) OVER o AS r2, lead(g) OVER o AS g2, lead(b) OVER o AS b2 FROM s WINDOW o AS (ORDER BY p))"
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import platform
+from importlib import metadata
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdara.operators.process import MOSAIC
@@ -22,6 +27,23 @@ CLASS_NAMES = dict(enumerate("""NO_DATA SATURATED_OR_DEFECTIVE CAST_SHADOWS CLOU
 CLOUD_MEDIUM_PROBABILITY CLOUD_HIGH_PROBABILITY THIN_CIRRUS SNOW_OR_ICE""".split()))
 
 
+def software(spark: SparkSession, processing_version: str, lock: str | None = None, packages: tuple[str, ...] = ("pyspark", "pyarrow", "numpy", "pandas"), **more: str) -> dict[str, str]:
+    """What made a result, for `build`: versions, the digest of a lock file if one is named and there, and what the
+    deployment adds (commit, image)."""
+    known = {d.metadata["Name"].lower() for d in metadata.distributions() if d.metadata["Name"]}
+    out = {f"package_{p}": metadata.version(p) if p in known else "unknown" for p in packages}
+    if lock and Path(lock).is_file():
+        out["dependency_lock_sha256"] = hashlib.sha256(Path(lock).read_bytes()).hexdigest()
+    return out | {"processing_version": processing_version, "python_version": platform.python_version(), "spark_version": spark.version} | more
+
+
+def dataset(spark: SparkSession, collection: str, endpoint: str, assets: dict[str, str], title: str, resolution_m: int = 10) -> DataFrame:
+    """One row that describes the data a catalogue's collection gives; provider and licence are the document's."""
+    held = F.create_map(*[F.lit(x) for kv in sorted(assets.items()) for x in kv])
+    fields = {"id": F.lit(collection), "title": F.lit(title), "stac_endpoint": F.lit(endpoint), "assets_used": held, "gsd_meters": F.lit(resolution_m)}
+    return spark.range(1).select(*[v.alias(k) for k, v in (fields | {k: F.lit(v) for k, v in SOURCE.items()}).items()])
+
+
 def build(analyses: DataFrame, excluded: DataFrame, scenes: DataFrame, outputs: DataFrame, masked: tuple[int, ...], config: dict[str, str], software: dict[str, str]) -> DataFrame:
     """(analysis_id, document): JSON text of each analysis.
 

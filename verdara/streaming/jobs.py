@@ -6,10 +6,13 @@ that is run again overwrites its own output by batch id.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -158,6 +161,33 @@ def requeued(jobs: DataFrame, now, stale_hours: int = 2) -> DataFrame:
     return jobs.withColumns(made)
 
 
+@contextmanager
+def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
+    """A time limit on the Spark jobs that this thread starts inside: those under way when it passes are cancelled,
+    as are later ones, and TimeoutError is raised, which `process.failure_category` calls a timeout."""
+    context, group, over = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+
+    def stop() -> None:
+        over.set()
+        context._jsc.sc().cancelJobGroupAndFutureJobs(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, f"at most {seconds:g} s", True)
+    timer.start()
+    try:
+        yield
+    except Exception as e:
+        if over.is_set():
+            raise TimeoutError(f"the jobs took more than {seconds:g} s") from e
+        raise
+    finally:
+        timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)
+    if over.is_set():
+        raise TimeoutError(f"the jobs took more than {seconds:g} s")
+
+
 def job_metrics(runs: DataFrame, bins: int = 10) -> DataFrame:
     """One row: runs that succeeded and failed, and histograms of (seconds, delay_s), from (status, seconds, delay_s)."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
