@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdara.llm import chat, exact_dedup, jaccard_join, language_id, license_scan, packing, piece_codec, quality_net, quality_rules, sharding
+from verdara.llm import chat, collocations, conversation_repair, exact_dedup, jaccard_join, language_id, license_scan, packing, piece_codec, quality_net, quality_rules, sharding, simhash
 from verdara.llm.common import id_remainder, read_table, shared_path
 
 
@@ -74,6 +74,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.reports(turns, conversation_repair.damage(turns))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    ops = (op1_language_id, op2_jaccard_join, op3_sharding, op4_quality_rules, op5_best_fit_packing, op6_chat_format, op7_piece_codec, op8_exact_dedup, op9_quality_net, op10_license_scan)
+    ops = (op1_language_id, op2_jaccard_join, op3_sharding, op4_quality_rules, op5_best_fit_packing, op6_chat_format, op7_piece_codec, op8_exact_dedup, op9_quality_net, op10_license_scan, op11_conversation_repair, op12_simhash, op13_collocations)
     return {f.__name__: f for f in ops}

@@ -77,5 +77,70 @@ SELECT d.doc_id, text_digest, license_id, match_kind, coalesce(notices, '') AS n
 FROM d LEFT JOIN k ON k.digest = d.text_digest LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
+def _edited(x: str, letter: str, cost: str, line: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'k': {x}.k || '{letter}', 'o': {x}.o || {line}}} END"
+
+
+def _repair() -> str:
+    """The automaton's four states carry the least (cost, audit) of the turns so far, and the repaired lines with it."""
+    keep = lambda x, role: f"CASE WHEN ini = '{role}' THEN {_edited(x, 'K', 'broken', 'line')} END"
+    rerole = lambda x, role: _edited(x, "R", "1 + broken", f"chr(10) || '{role}:' || text")
+    insert = lambda x, role: _edited(x, "I", "5", f"chr(10) || '{role}:'")
+    delete = lambda x: _edited(x, "D", "2", "''")
+    to_user = ", ".join(f"CASE WHEN NOT must THEN {how(x, r)} END" for x in ("x0", "x1", "x3") for how, r in ((keep, "u"), (rerole, "user")))
+    to_assistant = ", ".join(f"CASE WHEN NOT must THEN {how('x2', r)} END" for how, r in ((keep, "a"), (rerole, "assistant")))
+    start = "{'c': CAST(0 AS BIGINT), 'k': '', 'o': ''}"
+    return rf"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce([4294967295] || list_transform(string_split(
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)),
+  lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS how FROM conversations, t),
+w AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE how WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE how <> 0),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM w),
+o AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i FROM m),
+s AS (SELECT *, left(role, 1) AS ini, chr(10) || role || ':' || text AS line, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM o),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(ini) OVER (PARTITION BY g ORDER BY i) || ini AS two FROM s),
+e AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS broken FROM f),
+r(g, i, x0, x1, x2, x3) AS (
+  SELECT g, CAST(0 AS BIGINT), x0, NULL::STRUCT(c BIGINT, k VARCHAR, o VARCHAR), x2, {insert("x2", "assistant")} FROM (SELECT g, x0, {insert("x0", "user")} AS x2 FROM (SELECT DISTINCT g, {start} AS x0 FROM o))
+  UNION ALL
+  SELECT g, i, h0, h1, h2, list_min([h3, {insert("h2", "assistant")}]) FROM (
+    SELECT g, i, h0, h1, list_min([h2, {insert("h0", "user")}, {insert("h1", "user")}, {insert("h3", "user")}]) AS h2, h3 FROM (
+      SELECT e.g, e.i, {delete("x0")} AS h0, list_min([{delete("x1")}, CASE WHEN NOT must THEN {keep("x0", "s")} END]) AS h1,
+        list_min([{delete("x2")}, {to_user}]) AS h2, list_min([{delete("x3")}, {to_assistant}]) AS h3
+      FROM r JOIN e ON e.g = r.g AND e.i = r.i + 1))),
+n AS (SELECT g, any_value(conv_id) AS conv_id, max(i) AS i, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY g),
+best AS (SELECT n.*, list_min([x0, x3]) AS x FROM n JOIN r ON r.g = n.g AND r.i = n.i)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(x.c, 0) AS cost, coalesce(x.k, '') AS audit, sha256(coalesce(substr(x.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+_COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_lower("coalesce(text, '')")}, '[.,;:!?
+-
+]')) AS piece FROM documents),
+q AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p),
+u AS (SELECT lang, id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM q),
+g AS (SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
+total AS (SELECT lang, count(*) AS n FROM u GROUP BY 1),
+f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1 AS k FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+  UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, x.f, y.f, 1 FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+  UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, x.f, y.f, 2 FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+scored AS (SELECT *, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY 1, 2),
+kept AS (SELECT least.* FROM least LEFT JOIN inside USING (lang, phrase) WHERE coalesce(100 * longer < 50 * a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _quality(), "op8_exact_dedup": _DEDUP, "op10_license_scan": _licences()}
+    return {"op4_quality_rules": _quality(), "op8_exact_dedup": _DEDUP, "op10_license_scan": _licences(), "op11_conversation_repair": _repair(), "op13_collocations": _COLLOCATIONS}
