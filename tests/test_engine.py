@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  registers the queries
 from conftest import DATA
 from test_products import read_png
-from verdara.functions import formatting, projection
+from verdara.functions import formatting, polygons, projection
 from verdara.operators import acquisition, grid, process, raster, requests, store
 from verdara.plans.registry import QUERIES
 from verdara.sinks import images, provenance
@@ -41,7 +41,7 @@ def test_demo_grid_and_cells(spark):
     assert r["signature"] == f"EPSG:32617:{r['width']}x{r['height']}:10,0,{r['left']:.6g},0,-10,{r['top']:.6g}"
     assert r["bounds_geographic"][0] <= w and r["bounds_geographic"][3] >= n and r["bounds_geographic"][1] == pytest.approx(s, abs=0.01)
     inside = grid.cells(g).where("in_aoi").count()
-    assert inside * 100 / 1e6 == pytest.approx(one(spark, projection.ring_area_km2(ring_of(box)))[0], rel=2e-3)
+    assert inside * 100 / 1e6 == pytest.approx(one(spark, polygons.geodesic_ring_km2(ring_of(box)))[0], rel=2e-3)
     lon, lat = one(spark, *projection.lonlat(*projection.utm_xy(F.lit(-83.2), F.lit(42.3), F.lit(32617)), F.lit(32617)))
     assert (lon, lat) == (pytest.approx(-83.2, abs=1e-9), pytest.approx(42.3, abs=1e-9))
     shown = [one(spark, grid.six_digits(F.lit(float(v))))[0] for v in (0, 10, -10, 123456, 4691230, 0.5, 1234567.0, 0.00001234)]
@@ -52,11 +52,9 @@ def test_demo_grid_and_cells(spark):
     assert [x["item_id"] for x in grid.granules_on_grid(far, g).collect()] == ["in"]
 
 
-def test_ring_problems_and_coverage(spark):
+def test_ring_problems(spark):
     bow = [(0, 0), (1, 1), (1, 0), (0, 1)]
     assert one(spark, *[projection.ring_problem(ring_of(r)) for r in (SQUARE, bow, [(0, 0), (1, 1)], [(0, 0), (1, 1), (2, 2)])], projection.ring_problem(F.lit(None).cast(RING))) == (None, "self_intersection", "too_few_points", "no_area", "too_few_points")
-    halves = F.array(ring_of([(-1, -1), (0.5, -1), (0.5, 2), (-1, 2)]), ring_of([(0.25, -1), (0.75, -1), (0.75, 2), (0.25, 2)]))
-    assert one(spark, projection.coverage_pct(ring_of(SQUARE), halves), projection.coverage_pct(ring_of(SQUARE), F.array().cast(f"array<{RING}>"))) == (75.0, 0.0)
     assert one(spark, *projection.ring_centroid(ring_of(SQUARE))) == (0.5, 0.5)
 
 

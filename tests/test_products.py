@@ -38,38 +38,6 @@ def test_demo_aoi_pixels(spark):
     assert cells.where("in_aoi").count() == 1_367_491
 
 
-def test_ring_area_and_overlap(spark):
-    box, half, apart = (projection.bbox_ring(*lits(*b)) for b in (DEMO, (-83.30, 42.55, -83.225, 42.65), (0, 0, 1, 1)))
-    area, share, whole, none = one(spark, projection.ring_area_km2(box), projection.overlap_pct(box, half), projection.overlap_pct(box, box), projection.overlap_pct(box, apart))
-    assert area == pytest.approx(136.7476, abs=1e-3)
-    assert share == pytest.approx(50, abs=1e-6) and whole == pytest.approx(100) and none == 0
-    assert one(spark, projection.ring_area_km2(F.array().cast(projection.RING)), projection.overlap_pct(F.array().cast(projection.RING), box)) == (0, 0)
-
-
-def test_overlap_of_a_dented_ring(spark):
-    shape = [(0, 0), (8, 1), (10, 9), (5, 4), (1, 10)]
-    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in shape])
-    box = (2, 1, 9, 6)
-    got = one(spark, projection.overlap_pct(ring, projection.bbox_ring(*lits(*box))))[0]
-    x, y = np.meshgrid(*[(np.arange(1000) + 0.5) / 100] * 2)
-    inside = np.zeros_like(x, bool)
-    for (px, py), (qx, qy) in zip(shape, shape[1:] + shape[:1]):
-        if py != qy:
-            inside ^= ((py > y) != (qy > y)) & (x < (qx - px) * (y - py) / (qy - py) + px)
-    weight = np.cos(np.radians(y))
-    part = inside & (x > box[0]) & (x < box[2]) & (y > box[1]) & (y < box[3])
-    assert got == pytest.approx(100 * (weight * part).sum() / (weight * inside).sum(), abs=0.2)
-
-
-def test_geojson(spark):
-    poly = json.dumps({"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]})
-    multi = json.dumps({"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]]] * 2})
-    bad = [None, "", "{", '{"type":"Point","coordinates":[0,0]}', '{"type":"Polygon","coordinates":[]}', '{"type":"Polygon","coordinates":[[[0,0],[1,1]]]}']
-    got = [r[0] for r in spark.createDataFrame([(poly,), (multi,), *[(b,) for b in bad]], "t string").select(projection.geojson_rings(F.col("t"))).collect()]
-    assert [len(g) if g else None for g in got] == [1, 2] + [None] * 6
-    assert [tuple(p) for p in got[0][0]] == [(0, 0), (1, 0), (1, 1), (0, 0)]
-
-
 def test_resampling_a_plane(spark):
     source = spark.createDataFrame([(0, r, c, float(10 * r + c)) for r in range(4) for c in range(4)], "key int, row long, col long, value double")
     cells = spark.createDataFrame([(0, 0, 30.0, 50.0), (0, 1, 25.0, 60.0), (5, 5, 900.0, 0.0)], "row int, col int, x double, y double")

@@ -1,8 +1,7 @@
 """Projection, rings and polygons as Column math: no Python runs for a row.
 
-A ring is ARRAY<STRUCT<x, y>> of doubles, closed or not. Edges are straight in the ring's own coordinates, so
-the area of a ring in degrees is that of straight lines on the plate, not of geodesics; over an area of
-interest's few kilometres the two agree to better than 1e-6.
+A ring is ARRAY<STRUCT<x, y>> of doubles, closed or not. Edges are straight in the ring's own coordinates. Areas,
+cover and GeoJSON are in `polygons`.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdara.functions.geo import A, E, E2, FLATTENING
+from verdara.functions.geo import A, E, FLATTENING
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -77,62 +76,6 @@ def rasterize(rings: DataFrame, ring: str, width: int, height: int, resolution:
     return cells.withColumn("in_aoi", contains(F.col(ring), x, y))
 
 
-def _per_radian(lat: Column) -> Column:
-    sin = F.sin(F.radians(lat))
-    return A * A * (1 - E2) / 2 * (sin / (1 - E2 * sin * sin) + F.atanh(E * sin) / E)
-
-
-def ring_area_km2(ring: Column) -> Column:
-    """Area on the ellipsoid of a ring in degrees, whatever its direction; Simpson's rule along each side."""
-
-    def side(e: Column) -> Column:
-        p, q = e["p"], e["q"]
-        mean = (_per_radian(p["y"]) + 4 * _per_radian((p["y"] + q["y"]) / 2) + _per_radian(q["y"])) / 6
-        return F.radians(q["x"] - p["x"]) * mean
-
-    total = F.aggregate(F.transform(_edges(ring), side), F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(F.size(ring) >= 3, F.abs(total) / 1e6).otherwise(0.0)
-
-
-def clip_convex(ring: Column, window: Column) -> Column:
-    """The part of `ring` in a convex counter-clockwise window, cut by one of the window's sides after another."""
-
-    def cut(held: Column, side: Column) -> Column:
-        a, b = side["p"], side["q"]
-        depth = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
-
-        def keep(e: Column) -> Column:
-            p, q = e["p"], e["q"]
-            dp, dq = depth(p), depth(q)
-            part = dp / F.nullif(dp - dq, F.lit(0.0))
-            cross = F.struct((p["x"] + part * (q["x"] - p["x"])).alias("x"), (p["y"] + part * (q["y"] - p["y"])).alias("y"))
-            ends = F.filter(F.array(F.when((dp >= 0) != (dq >= 0), cross), F.when(dq >= 0, q)), lambda v: v.isNotNull())
-            return ends.cast(RING)
-
-        return F.flatten(F.transform(_edges(held), keep)).cast(RING)
-
-    return F.aggregate(_edges(window), ring.cast(RING), cut)
-
-
-def overlap_pct(ring: Column, window: Column) -> Column:
-    """Percent of a ring's area that lies in a convex window; 0 when they are apart or the ring is empty."""
-    part = F.try_divide(100 * ring_area_km2(clip_convex(ring, window)), F.nullif(ring_area_km2(ring), F.lit(0.0)))
-    return F.least(F.coalesce(part, F.lit(0.0)), F.lit(100.0))
-
-
-#: Fields of a GeoJSON polygon or of the parts of a multipolygon that are read.
-_POLYGON, _MULTI = "type string, coordinates array<array<array<double>>>", "type string, coordinates array<array<array<array<double>>>>"
-
-
-def geojson_rings(text: Column) -> Column:
-    """Outer rings of a Polygon or MultiPolygon; NULL for other text, and for rings of fewer than four points."""
-    kind = F.get_json_object(text, "$.type")
-    parts = F.when(kind == "Polygon", F.array(F.from_json(text, _POLYGON)["coordinates"])).when(kind == "MultiPolygon", F.from_json(text, _MULTI)["coordinates"])
-    outer = F.transform(parts, lambda part: F.transform(F.get(part, F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
-    sound = F.forall(outer, lambda r: (F.size(r) >= 4) & F.forall(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
-    return F.when((F.size(outer) > 0) & sound, outer)
-
-
 #: Coefficients of the inverse series: of the rectifying sphere, and of the latitude.
 INVERSE = (
     _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
@@ -182,18 +125,6 @@ def ring_problem(ring: Column) -> Column:
     return F.when(ring.isNull() | (F.size(F.array_distinct(ring)) < 3), "too_few_points").when(crossed, "self_intersection").when(twice == 0, "no_area")
 
 
-def coverage_pct(area: Column, footprints: Column, points: int = 64) -> Column:
-    """Percent of an area that the union of footprints (an array of rings) covers, by a lattice of points x points
-    over the area's bounds. Within a row: its cost is the lattice times the sides, whatever the table's size."""
-    at = lambda k, pick: pick(F.transform(area, lambda p: p[k]))
-    left, low = at("x", F.array_min), at("y", F.array_min)
-    dx, dy = (at("x", F.array_max) - left) / points, (at("y", F.array_max) - low) / points
-    cell = lambda i: F.struct((left + (i % points + 0.5) * dx).alias("x"), (low + (F.floor(i / points) + 0.5) * dy).alias("y"))
-    inside = F.filter(F.transform(F.sequence(F.lit(0), F.lit(points * points - 1)), cell), lambda c: contains(area, c["x"], c["y"]))
-    both = F.filter(inside, lambda c: F.exists(footprints, lambda f: contains(f, c["x"], c["y"])))
-    return F.coalesce(F.try_divide(100.0 * F.size(both), F.nullif(F.size(inside), F.lit(0))), F.lit(0.0))
-
-
 def crossings(ring: Column, y: Column) -> Column:
     """Where the ring's sides cross the horizontal line at y; a point of that line is inside if an odd number lie right of it."""
 

@@ -106,15 +106,6 @@ def acquisition_record(spark, d):
     return r.select("acquisition_key", F.col("granule_count").cast("long").alias("granule_count"), "primary_item_id", "relative_orbit", words("tile_ids").alias("tile_ids"), words("processing_baselines").alias("baselines"), "dominant_baseline", (F.size("processing_baselines") > 1).alias("mixed"), F.round("cloud_cover_pct", 6).alias("cloud"))
 
 
-@query("""WITH k AS (SELECT n_nationkey AS k FROM nation), c AS (SELECT i.range % 64 AS a, i.range // 64 AS b FROM range(4096) i), p AS (SELECT k, 0.0::DOUBLE + (a + 0.5::DOUBLE) * (10.0::DOUBLE / 64) AS x, 0.0::DOUBLE + (b + 0.5::DOUBLE) * (8.0::DOUBLE / 64) AS y FROM k, c)
-SELECT k AS n_nationkey, round(100.0 * count(*) FILTER ((x > -1 AND x < 2 + k * 0.25::DOUBLE AND y > -1 AND y < 9) OR (x > 5 AND x < 5 + k * 0.15::DOUBLE AND y > 2 AND y < 6)) / count(*), 6) AS coverage_pct FROM p GROUP BY 1""")
-def union_coverage(spark, d):
-    k, lit = F.col("n_nationkey"), F.lit
-    area = projection.bbox_ring(lit(0.0), lit(0.0), lit(10.0), lit(8.0))
-    prints = F.array(projection.bbox_ring(lit(-1.0), lit(-1.0), 2 + k * 0.25, lit(9.0)), projection.bbox_ring(lit(5.0), lit(2.0), 5 + k * 0.15, lit(6.0)))
-    return _t(spark, d, "nation").select("n_nationkey", F.round(projection.coverage_pct(area, prints), 6).alias("coverage_pct"))
-
-
 # -- processing: two granules an acquisition, each a pair of 8 x 8 tiles -------------------------------
 _STEPS = """WITH v AS (SELECT vec_id, vec_id // 2 AS acquisition, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
 g AS (SELECT a.acquisition, a.vec_id AS item_id, a.pos // 8 AS row, a.pos % 8 AS col, CASE WHEN (a.vec_id + a.pos) % 31 <> 0 THEN floor((CAST(a.v AS DOUBLE) + 1) * 5000) END AS red, floor((CAST(b.v AS DOUBLE) + 1) * 5000) AS nir, CAST((a.vec_id * 7 + a.pos * 5) % 12 AS DOUBLE) AS scl,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdara.functions import projection, views
-from verdara.functions.geo import A, E, E2, utm_epsg
+from verdara.functions.geo import E, utm_epsg
 from verdara.operators import raster
 from verdara.plans.queries import _POINTS, _points, _t, pixels, query
 from verdara.sinks import documents, images
@@ -53,24 +53,6 @@ def aoi_rasterize(spark, d):
     return projection.rasterize(_rings(spark, d), "ring", 14, 18, 1.0, F.lit(0.0), F.lit(18.0)).drop("ring")
 
 
-def _per_radian_sql(lat: str) -> str:
-    s = f"sin(radians({lat}))"
-    return f"({A * A * (1 - E2) / 2!r}::DOUBLE * ({s} / (1 - {E2!r}::DOUBLE * {s} * {s}) + atanh({E!r}::DOUBLE * {s}) / {E!r}::DOUBLE))"
-
-
-@query(_SIDES + f" SELECT n_nationkey, round(abs(sum(radians(qx - px) * ({_per_radian_sql('py')} + 4 * {_per_radian_sql('(py + qy) / 2')} + {_per_radian_sql('qy')}) / 6)) / 1e6, 3) AS area_km2 FROM e GROUP BY 1")
-def polygon_area(spark, d):
-    return _rings(spark, d).select("n_nationkey", F.round(projection.ring_area_km2(F.col("ring")), 3).alias("area_km2"))
-
-
-def polygon_overlap(spark, d):
-    """Share of each ring in a box; clipping is beyond plain SQL, the tests hold it against a fine raster."""
-    box = projection.bbox_ring(F.lit(2.0), F.lit(1.0), F.lit(9.0), F.lit(6.0))
-    return _rings(spark, d).select("n_nationkey", F.round(projection.overlap_pct(F.col("ring"), box), 6).alias("overlap_pct"))
-
-
-QUERIES["polygon_overlap"] = polygon_overlap
-
 # -- resampling: tiles of 8 x 8 cells of 20 m onto 14 x 14 cells of 10 m, from an offset of 7 m ---------
 _SRC = "WITH s AS (SELECT vec_id AS key, pos // 8 AS row, pos % 8 AS col, CASE WHEN (vec_id + pos) % 13 = 0 THEN NULL ELSE v END AS value FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)), c AS (SELECT r.range AS row, c.range AS col, 7 + (c.range + 0.5::DOUBLE) * 10 AS x, 153 - (r.range + 0.5::DOUBLE) * 10 AS y FROM range(14) r, range(14) c)"
 
