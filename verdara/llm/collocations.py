@@ -6,7 +6,8 @@
    Levels hand on a bitmap of the hashes that are left, of 16 bits each up to 2**27 bits: beyond, more
    candidates pass than need to, but none is lost.
 2. The distinct candidates (words, pairs, triples) are numbered and dealt, by a hash of the phrase, into shards of some
-   `SHARD` phrases. A task builds a shard's double-array trie: language, first, second, third word.
+   `SHARD` phrases. A task builds a shard's double-array trie: language, first, second, third word, each word in two
+   digits.
 3. For one shard after the other the trie, whose size the shard bounds, is broadcast. Tasks turn words into
    codes and advance the states of all positions of a batch by numpy, a level at a time: next = base[state] +
    code, where check[next] is the state. Accepting states are counted by `bincount`; the counts of
@@ -197,16 +198,31 @@ def candidates(docs: DataFrame, words: DataFrame, pairs, triples) -> DataFrame:
     return words.select("lang", F.col("word").alias("w1"), none.alias("w2"), none.alias("w3")).unionByName(longer)
 
 
+def radix(words: int) -> int:
+    """A word's number is two digits of this many values each, so that no state has more children."""
+    return 1 << -(-max(1, words.bit_length()) // 2)
+
+
+def digits(codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both digits, of 1 and more, of numbers from 1 on; zeros for zero."""
+    known = codes > 0
+    return np.where(known, (codes - 1) // base + 1, 0), np.where(known, (codes - 1) % base + 1, 0)
+
+
 class Trie:
-    """A double-array trie over rows of codes of 1 and more; zeros end a row."""
+    """A double-array trie over rows of codes of 1 and more; zeros end a row.
+
+    A level's parents with several children get a base in a region of their own, those with most children first; those
+    with one child then fill free cells anywhere.
+    """
+
+    FEW = 64
 
     def __init__(self, rows: np.ndarray) -> None:
-        rng = np.random.default_rng(1)
+        self.rng = np.random.default_rng(1)
         self.widest = int(rows.max(initial=0))
-        size = self.widest + 2
-        self.base, self.check, self.accept = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        self.used = np.zeros(size, bool)
-        self.used[0] = True
+        self.base, self.check, self.accept = (np.full(1, fill, np.int32) for fill in (0, -1, -1))
+        self.used = np.ones(1, bool)
         state = np.zeros(len(rows), np.int64)  # of each row's prefix so far
         live = np.arange(len(rows))
         for level in range(rows.shape[1]):
@@ -214,48 +230,63 @@ class Trie:
             if not len(live):
                 break
             # Parents are numbered by their states; each parent's children are its distinct codes.
-            edges, back = np.unique(np.stack((state[live], rows[live, level]), axis=1), axis=0, return_inverse=True)
-            self._grow(2 * (int(self.used.sum()) + len(edges)) + self.widest)
-            self._place(edges[:, 0], edges[:, 1], rng)
-            state[live] = self.base[edges[:, 0]][back.ravel()] + edges[:, 1][back.ravel()]
+            edges, back = np.unique(state[live] * (self.widest + 1) + rows[live, level], return_inverse=True)
+            parent, code = edges // (self.widest + 1), edges % (self.widest + 1)
+            self._place(parent, code)
+            state[live] = self.base[parent][back] + code[back]
         self.accept[state] = np.arange(len(rows))
         last = int(np.flatnonzero(self.used)[-1]) + self.widest + 2  # so that no step leaves the arrays
-        self.base, self.check, self.accept = (np.concatenate((a[:last], np.full(max(0, last - len(a)), fill, np.int32))) for a, fill in ((self.base, 0), (self.check, -1), (self.accept, -1)))
+        self._grow(last)
+        self.base, self.check, self.accept = self.base[:last], self.check[:last], self.accept[:last]
 
     def _grow(self, size: int) -> None:
         more = max(0, size - len(self.used))
         self.base, self.check, self.accept = (np.concatenate((a, np.full(more, fill, np.int32))) for a, fill in ((self.base, 0), (self.check, -1), (self.accept, -1)))
         self.used = np.concatenate((self.used, np.zeros(more, bool)))
 
-    def _place(self, parent: np.ndarray, code: np.ndarray, rng) -> None:
+    def _place(self, parent: np.ndarray, code: np.ndarray) -> None:
         """Give each parent a base so that its children's cells are free; parents come sorted."""
         starts = np.flatnonzero(np.concatenate(([True], parent[1:] != parent[:-1])))
         counts = np.diff(np.concatenate((starts, [len(parent)])))
-        wide = np.flatnonzero(counts > 64)
-        for p in wide[np.argsort(-counts[wide])]:
-            codes = code[starts[p] : starts[p] + counts[p]]
-            for base in [*rng.integers(1, max(2, len(self.used) - self.widest), 40), len(self.used)]:
-                if base == len(self.used):
-                    self._grow(base + self.widest + 1)
-                if not self.used[base + codes].any():
-                    break
-            self._take(np.full(len(codes), parent[starts[p]]), codes, np.full(len(codes), base))
-        few = np.flatnonzero(counts <= 64)
-        left = np.repeat(np.isin(np.arange(len(starts)), few), counts)
-        parent, code = parent[left], code[left]
+        size = np.repeat(counts, counts)
+        region = len(self.used)
+        for p in np.flatnonzero(counts > self.FEW):
+            at, end = slice(starts[p], starts[p] + counts[p]), len(self.used)
+            self._grow(end + self.widest + 1)
+            self._take(parent[at], code[at], np.full(counts[p], end))
+        self._grow(len(self.used) + 4 * int(((size > 1) & (size <= self.FEW)).sum()) + self.widest)
+        for low, high in ((17, self.FEW), (5, 16), (2, 4)):
+            among = (size >= low) & (size <= high)
+            self._scatter(parent[among], code[among], region)
+        alone = size == 1
+        self._fill(parent[alone], code[alone])
+
+    def _scatter(self, parent: np.ndarray, code: np.ndarray, region: int) -> None:
+        """Random bases in the region, until all children of each parent are in free cells."""
         while len(parent):
             first = np.concatenate(([True], parent[1:] != parent[:-1]))
             group = np.cumsum(first) - 1
-            base = rng.integers(1, len(self.used) - self.widest, group[-1] + 1)[group]
+            base = self.rng.integers(region, len(self.used) - self.widest, group[-1] + 1)[group]
             cell = base + code
             own = np.zeros(len(cell), bool)
             own[np.unique(cell, return_index=True)[1]] = True  # of two that want a cell the first gets it
             good = np.logical_and.reduceat(own & ~self.used[cell], np.flatnonzero(first))[group]
             self._take(parent[good], code[good], base[good])
-            if good.mean() < 0.1:
-                self._grow(len(self.used) * 5 // 4 + self.widest)
+            if good.mean() < 0.05:
+                self._grow(len(self.used) + (len(self.used) - region) // 4 + self.widest)
             parent, code = parent[~good], code[~good]
 
+    def _fill(self, parent: np.ndarray, code: np.ndarray) -> None:
+        """One child each: any free cell beyond its code will do."""
+        self._grow(int(self.used.sum()) + len(parent) + self.widest + 1)
+        free = np.flatnonzero(~self.used)
+        cell = free[free > self.widest][: len(parent)]
+        if len(cell) < len(parent):
+            end = len(self.used)
+            self._grow(end + len(parent) - len(cell) + self.widest)
+            cell = np.concatenate((cell, np.arange(end + self.widest, end + self.widest + len(parent) - len(cell))))
+        self._take(parent, code, cell - code)
+
     def _take(self, parent: np.ndarray, code: np.ndarray, base: np.ndarray) -> None:
         self.base[parent], self.check[base + code], self.used[base + code] = base, parent, True
 
@@ -276,7 +307,8 @@ def _built(phrases: DataFrame, shards: int) -> DataFrame:
         encoded = words.dictionary_encode()
         codes = np.nan_to_num(encoded.indices.to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int64).reshape(3, -1).T + 1
         langs = table.column(1).combine_chunks().dictionary_encode()
-        trie = Trie(np.concatenate((langs.indices.to_numpy()[:, None].astype(np.int64) + 1, codes), axis=1))
+        base = radix(len(encoded.dictionary))
+        trie = Trie(np.stack([langs.indices.to_numpy().astype(np.int64) + 1, *(d for k in range(3) for d in digits(codes[:, k], base))], axis=1))
         n = table.num_rows
         blank = pa.nulls(n, pa.binary())
         rows = pa.table([table.column(0), pa.array(np.arange(n)), *(table.column(k) for k in range(1, 5)), *[blank] * 5], schema=_BUILT)
@@ -303,17 +335,18 @@ def occurrences(docs: DataFrame, trie) -> DataFrame:
         counts = np.zeros(-(-n // BLOCK) * BLOCK, np.int64)
         for batch in batches:
             found, lang, names = _read(batch)
-            codes = np.fromiter(map(code.get, found, repeat(0)), np.int64, len(found))
+            high, low = digits(np.fromiter(map(code.get, found, repeat(0)), np.int64, len(found)), radix(len(code)))
             first = np.fromiter((of_lang.get(x, 0) for x in names), np.int64, len(names))
             # A language without phrases has code 0 and no state; its words then lead nowhere.
             start = np.where(first > 0, base[0] + first, 0)[lang]
             at = np.flatnonzero(start > 0)
             state = start[at]
             for level in range(3):
-                inside = at + level < len(codes)
+                inside = at + level < len(high)
                 at, state = at[inside], state[inside]
-                state, on = advance(base, check, state, codes[at + level])
-                at = at[on]
+                for digit in (high, low):
+                    state, on = advance(base, check, state, digit[at + level])
+                    at = at[on]
                 done = accept[state]
                 counts += np.bincount(done[done >= 0], minlength=len(counts))
         yield _blocks(counts)
