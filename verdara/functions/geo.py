@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ E2 = FLATTENING * (2 - FLATTENING)
 E = math.sqrt(E2)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)` with the value computed once: plans stay small where it is used many times."""
+    return F.transform(F.array(value), then)[0]
+
+
 def utm_epsg(lon: Column, lat: Column) -> Column:
     zone = F.pmod(F.floor((lon + 180) / 6), F.lit(60)) + 1
     return (F.when(lat >= 0, 32600).otherwise(32700) + zone).cast("int")

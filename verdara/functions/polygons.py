@@ -18,12 +18,11 @@ have no area; nearly antipodal corners of one side have no certain shortest way
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdara.functions.geo import A, E, E2, FLATTENING
+from verdara.functions.geo import A, E, E2, FLATTENING, let
 from verdara.functions.projection import _edges
 
 #: Gauss-Legendre nodes and weights of five points on (0, 1).
@@ -33,11 +32,6 @@ GAUSS = [(0.5, 64 / 225)] + [(0.5 + s * r / 2, w) for r, w in zip(_R, _W, strict
 PANELS, ROUNDS = 8, 14
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """`then(value)` with the value computed once."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
@@ -94,17 +88,17 @@ def cover_km2(area: Column, footprints: Column) -> Column:
 
         def slab(y: Column, i: Column, ys: Column) -> Column:
             top = F.get(ys, i + 1)
-            scan = lambda t: _let(F.transform(sides, lambda s: at(s, y + t * (top - y))), _covered)
+            scan = lambda t: let(F.transform(sides, lambda s: at(s, y + t * (top - y))), _covered)
 
             def integral(ends: Column) -> Column:
                 rise = 2 * (ends[1] - ends[0])
                 return (top - y) * sum(w * (ends[0] + rise * (t - 0.25)) * _meridional(y + t * (top - y)) for t, w in GAUSS)
 
-            return F.when(top > y, _let(F.array(scan(0.25), scan(0.75)), integral)).otherwise(0.0)
+            return F.when(top > y, let(F.array(scan(0.25), scan(0.75)), integral)).otherwise(0.0)
 
-        return _let(levels, lambda ys: _sum(F.transform(ys, lambda y, i: slab(y, i, ys))))
+        return let(levels, lambda ys: _sum(F.transform(ys, lambda y, i: slab(y, i, ys))))
 
-    km2 = _let(F.transform(polygons, _sides), over) * math.pi / 180 / 1e6
+    km2 = let(F.transform(polygons, _sides), over) * math.pi / 180 / 1e6
     return F.coalesce(km2, F.lit(0.0))
 
 
@@ -157,7 +151,7 @@ def _under(e: Column) -> Column:
             m = F.coalesce(a["cos"] - 2 * s["s1"] * s["s2"] / F.nullif(flat, F.lit(0.0)), F.lit(0.0))
             return s["turn"] + (1 - c) * FLATTENING * a["tilt"] * (F.atan2(a["sin"], a["cos"]) + c * a["sin"] * (m + c * a["cos"] * (2 * m * m - 1)))
 
-        return _let(arc(s, omega), step)
+        return let(arc(s, omega), step)
 
     def integral(s: Column, a: Column) -> Column:
         # The arc starts at `first` from the node and is `long`; (x, y) is the direction at its start.
@@ -168,29 +162,29 @@ def _under(e: Column) -> Column:
             def area(k: Column) -> Column:
                 def node(t: float) -> Column:
                     sine = F.sqrt(F.greatest(1 - a["tilt"] * a["tilt"], F.lit(0.0))) * F.sin(b["first"] + b["long"] * (k + t) / PANELS)
-                    return _let(sine * sine, lambda q: _zonal(sine / F.sqrt(q + (1 - FLATTENING) ** 2 * (1 - q))) * F.sqrt(1 - E2 * (1 - q)) / (1 - q))
+                    return let(sine * sine, lambda q: _zonal(sine / F.sqrt(q + (1 - FLATTENING) ** 2 * (1 - q))) * F.sqrt(1 - E2 * (1 - q)) / (1 - q))
 
                 return sum(w * node(t) for t, w in GAUSS)
 
             return b["long"] / PANELS * a["tilt"] * _sum(F.transform(F.sequence(F.lit(0), F.lit(PANELS - 1)), area))
 
-        return _let(F.struct(first.alias("first"), long.alias("long")), panel)
+        return let(F.struct(first.alias("first"), long.alias("long")), panel)
 
     def whole(s: Column) -> Column:
         omega = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), s["turn"], lambda w, _: better(s, w))
         # Along a meridian longitude changes at a pole only, where the side begins, ends or passes over.
         pole = s["turn"] * F.signum(s["s1"] + s["s2"]) * HEMISPHERE / (2 * math.pi)
-        return _let(_let(omega, lambda w: arc(s, w)), lambda a: F.when(F.abs(a["tilt"]) < 1e-10, pole).otherwise(integral(s, a)))
+        return let(let(omega, lambda w: arc(s, w)), lambda a: F.when(F.abs(a["tilt"]) < 1e-10, pole).otherwise(integral(s, a)))
 
     b1, b2 = reduced(e["p"]), reduced(e["q"])
     start = F.struct(F.sin(b1).alias("s1"), F.cos(b1).alias("c1"), F.sin(b2).alias("s2"), F.cos(b2).alias("c2"), F.radians(_turn(e)).alias("turn"))
-    return _let(start, whole)
+    return let(start, whole)
 
 
 def geodesic_ring_km2(ring: Column) -> Column:
     """Area of a ring in degrees whose sides are geodesics, whatever its direction; of a ring around a pole, the pole's side."""
-    total = _let(_edges(ring), lambda sides: F.struct(_sum(F.transform(sides, _under)).alias("under"), _sum(F.transform(sides, _turn)).alias("round")))
-    area = _let(total, lambda t: F.when(F.abs(t["round"]) > 180, HEMISPHERE - F.abs(t["under"])).otherwise(F.abs(t["under"])))
+    total = let(_edges(ring), lambda sides: F.struct(_sum(F.transform(sides, _under)).alias("under"), _sum(F.transform(sides, _turn)).alias("round")))
+    area = let(total, lambda t: F.when(F.abs(t["round"]) > 180, HEMISPHERE - F.abs(t["under"])).otherwise(F.abs(t["under"])))
     return F.when(F.size(ring) >= 3, area / 1e6).otherwise(0.0)
 
 

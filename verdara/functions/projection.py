@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdara.functions.geo import A, E, FLATTENING
+from verdara.functions.geo import A, E, FLATTENING, let
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -27,22 +27,30 @@ K0, EASTING, SOUTHING = 0.9996, 500_000.0, 10_000_000.0
 
 def utm_xy(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
     """Easting and northing in the UTM zone that `epsg` (326zz or 327zz) names; NULL when an input is."""
-    zone, south = epsg % 100, epsg >= 32700
-    turn, sin = F.radians(lon - (zone * 6 - 183)), F.sin(F.radians(lat))
+    return _eastings(*_sphere(lon, lat, epsg), epsg)
+
+
+def _sphere(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
+    turn, sin = F.radians(lon - (epsg % 100 * 6 - 183)), F.sin(F.radians(lat))
     t = F.sinh(F.atanh(sin) - E * F.atanh(E * sin))
-    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    return F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+
+
+def _eastings(xi: Column, eta: Column, epsg: Column) -> tuple[Column, Column]:
     up, right = xi, eta
     for j, c in enumerate(SERIES, 1):
         up += c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         right += c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    return EASTING + K0 * RADIUS * right, K0 * RADIUS * up + F.when(south, SOUTHING).otherwise(0.0)
+    return EASTING + K0 * RADIUS * right, K0 * RADIUS * up + F.when(epsg >= 32700, SOUTHING).otherwise(0.0)
 
 
-def ring_utm(ring: Column, epsg: Column) -> Column:
-    def place(p: Column) -> Column:
-        x, y = utm_xy(p["x"], p["y"], epsg)
-        return F.struct(x.alias("x"), y.alias("y"))
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
 
+
+def ring_utm(ring: Column, epsg: Column) -> Column:
+    """`utm_xy` of each corner, by small steps that are computed once."""
+    place = lambda p: let(_point(*_sphere(p["x"], p["y"], epsg)), lambda s: _point(*_eastings(s["x"], s["y"], epsg)))
     return F.transform(ring, place)
 
 
@@ -93,18 +101,44 @@ LATITUDE = (
 
 def lonlat(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
     """Longitude and latitude of a point of the UTM zone that `epsg` names."""
-    up, right = (y - F.when(epsg >= 32700, SOUTHING).otherwise(0.0)) / (K0 * RADIUS), (x - EASTING) / (K0 * RADIUS)
+    xi, eta = _unseries(*_scaled(x, y, epsg))
+    return _degrees(xi, eta, _conformal(xi, eta), epsg)
+
+
+def _scaled(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
+    return (y - F.when(epsg >= 32700, SOUTHING).otherwise(0.0)) / (K0 * RADIUS), (x - EASTING) / (K0 * RADIUS)
+
+
+def _unseries(up: Column, right: Column) -> tuple[Column, Column]:
     xi, eta = up, right
     for j, c in enumerate(INVERSE, 1):
         xi -= c * F.sin(2 * j * up) * F.cosh(2 * j * right)
         eta -= c * F.cos(2 * j * up) * F.sinh(2 * j * right)
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    return xi, eta
+
+
+def _conformal(xi: Column, eta: Column) -> Column:
+    return F.asin(F.sin(xi) / F.cosh(eta))
+
+
+def _degrees(xi: Column, eta: Column, chi: Column, epsg: Column) -> tuple[Column, Column]:
     lat = chi
     for j, c in enumerate(LATITUDE, 1):
         lat += c * F.sin(2 * j * chi)
     return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + ((epsg % 100) * 6 - 183), F.degrees(lat)
 
 
+def ring_lonlat(ring: Column, epsg: Column) -> Column:
+    """`lonlat` of each corner, by small steps that are computed once."""
+
+    def place(p: Column) -> Column:
+        flat = lambda s: let(_point(*_unseries(s["x"], s["y"])), sphere)
+        sphere = lambda s: let(_conformal(s["x"], s["y"]), lambda chi: _point(*_degrees(s["x"], s["y"], chi, epsg)))
+        return let(_point(*_scaled(p["x"], p["y"], epsg)), flat)
+
+    return F.transform(ring, place)
+
+
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """Centre of a ring's area; of its corners, if it has no area."""
     cross = lambda e: e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]
@@ -115,6 +149,11 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
     return tuple(F.coalesce(moment(k) / (3 * twice), mean(k)) for k in ("x", "y"))
 
 
+def ring_middle(ring: Column) -> Column:
+    """`ring_centroid` as a struct, the ring computed once."""
+    return let(ring, lambda r: _point(*ring_centroid(r)))
+
+
 def ring_problem(ring: Column) -> Column:
     """Why a ring can't be an area of interest: too few corners, no area, or two sides that cross; NULL if it can."""
     sides = _edges(ring)

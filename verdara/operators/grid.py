@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdara.functions import projection
-from verdara.functions.geo import utm_epsg
+from verdara.functions.geo import let, utm_epsg
+from verdara.operators import spatial
 
 SCHEMA_VERSION = "1.0.0"
 
 
 def six_digits(x: Column) -> Column:
     """A number's text with six significant digits, without trailing zeros, as C's %g writes it."""
-    short = F.format_string("%.5e", x.cast("double"))
+    return let(F.struct(x.cast("double").alias("x"), F.format_string("%.5e", x.cast("double")).alias("short")), lambda s: _six_digits(s["x"], s["short"]))
+
+
+def _six_digits(x: Column, short: Column) -> Column:
     power = F.regexp_extract(short, r"e([+-]\d+)$", 1).cast("int")
     plain = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     mantissa, exponent = plain(F.regexp_extract(short, r"^(.*)e", 1)), F.regexp_extract(short, r"(e[+-]\d+)$", 1)
-    fixed = plain(F.format_string("%.10f", F.round(x.cast("double"), 10)))
+    fixed = plain(F.format_string("%.10f", F.round(x, 10)))
     return F.when(x == 0, "0").when((power < -4) | (power >= 6), F.concat(mantissa, exponent)).otherwise(fixed)
 
 
@@ -34,19 +38,28 @@ def canonical_grids(areas: DataFrame, ring: str = "ring", resolution: float = 10
     The ring is projected to its centre's UTM zone and its bounds are moved outward to the lattice through the
     zone's origin, so that areas of one zone share their cells. All of it is arithmetic within a row.
     """
-    centre = projection.ring_centroid(F.col(ring))
-    out = areas.withColumn("epsg", utm_epsg(*centre)).withColumn("_flat", projection.ring_utm(F.col(ring), F.col("epsg")))
-    edge = lambda k, pick, snap: (snap(pick(F.transform("_flat", lambda p: p[k])) / resolution) * resolution).cast("double")
-    out = out.withColumns({"left": edge("x", F.array_min, F.floor), "bottom": edge("y", F.array_min, F.floor), "right": edge("x", F.array_max, F.ceil), "top": edge("y", F.array_max, F.ceil)}).drop("_flat")
+    centre = let(projection.ring_middle(F.col(ring)), lambda c: utm_epsg(c["x"], c["y"]))
+    snapped = lambda v, snap: (snap(v / resolution) * resolution).cast("double")
+
+    def bounds(flat: Column) -> Column:
+        at = lambda k, pick: pick(F.transform(flat, lambda p: p[k]))
+        edges = {"left": snapped(at("x", F.array_min), F.floor), "bottom": snapped(at("y", F.array_min), F.floor), "right": snapped(at("x", F.array_max), F.ceil), "top": snapped(at("y", F.array_max), F.ceil)}
+        return F.struct(*[v.alias(k) for k, v in edges.items()])
+
+    def corners(b: Column) -> Column:
+        return F.array(*[F.struct(b[x].alias("x"), b[y].alias("y")) for x in ("left", "right") for y in ("bottom", "top")])
+
+    out = areas.withColumn("epsg", centre).withColumn("_box", let(projection.ring_utm(F.col(ring), F.col("epsg")), bounds))
+    out = out.withColumn("_corners", projection.ring_lonlat(let(F.col("_box"), corners), F.col("epsg")))
     cells = lambda a, b: F.round((F.col(b) - F.col(a)) / resolution).cast("int")
     step = F.lit(float(resolution))
+    out = out.withColumns({k: F.col("_box")[k] for k in ("left", "bottom", "right", "top")})
     out = out.withColumns({"resolution": step, "width": cells("left", "right"), "height": cells("bottom", "top"), "transform": F.array(step, F.lit(0.0), F.col("left"), F.lit(0.0), -step, F.col("top"))})
-    corners = F.array(*[F.struct(*[v.alias(k) for k, v in zip("xy", projection.lonlat(F.col(a), F.col(b), F.col("epsg")))]) for a in ("left", "right") for b in ("bottom", "top")])
-    out = out.withColumn("_corners", corners)
-    span = [pick(F.col("_corners")[k]) for pick in (F.array_min, F.array_max) for k in "xy"]
-    made = {"bounds_geographic": F.array(*span), "signature": signature(F.col("epsg"), F.col("width"), F.col("height"), F.col("transform"))}
+    along = lambda c, k: F.transform(c, lambda p: p[k])
+    span = lambda c: F.array(*[pick(along(c, k)) for pick in (F.array_min, F.array_max) for k in "xy"])
+    made = {"bounds_geographic": let(F.col("_corners"), span), "signature": signature(F.col("epsg"), F.col("width"), F.col("height"), F.col("transform"))}
     made["problem"] = F.coalesce(projection.ring_problem(F.col(ring)), F.when((F.col("width") < 1) | (F.col("height") < 1), "below_one_cell"))
-    return out.withColumns(made).drop("_corners")
+    return out.withColumns(made).drop("_corners", "_box")
 
 
 def grid_document(ring: Column) -> Column:
@@ -75,9 +88,8 @@ def cells(grids: DataFrame, ring: str = "ring") -> DataFrame:
 
 
 def granules_on_grid(granules: DataFrame, grids: DataFrame, pad: int = 4) -> DataFrame:
-    """Granules (bbox in degrees) beside each grid whose padded bounds they meet. Grids are one an analysis: they
-    are the smaller side by far; without an equality the join is a nested loop over the broadcast grids."""
-    box, edge = F.col("bbox"), F.col("bounds_geographic")
-    more = pad * F.col("resolution") / 111_320.0
-    meets = (box[0] <= edge[2] + more) & (box[2] >= edge[0] - more) & (box[1] <= edge[3] + more) & (box[3] >= edge[1] - more)
-    return granules.join(grids, meets)
+    """Granules (bbox in degrees) beside each grid whose bounds, padded by some cells, they meet."""
+    edge, more = F.col("bounds_geographic"), pad * F.col("resolution") / 111_320.0
+    box = dict(zip(spatial.BOX, (F.get("bbox", F.lit(k)) for k in range(4)), strict=True))
+    padded = dict(zip(spatial.BOX, (edge[0] - more, edge[1] - more, edge[2] + more, edge[3] + more), strict=True))
+    return spatial.meeting(granules, grids, box, padded).select("l.*", "r.*")

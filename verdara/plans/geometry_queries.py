@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from verdara.functions import polygons
 from verdara.functions.geo import A, E, E2, FLATTENING
 from verdara.functions.projection import bbox_ring
+from verdara.operators import grid
+from verdara.plans.engine_queries import _GRID, _areas
 from verdara.plans.product_queries import _SHAPE, _SIDES, _rings
 from verdara.plans.queries import _t, query
 
 
+PAD = 4 * 10.0 / 111_320.0
+
+
 def zonal_sql(lat: str) -> str:
     """Area between the equator and a latitude, km2 per radian of longitude."""
     s = f"sin(radians({lat}))"
@@ -95,4 +100,16 @@ def geojson_area(spark, d):
     return parts.select("c_custkey", size(F.when(F.col("parts").isNotNull(), F.size("parts"))).alias("parts"), size(holes).alias("holes"), F.round(F.coalesce(area, F.lit(0.0)), 4).alias("area_km2"))
 
 
+# Granules of events, one in five at one place, beside the grids of customers.
+@query(_GRID + f""", q AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -142.0::DOUBLE ELSE CAST(event_id * 7919 % 3600 AS DOUBLE) / 10 - 180 END AS w, CASE WHEN event_id % 5 = 0 THEN -22.0::DOUBLE ELSE CAST(event_id * 104729 % 1600 AS DOUBLE) / 10 - 80 END AS s, 0.02::DOUBLE * (1 + event_id % 97) AS size FROM events)
+SELECT event_id, c_custkey FROM q JOIN n ON w <= east + {PAD!r}::DOUBLE AND w + size >= west - {PAD!r}::DOUBLE AND s <= north + {PAD!r}::DOUBLE AND s + size >= south - {PAD!r}::DOUBLE""")
+def granules_on_grid(spark, d):
+    k = F.col("event_id")
+    w = F.when(k % 5 == 0, -142.0).otherwise((k * 7919 % 3600).cast("double") / 10 - 180)
+    s = F.when(k % 5 == 0, -22.0).otherwise((k * 104729 % 1600).cast("double") / 10 - 80)
+    size = 0.02 * (1 + k % 97)
+    granules = _t(spark, d, "events").select("event_id", F.array(w, s, w + size, s + size).alias("bbox"))
+    return grid.granules_on_grid(granules, grid.canonical_grids(_areas(spark, d))).select("event_id", "c_custkey")
+
+
 assert len(_SHAPE) == 5  # the ring that _SIDES states
