@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -39,3 +40,13 @@ def ship(spark: SparkSession) -> None:
     made = shutil.make_archive(os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="verdara-")), "verdara"), "zip", root, "verdara")
     spark.sparkContext.addPyFile(made)
     _SHIPPED.add(spark.sparkContext.applicationId)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path of the folder that executors share: spark.checkpoint.dir, or a temporary one on a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="verdara-")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
