@@ -53,7 +53,6 @@ def packed_pieces(rows, limit=2048):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
-    t.encode_special_tokens = True
     out = []
     for i, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]

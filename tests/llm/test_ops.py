@@ -319,9 +319,11 @@ def test_piece_codec_on_odd_texts():
 
 def test_word_tokens_on_odd_texts():
     tokens = packing.word_tokens(WORD)
+    assert np.frombuffer(tokens.encode_all(["<|endoftext|> hello"])[0], "<u4").tolist() == [49407, 3306]
     rng = random.Random(2)
     letters = "abcDEF'stlrvemd0129²ß ÀÉ\n\t.,!#<|>«»×÷ªº½\xa0’"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["<|endoftext|> hello", "a<|startoftext|>b", "x <|ENDOFTEXT|> y", "<|endoftext|><|endoftext|>", "é<|endoftext|>"]
     want = [np.array(tokens.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert tokens.encode_all(texts) == want
 
@@ -350,7 +352,20 @@ def test_training_takes_long_texts_and_rare_languages(spark):
     assert [k for k, _ in language_id.sample(frame, 3)].count("en") == 3 and len(language_id.sample(frame, 3)) == 7
     marks = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
     texts, ys = quality_net.sample(frame, marks, 5)
-    assert sorted(set(ys)) == [0, 1] and len(texts) == 10 and all(10_000 <= len(t) <= quality_net.FIT_CHARS + 12 for t in texts)
+    assert sorted(set(ys)) == [0, 1] and len(texts) == 10 and {len(t) for t in texts} <= {len(t) for _, t, _ in train if t}
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    """Of a language almost without texts no more ids are collected than are chosen, and none of its texts is missed."""
+    from verdara.llm import common
+
+    many = spark.range(100_000).selectExpr("id doc_id", "if(id % 40000 = 7, 'le chat noir', null) text", "'fr' lang").unionByName(spark.range(100_000, 130_000).selectExpr("id doc_id", "'the black cat' text", "'en' lang"))
+    sizes = []
+    make = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, rows, *a, **k: (sizes.append(len(rows)), make(self, rows, *a, **k))[1])
+    got = common.sample_by_group(many.select("doc_id", F.col("lang").alias("grp")), many, F.col("text"), 100)
+    assert [g for g, _ in got].count("fr") == 3 and [g for g, _ in got].count("en") == 100
+    assert sum(sizes) < 2 * (1.25 * 100 + 50) + 3
 
 
 def test_rejection_is_calibrated():

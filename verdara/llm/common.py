@@ -110,37 +110,30 @@ def tidy(run: Callable, *forget: Callable[[], None]) -> Callable:
     return wrapped
 
 
-def pieces_of(text: Column, limit: int, each: int = 1000) -> Column:
-    """A text of at most `limit` characters as it is; of a longer one, pieces of `each` characters, evenly
-    spaced from its first to its last, `limit` characters in all."""
-    n = limit // each
-    step = (F.char_length(text) - each) / (n - 1)
-    cut = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(text, (1 + F.floor(i * step)).cast("int"), F.lit(each)))
-    return F.when(F.char_length(text) <= limit, text).otherwise(F.array_join(cut, " "))
-
-
 def sample_by_group(ids: DataFrame, docs: DataFrame, text: Column, per_group: int) -> list[tuple]:
     """(group, text) of at most `per_group` documents a group, by group and hash: those of the least hashes.
 
     ids: (doc_id, grp); a doc_id of several groups counts in the least one, repeated rows once. `text` is an
     expression over `docs`; documents for which it is null are passed over and others take their places.
 
-    Thresholds on the hash, from counts by group, let pass somewhat more ids than are wanted. For a group that
-    doesn't get its number the threshold is raised, to the whole range at most, so what is chosen depends on
-    the hashes alone. Nothing but counts by group and the sample itself meets in one place.
+    Only ids that have such a text are counted and chosen from, so thresholds on the hash let pass some 1.25 *
+    `per_group` + 50 ids of a group, at most four times as many where chance gave a group too few. Nothing but counts by
+    group, those ids and the sample itself meets in one place; what is chosen depends on the hashes alone.
     """
     spark = docs.sparkSession
-    ids = ids.where("doc_id is not null and grp is not null").select("doc_id", "grp", (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(2**53))).alias("h"))
-    cuts = {r["grp"]: min(1.0, (1.25 * per_group + 50) / r["count"]) for r in ids.groupBy("grp").count().collect()}
-    found: dict = {}
-    while cuts:
-        cut = F.try_element_at(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]), F.col("grp"))
-        near = ids.where(F.col("h") < cut).groupBy("doc_id").agg(F.min("grp").alias("grp"), F.first("h").alias("h"))
-        table = spark.createDataFrame(near.collect(), near.schema)  # its size is bounded by the thresholds
-        texts = docs.select(F.col("doc_id").alias("_id"), text.alias("_text")).join(F.broadcast(table), F.col("_id") == F.col("doc_id"))
-        rows = texts.groupBy("doc_id", "grp", "h").agg(F.min("_text").alias("text")).where("text is not null").collect()
-        found |= {g: sorted((r["h"], r["doc_id"], r["text"]) for r in rows if r["grp"] == g) for g in cuts}
-        cuts = {g: min(1.0, 4 * c) for g, c in cuts.items() if c < 1 and len(found[g]) < per_group}
+    texts = docs.select(F.col("doc_id").alias("_id"), text.alias("_text")).where("_text is not null")
+    own = ids.where("doc_id is not null and grp is not null").groupBy("doc_id").agg(F.min("grp").alias("grp"))
+    usable = own.join(texts.select("_id").distinct(), F.col("doc_id") == F.col("_id")).select("doc_id", "grp", (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(2**53))).alias("h"))
+    with scratch(spark) as write:
+        usable = write(usable, "sample-ids")
+        cuts = {r["grp"]: min(1.0, (1.25 * per_group + 50) / r["count"]) for r in usable.groupBy("grp").count().collect()}
+        found: dict = {}
+        while cuts:
+            cut = F.try_element_at(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]), F.col("grp"))
+            table = spark.createDataFrame(usable.where(F.col("h") < cut).collect(), usable.schema)  # bounded by the thresholds
+            rows = texts.join(F.broadcast(table), F.col("_id") == F.col("doc_id")).groupBy("doc_id", "grp", "h").agg(F.min("_text").alias("text")).collect()
+            found |= {g: sorted((r["h"], r["doc_id"], r["text"]) for r in rows if r["grp"] == g) for g in cuts}
+            cuts = {g: min(1.0, 4 * c) for g, c in cuts.items() if c < 1 and len(found[g]) < per_group}
     return [(g, t) for g, rows in sorted(found.items()) for _, _, t in rows[:per_group]]
 
 

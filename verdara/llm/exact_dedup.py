@@ -33,6 +33,8 @@ from verdara.llm.common import ascii_lower, materialize, remove, shared_path, sp
 CAPACITY = 256
 BUCKETS = 1 << 17
 DEEPEST = 24
+#: Slots of a directory that may be broadcast, 24 bytes each.
+MOST_SLOTS = 1 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -90,6 +92,7 @@ class Index:
         self.capacity = max(capacity, -(-keys.count() // BUCKETS))
         buckets, self.depth = split_buckets(keys, self.capacity)
         self.directory = materialize(directory_of(buckets, self.depth), "dedup-directory")
+        self.slots = self.directory.count()
 
         placed = self._placed(norm.withColumn("key", key(F.col("norm"))))
         copies = placed.groupBy("bucket", "local_depth", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -102,9 +105,9 @@ class Index:
         remove(spark, self._paths[1])
 
     def _placed(self, rows: DataFrame) -> DataFrame:
-        """Rows with the bucket of their key. The directory has at most some 2 * BUCKETS slots in use: it is broadcast."""
+        """Rows with the bucket of their key. A directory of `MOST_SLOTS` at most is broadcast, a larger one joined by slot."""
         at = rows.withColumn("slot", _prefix(F.col("key"), self.depth))
-        return at.join(F.broadcast(self.directory), "slot").drop("slot")
+        return at.join(F.broadcast(self.directory) if self.slots <= MOST_SLOTS else self.directory, "slot").drop("slot")
 
     def find(self) -> DataFrame:
         """One row a document: doc_id, sha, keep_id, group_size."""

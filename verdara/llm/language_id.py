@@ -14,8 +14,8 @@ their excesses at which a text of the language is rejected with a probability of
 language with fewer held-back texts than that level needs, 1 / FALSE_REJECTION - 1, rejects no text with letters.
 
 Models are fitted on a bounded sample: the `FIT` training texts of each language with the least hash of their
-doc_id; the next `HELD` calibrate. With fewer texts a fifth is held back, never a language's only one. A sampled text
-of more than `FIT_CHARS` characters is represented by pieces of 1000, evenly spaced over the whole of it.
+doc_id; the next `HELD` calibrate. With fewer texts a fifth is held back, never a language's only one. Sampled
+texts are learned from whole.
 
 Defined cases: a text that is null or has no letter is `und`, score 0 and rejected, and isn't learned from; ties
 go to the language first by name; without any training text all documents are `und`; repeated rows and extra
@@ -34,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import id_remainder, pieces_of, sample_by_group, tidy
+from verdara.llm.common import id_remainder, sample_by_group, tidy
 
 ORDER = 5
 CHUNK = 32
 FIT, HELD = 500, 600
-FIT_CHARS = 20_000
 REMEMBERED = 250_000
 FALSE_REJECTION = 0.002
 UND = "und"
@@ -235,7 +234,7 @@ class Identifier:
 
 def sample(train: DataFrame, per_lang: int = FIT + HELD) -> list[tuple[str, str]]:
     """(lang, text) of the bounded training sample, from rows with doc_id, text and lang."""
-    usable = F.when(F.col("text").rlike(r"\p{L}"), pieces_of(F.col("text"), FIT_CHARS))
+    usable = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
     return sample_by_group(train.select("doc_id", F.col("lang").alias("grp")), train, usable, per_lang)
 
 

@@ -46,7 +46,8 @@ class WordTokens(dict):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Special tokens are what the library makes of their strings; texts that hold one go to it whole.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Words are normalised and split already: the same model without those steps.
         self.by_word = Tokenizer.from_file(path)
         self.by_word.encode_special_tokens = True
@@ -69,7 +70,7 @@ class WordTokens(dict):
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text."""
-        plain = [_WORD.findall(t.lower()) if t and _PLAIN.fullmatch(t) else None for t in texts]
+        plain = [_WORD.findall(t.lower()) if t and _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         get = self.get
         found = [list(map(get, w)) if w else [] for w in plain]
         new = {w for words, ids in zip(plain, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}

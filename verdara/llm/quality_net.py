@@ -7,8 +7,7 @@ least of its chunks' values; one logistic unit turns them into a probability. Tr
 going through the maxima only.
 
 The classifier is fitted on a bounded sample: the `PER_CLASS` labelled documents of each class with the least
-hash of their doc_id. One of more than `FIT_CHARS` characters is represented by pieces of 1000, evenly spaced over
-the whole of it; labels without a document, and those of empty texts, are passed over.
+hash of their doc_id, whole; labels without a document, and those of empty texts, are passed over.
 
 Defined cases: null or empty text has no chunk and gets the training sample's share of label 1; without
 labels of both classes every score is that share (0.5 with none); ties, repeated rows and extra columns do no
@@ -24,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import id_remainder, pieces_of, sample_by_group, tidy
+from verdara.llm.common import id_remainder, sample_by_group, tidy
 
 WIDTH, STRIDE = 8, 4
 CHUNK, OVERLAP = 1024, 64
 FILTERS = 32
 DIM = 16
 PER_CLASS = 700
-FIT_CHARS = 12_000
 EPOCHS = 6
 AT_ONCE = 256  # chunks convolved together
 
@@ -216,7 +214,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     """Texts and labels of the bounded training sample (crc32(doc_id) mod 3 isn't 1)."""
     marks = labels.where("doc_id is not null and quality is not null").where(id_remainder(F.col("doc_id"), 3) != 1)
     marks = marks.groupBy("doc_id").agg((F.max("quality") >= 1).cast("int").alias("grp"))
-    usable = F.when(F.col("text") != "", pieces_of(F.col("text"), FIT_CHARS))
+    usable = F.when(F.col("text") != "", F.col("text"))
     rows = sample_by_group(marks, docs, usable, per_class)
     return [text for _, text in rows], [y for y, _ in rows]
 
