@@ -242,16 +242,16 @@ def plain_collocations(table, least=10, top=2000):
 COL = "lang", "rank", "phrase", "a", "l", "r", "n", "score"
 
 
-@pytest.mark.parametrize("shard", [2_000_000, 7])
-def test_collocations(spark, shard):
+@pytest.mark.parametrize("shard, wave", [(2_000_000, 2_000_000), (7, 20), (5, 1000)])
+def test_collocations(spark, shard, wave):
     rng = random.Random(4)
     words = ["the", "The", "of", "é", "中文", "new", "york", "x\x1cy", "\x85", "a\xa0b"]
     table = [(rng.choice(("en", "fr", None, "und", "")), "".join(rng.choice(words) + rng.choice((" ", " ", " \t", ". ", "\n", "\x0b", ";", "  ")) for _ in range(rng.randint(0, 60)))) for _ in range(120)]
     table += [("en", None), (None, ""), ("de", " .,; \n"), ("zz", "only nine times " * 9), ("long", "ein langer text " * 20_000)]
     frame = spark.createDataFrame([(k, *r, "x") for k, r in enumerate(table)], "doc_id long, lang string, text string, h string").repartition(4)
-    got = rows(collocations.collocations(frame, shard=shard), *COL)
+    got = rows(collocations.collocations(frame, shard=shard, wave=wave), *COL)
     assert sorted(got) == plain_collocations(table)
-    few = rows(collocations.collocations(frame, collocations.Rule(least=30, top=5), shard=shard), *COL)
+    few = rows(collocations.collocations(frame, collocations.Rule(least=30, top=5), shard=shard, wave=wave), *COL)
     assert sorted(few) == plain_collocations(table, 30, 5)
     assert collocations.collocations(frame.where("false")).count() == 0
 

@@ -5,13 +5,14 @@
    counted by 64-bit hash, which undercounts nothing; a phrase whose hash was met too seldom is no candidate.
    Levels hand on a bitmap of the hashes that are left, of 16 bits each up to 2**27 bits: beyond, more
    candidates pass than need to, but none is lost.
-2. The distinct candidates (words, pairs, triples) are numbered and dealt, by a hash of the phrase, into shards of some
-   `SHARD` phrases. A task builds a shard's double-array trie: language, first, second, third word, each word in two
+2. The distinct candidates are dealt, by that hash of the whole phrase, into shards of some `SHARD` phrases, however
+   many share a word. A task builds a shard's double-array trie: language, first, second, third word, each word in two
    digits.
-3. For one shard after the other the trie, whose size the shard bounds, is broadcast. Tasks turn words into
-   codes and advance the states of all positions of a batch by numpy, a level at a time: next = base[state] +
-   code, where check[next] is the state. Accepting states are counted by `bincount`; the counts of
-   tasks, in blocks, are summed. One shard takes one pass over the texts.
+3. As many shards as have `WAVE` phrases are broadcast together, compressed, as one array: a position's own hashes name the
+   shards of its pair and of its triple. Tasks turn words into codes and advance the states of all
+   positions of a batch by numpy, a level at a time: next = base[state] + code, where check[next] is the state.
+   Accepting states are counted by `bincount`; the counts of tasks, in blocks of a shard, are summed. A wave takes one
+   pass over the texts, so passes grow with the candidates, memory doesn't.
 4. Scores, the loss of candidates that stand inside longer ones, and ranks are joins and windows over the exact counts.
 
 Defined cases: null text is empty; null language is `und`; an empty piece, or one of white space, has no word;
@@ -34,8 +35,8 @@ from verdara.llm.common import SMALL_BATCHES, materialize, scratch, settings, ti
 from verdara.llm.jaccard_join import _C1, BLOCK, _blocks, _gathered, _mix
 from verdara.session import ship
 
-#: Phrases of a trie, on average, and hashes or words that a task holds before it hands them on.
-SHARD, HELD = 2_000_000, 1_000_000
+#: Phrases of a trie, on average, of tries that are broadcast together, and hashes or words that a task holds before it hands them on.
+SHARD, WAVE, HELD = 100_000, 2_000_000, 1_000_000
 STOP = b"\xff"  # in no UTF-8 text
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + STOP * 10)
 
@@ -169,8 +170,8 @@ def often(docs: DataFrame, size: int, bits, least: int) -> DataFrame:
     return met.where(F.col("c") >= least).select("h")
 
 
-def candidates(docs: DataFrame, words: DataFrame, pairs, triples) -> DataFrame:
-    """(lang, w1, w2, w3), the last ones null in shorter phrases: all that may occur often enough, once each."""
+def candidates(docs: DataFrame, pairs, triples, shards: int) -> DataFrame:
+    """(shard, lang, w1, w2, w3), the last null in pairs: all that may occur often enough, once each."""
 
     def run(batches):
         seen = np.empty(0, np.uint64)  # hashes that this task has handed on
@@ -179,7 +180,7 @@ def candidates(docs: DataFrame, words: DataFrame, pairs, triples) -> DataFrame:
             _, two, three = _hashes(found, lang, langs)
             pair = _set(pairs.value, two)
             triple = _set(triples.value, three) & pair & np.concatenate((pair[1:], [False]))[: len(pair)]
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             fresh = []
             for size, h, on in ((2, two, pair), (3, three, triple)):
                 at = np.flatnonzero(on)
@@ -187,15 +188,14 @@ def candidates(docs: DataFrame, words: DataFrame, pairs, triples) -> DataFrame:
                 keep = ~np.isin(new, seen, assume_unique=True)
                 fresh.append(new[keep])
                 at = at[first[keep]].tolist()
-                cols[0] += [langs[k] for k in lang[at].tolist()]
+                cols[0] += (fresh[-1] % np.uint64(shards)).tolist()
+                cols[1] += [langs[k] for k in lang[at].tolist()]
                 for k in range(3):
-                    cols[k + 1] += [found[i + k] for i in at] if k < size else [None] * len(at)
+                    cols[k + 2] += [found[i + k] for i in at] if k < size else [None] * len(at)
             seen = np.concatenate((seen if len(seen) < 4 * HELD else seen[:0], *fresh))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.binary()).cast(pa.string()) for c in cols[1:])], ["lang", "w1", "w2", "w3"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.binary()).cast(pa.string()) for c in cols[2:])], ["shard", "lang", "w1", "w2", "w3"])
 
-    none = F.lit(None).cast("string")
-    longer = docs.mapInArrow(tidy(run), "lang string, w1 string, w2 string, w3 string").distinct()
-    return words.select("lang", F.col("word").alias("w1"), none.alias("w2"), none.alias("w3")).unionByName(longer)
+    return docs.mapInArrow(tidy(run), "shard int, lang string, w1 string, w2 string, w3 string").distinct()
 
 
 def radix(words: int) -> int:
@@ -203,7 +203,7 @@ def radix(words: int) -> int:
     return 1 << -(-max(1, words.bit_length()) // 2)
 
 
-def digits(codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+def digits(codes: np.ndarray, base: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both digits, of 1 and more, of numbers from 1 on; zeros for zero."""
     known = codes > 0
     return np.where(known, (codes - 1) // base + 1, 0), np.where(known, (codes - 1) % base + 1, 0)
@@ -298,70 +298,129 @@ def advance(base: np.ndarray, check: np.ndarray, state: np.ndarray, code: np.nda
     return to[on], on
 
 
-def _built(phrases: DataFrame, shards: int) -> DataFrame:
-    """Rows (shard, number, lang, w1, w2, w3) and for each shard one more with its trie's arrays and words."""
-    shard = F.pmod(F.xxhash64("lang", "w1", "w2", "w3"), F.lit(shards)).cast("int")
+_PHRASE = [("shard", pa.int32()), ("number", pa.int64()), *[(c, pa.string()) for c in ("lang", "w1", "w2", "w3")]]
+
+
+def _built(phrases: DataFrame) -> DataFrame:
+    """Rows (shard, number, lang, w1, w2, w3) and for each shard one more, with its number of phrases and its trie."""
+    schema = pa.schema([*_PHRASE, ("trie", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        words = pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column(k) for k in range(2, 5))])
-        encoded = words.dictionary_encode()
-        codes = np.nan_to_num(encoded.indices.to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int64).reshape(3, -1).T + 1
+        words = pa.concat_arrays([table.column(k).combine_chunks() for k in range(2, 5)]).dictionary_encode()
         langs = table.column(1).combine_chunks().dictionary_encode()
-        base = radix(len(encoded.dictionary))
-        trie = Trie(np.stack([langs.indices.to_numpy().astype(np.int64) + 1, *(d for k in range(3) for d in digits(codes[:, k], base))], axis=1))
+        codes = words.indices.fill_null(-1).to_numpy().astype(np.int64).reshape(3, -1) + 1
+        base = radix(len(words.dictionary))
+        trie = Trie(np.stack([langs.indices.to_numpy().astype(np.int64) + 1, *(d for c in codes for d in digits(c, base))], axis=1))
         n = table.num_rows
-        blank = pa.nulls(n, pa.binary())
-        rows = pa.table([table.column(0), pa.array(np.arange(n)), *(table.column(k) for k in range(1, 5)), *[blank] * 5], schema=_BUILT)
-        held = [trie.base.tobytes(), trie.check.tobytes(), trie.accept.tobytes(), b"\xff".join(w.encode() for w in encoded.dictionary.to_pylist()), b"\xff".join(x.encode() for x in langs.dictionary.to_pylist())]
-        own = pa.table([[table.column(0)[0].as_py()], [n], [None], [None], [None], [None], *([b] for b in held)], schema=_BUILT)
+        parts = [trie.base.tobytes(), trie.check.tobytes(), trie.accept.tobytes(), *(STOP.join(x.encode() for x in names.dictionary.to_pylist()) for names in (words, langs))]
+        blob = pa.compress(b"".join(len(x).to_bytes(8, "little") + x for x in parts), codec="zstd", asbytes=True)
+        size = sum(map(len, parts)) + 8 * len(parts)
+        rows = pa.table([table.column(0), pa.array(np.arange(n)), *(table.column(k) for k in range(1, 5)), pa.nulls(n, pa.binary())], schema=schema)
+        own = pa.table([[table.column(0)[0].as_py()], [n], [None], [None], [None], [None], [size.to_bytes(8, "little") + blob]], schema=schema)
         return pa.concat_tables([rows, own])
 
-    dealt = phrases.select(shard.alias("shard"), "lang", "w1", "w2", "w3")
-    return dealt.groupBy("shard").applyInArrow(run, "shard int, number long, lang string, w1 string, w2 string, w3 string, base binary, checks binary, accept binary, words binary, langs binary")
-
-
-_BUILT = pa.schema([("shard", pa.int32()), ("number", pa.int64()), *[(c, pa.string()) for c in ("lang", "w1", "w2", "w3")], *[(c, pa.binary()) for c in ("base", "checks", "accept", "words", "langs")]])
-
-
-def occurrences(docs: DataFrame, trie) -> DataFrame:
-    """(number, f): how often each of a trie's phrases occurs, by its row (number of phrases, arrays, words, languages)."""
-    held = docs.sparkSession.sparkContext.broadcast(trie)
+    return phrases.groupBy("shard").applyInArrow(run, "shard int, number long, lang string, w1 string, w2 string, w3 string, trie binary")
+
+
+def _unpacked(trie: bytes) -> list[bytes]:
+    whole = pa.decompress(trie[8:], int.from_bytes(trie[:8], "little"), codec="zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(whole):
+        size = int.from_bytes(whole[at : at + 8], "little")
+        out.append(whole[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
+class Forest:
+    """Tries of several shards in one array, and the codes that each has for words and languages."""
+
+    def __init__(self, tries: list[tuple[int, int, bytes]], shards: int) -> None:
+        self.slot = np.full(shards, -1, np.int64)
+        self.slot[[s for s, _, _ in tries]] = np.arange(len(tries))
+        self.code: dict[bytes, int] = {}
+        self.lang: dict[str, int] = {}
+        arrays, word_codes, lang_codes = [], [], []
+        self.root, self.radix, self.starts = [], [], [0]
+        end = 0
+        for _, n, blob in tries:
+            base, check, accept, words, langs = _unpacked(blob)
+            base, check, accept = (np.frombuffer(a, np.int32) for a in (base, check, accept))
+            words, langs = words.split(STOP), [x.decode() for x in langs.split(STOP)]
+            word_codes.append([self.code.setdefault(w, len(self.code) + 1) for w in words])
+            lang_codes.append([self.lang.setdefault(x, len(self.lang) + 1) for x in langs])
+            arrays.append((base + end, np.where(check < 0, -1, check + end), np.where(accept < 0, -1, accept + self.starts[-1])))
+            self.root.append(end)
+            self.radix.append(radix(len(words)))
+            self.starts.append(self.starts[-1] + n)
+            end += len(base)
+        self.base, self.check, self.accept = (np.concatenate(a).astype(np.int32) for a in zip(*arrays, strict=True))
+        self.root, self.radix = np.array(self.root), np.array(self.radix)
+        self.words = np.zeros((len(tries), len(self.code) + 1), np.int32)
+        self.langs = np.zeros((len(tries), len(self.lang) + 1), np.int32)
+        for table, codes in ((self.words, word_codes), (self.langs, lang_codes)):
+            for k, own in enumerate(codes):
+                table[k, own] = np.arange(1, len(own) + 1)
+
+    def count(self, words: list[bytes], lang: np.ndarray, langs: list[str], counts: np.ndarray) -> None:
+        """Add the phrases that begin at each place of a batch."""
+        _, two, three = _hashes(words, lang, langs)
+        ids = np.fromiter(map(self.code.get, words, repeat(0)), np.int64, len(words))
+        of_lang = np.fromiter((self.lang.get(x, 0) for x in langs), np.int64, len(langs))[lang]
+        for size, h in ((2, two), (3, three)):
+            slot = np.where(h != 0, self.slot[(h % np.uint64(len(self.slot))).astype(np.int64)], -1)
+            at = np.flatnonzero((slot >= 0) & (ids > 0))
+            own = slot[at]
+            state, on = advance(self.base, self.check, self.root[own], self.langs[own, of_lang[at]])
+            at, own = at[on], own[on]
+            for level in range(size):
+                high, low = digits(self.words[own, ids[at + level]].astype(np.int64), self.radix[own])
+                state, on = advance(self.base, self.check, state, high)
+                at, own = at[on], own[on]
+                state, on = advance(self.base, self.check, state, low[on])
+                at, own = at[on], own[on]
+            done = self.accept[state]
+            counts += np.bincount(done[done >= 0], minlength=len(counts))
+
+
+def occurrences(docs: DataFrame, tries: list[tuple[int, int, bytes]], shards: int) -> DataFrame:
+    """(shard, number, f): how often each phrase of these shards (shard, number of phrases, trie) occurs."""
+    held = docs.sparkSession.sparkContext.broadcast(tries)
+    numbers = [s for s, _, _ in tries]
 
     def run(batches):
-        n, base, check, accept, words, langs = held.value
-        base, check, accept = (np.frombuffer(a, np.int32) for a in (base, check, accept))
-        code = {w: k for k, w in enumerate(words.split(STOP), 1)}
-        of_lang = {x: k for k, x in enumerate((x.decode() for x in langs.split(STOP)), 1)}
-        counts = np.zeros(-(-n // BLOCK) * BLOCK, np.int64)
+        forest = Forest(held.value, shards)
+        counts = np.zeros(forest.starts[-1], np.int64)
         for batch in batches:
-            found, lang, names = _read(batch)
-            high, low = digits(np.fromiter(map(code.get, found, repeat(0)), np.int64, len(found)), radix(len(code)))
-            first = np.fromiter((of_lang.get(x, 0) for x in names), np.int64, len(names))
-            # A language without phrases has code 0 and no state; its words then lead nowhere.
-            start = np.where(first > 0, base[0] + first, 0)[lang]
-            at = np.flatnonzero(start > 0)
-            state = start[at]
-            for level in range(3):
-                inside = at + level < len(high)
-                at, state = at[inside], state[inside]
-                for digit in (high, low):
-                    state, on = advance(base, check, state, digit[at + level])
-                    at = at[on]
-                done = accept[state]
-                counts += np.bincount(done[done >= 0], minlength=len(counts))
-        yield _blocks(counts)
+            forest.count(*_read(batch), counts)
+        for k, s in enumerate(numbers):
+            own = counts[forest.starts[k] : forest.starts[k + 1]]
+            found = _blocks(np.concatenate((own, np.zeros(-len(own) % BLOCK, np.int64))))
+            yield pa.RecordBatch.from_arrays([pa.array([s] * found.num_rows, pa.int32()), *found.columns], ["shard", "block", "values"])
 
     def add(key, table):
         total = np.zeros(BLOCK, np.int64)
         for value in table.column("values").to_pylist():
             total += np.frombuffer(value, f"<u{len(value) // BLOCK}")
         at = np.flatnonzero(total)
-        return pa.table({"number": key[0].as_py() * BLOCK + at, "f": total[at]})
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(at), pa.int32()), "number": key[1].as_py() * BLOCK + at, "f": total[at]})
+
+    return docs.mapInArrow(tidy(run), "shard int, block int, values binary").groupBy("shard", "block").applyInArrow(add, "shard int, number long, f long")
 
-    return docs.mapInArrow(tidy(run), "block int, values binary").groupBy("block").applyInArrow(add, "number long, f long")
 
+def _waves(sizes: list[tuple[int, int]], wave: int) -> list[list[int]]:
+    """Shards by turns of `wave` phrases at most, or of one shard."""
+    out, held = [], 0
+    for shard, n in sorted(sizes):
+        if not out or held + n > wave:
+            out.append([])
+            held = 0
+        out[-1].append(shard)
+        held += n
+    return out
 
-def phrase_counts(docs: DataFrame, rule: Rule, write, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+
+def phrase_counts(docs: DataFrame, rule: Rule, write, shard: int = SHARD, wave: int = WAVE) -> tuple[DataFrame, DataFrame]:
     """(lang, w1, w2, w3, f) of all words and phrases that occur `least` times or more; (lang, n) of all words."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
@@ -369,25 +428,23 @@ def phrase_counts(docs: DataFrame, rule: Rule, write, shard: int = SHARD) -> tup
     frequent = words.where(F.col("f") >= rule.least)
     with settings(spark, **SMALL_BATCHES):
         singles = share(_bitmap(write(word_hashes(frequent), "collocation-singles")))
-        pairs = share(_bitmap(write(often(docs, 2, singles, rule.least), "collocation-pairs")))
-        triples = share(_bitmap(write(often(docs, 3, pairs, rule.least), "collocation-triples")))
-    phrases = write(candidates(docs, frequent, pairs, triples), "collocation-candidates")
+        two = write(often(docs, 2, singles, rule.least), "collocation-pairs")
+        pairs = share(_bitmap(two))
+        three = write(often(docs, 3, pairs, rule.least), "collocation-triples")
+        triples = share(_bitmap(three))
+    shards = max(1, -(-(two.count() + three.count()) // shard))
+    built = write(_built(write(candidates(docs, pairs, triples, shards), "collocation-candidates")), "collocation-tries")
     for b in (singles, pairs, triples):
         b.unpersist()
-    built = write(_built(phrases, max(1, -(-phrases.count() // shard))), "collocation-tries")
-    found = None
-    tries = built.where("base is not null")
-    for k in sorted(r["shard"] for r in tries.select("shard").collect()):
-        # One array at a time, by Arrow: a shard's size bounds each.
-        trie = [tries.where(F.col("shard") == k).select(c).toArrow().column(0)[0].as_py() for c in ("number", "base", "checks", "accept", "words", "langs")]
-        f = write(occurrences(docs, trie), "collocation-counts")
-        f = f.where(F.col("f") >= rule.least).select(F.lit(k).alias("shard"), "number", "f")
-        found = f if found is None else found.unionByName(f)
-    total = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    if found is None:
-        return built.select("lang", "w1", "w2", "w3", F.col("number").alias("f")).where("false"), total
-    rows = built.where("base is null").join(found, ["shard", "number"]).select("lang", "w1", "w2", "w3", "f")
-    return rows, total
+    none = F.lit(None).cast("string")
+    found = frequent.select("lang", F.col("word").alias("w1"), none.alias("w2"), none.alias("w3"), "f")
+    tries = built.where("trie is not null").select("shard", "number", "trie")
+    rows = built.where("trie is null").drop("trie")
+    for own in _waves([(r["shard"], r["number"]) for r in tries.select("shard", "number").collect()], wave):
+        held = tries.where(F.col("shard").isin(own)).toArrow().to_pylist()  # a wave's size bounds it
+        f = write(occurrences(docs, [(r["shard"], r["number"], r["trie"]) for r in held], shards), "collocation-counts")
+        found = found.unionByName(rows.join(f.where(F.col("f") >= rule.least), ["shard", "number"]).select("lang", "w1", "w2", "w3", "f"))
+    return found, words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def ranked(counts: DataFrame, total: DataFrame, rule: Rule) -> DataFrame:
@@ -418,12 +475,12 @@ def ranked(counts: DataFrame, total: DataFrame, rule: Rule) -> DataFrame:
     return best.join(total, "lang").select("lang", c("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def collocations(docs: DataFrame, rule: Rule = Rule(), shard: int = SHARD) -> DataFrame:
+def collocations(docs: DataFrame, rule: Rule = Rule(), shard: int = SHARD, wave: int = WAVE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first phrases."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     with scratch(spark) as write:
-        counts, total = phrase_counts(docs, rule, write, shard)
+        counts, total = phrase_counts(docs, rule, write, shard, wave)
         counts = write(counts, "collocation-phrases")
         return materialize(ranked(counts, total, rule), "collocations")
