@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdara.operators import percentiles
+
 # Scene classes by meaning, and the default mask policy.
 CLOUD, SNOW, NODATA = (3, 8, 9, 10), 11, 0
 MASKED = (0, 1, 3, 8, 9, 10, 11)
@@ -113,6 +115,15 @@ def scene_stats(indexed: DataFrame, key: str = "acquisition") -> DataFrame:
     return _with_percentiles(indexed.groupBy(key).agg(F.count_if("in_aoi").alias("aoi_px"), *_statistics()))
 
 
+def scene_stats_refined(indexed: DataFrame, key: str = "acquisition") -> DataFrame:
+    """`scene_stats` for groups of any size: percentiles by refinement, none of whose passes holds a group's values."""
+    *plain, _ = _statistics()
+    stats = indexed.groupBy(key).agg(F.count_if("in_aoi").alias("aoi_px"), *plain)
+    shares = percentiles.exact(indexed, key, F.when(F.col("in_aoi"), F.col("ndvi")), [0.5, 0.1, 0.25, 0.75, 0.9])
+    shares = shares.select(F.col(key).alias("_key"), F.col("shares").alias("_shares"))
+    return _with_percentiles(stats.join(shares, stats[key].eqNullSafe(shares["_key"]), "left").drop("_key"))
+
+
 def scene_summary(indexed: DataFrame, *more: Column, key: str = "acquisition") -> DataFrame:
     """Statistics and coverage in one aggregate: the pixels are read and shuffled once. `more`: other aggregates."""
     counts = [c for c in _coverage_counts() if c is not None]
