@@ -17,7 +17,7 @@ from verdara.operators import acquisition, grid, process, raster, requests, stor
 from verdara.plans.registry import QUERIES
 from verdara.sinks import images, provenance
 from verdara.sources import catalog, rasters, stac_items
-from verdara.streaming import jobs
+from verdara.streaming import jobs, state
 
 SQUARE = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]
 RING = "array<struct<x:double,y:double>>"
@@ -211,7 +211,7 @@ def test_claims_and_deliveries_across_batches(spark, tmp_path):
     schema = "analysis_id string, at timestamp, event string"
     first = spark.createDataFrame([("x", datetime(2024, 1, 1, 0), "claim"), ("x", datetime(2024, 1, 1, 1), "claim"), ("y", datetime(2024, 1, 1), "claim")], schema)
     later = spark.createDataFrame([("x", datetime(2024, 1, 1, 3), "claim"), ("y", datetime(2024, 1, 1, 1), "done"), ("y", datetime(2024, 1, 2), "claim")], schema)
-    got = run_stream(spark, tmp_path, [first, later], jobs.claims, "claims").collect()
+    got = run_stream(spark, tmp_path, [first, later], state.claims, "claims").collect()
     assert sorted((r["analysis_id"], r["at"].day, r["at"].hour, r["granted"]) for r in got) == [("x", 1, 0, True), ("x", 1, 1, False), ("x", 1, 3, True), ("y", 1, 0, True), ("y", 2, 0, False)]
     names = "message_id string, analysis_id string, enqueued_at timestamp, received_at timestamp"
     at = [datetime(2024, 1, 1, 0, m) for m in range(6)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from verdara.functions import geo
 from verdara.operators import raster, selection
 from verdara.sources import catalog
-from verdara.streaming import jobs
+from verdara.streaming import jobs, state
 
 
 def values(df):
@@ -91,7 +91,7 @@ def test_queue_intake(spark, tmp_path):
 def test_rate_limit_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", datetime(2024, 1, 1, 0, m)) for m in (0, 10, 20, 30)] + [("a", datetime(2024, 1, 1, 1, 5)), ("b", datetime(2024, 1, 1))], "client string, ts timestamp")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = jobs.rate_limited(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 2)
+    stream = state.rate_limited(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 2)
     stream.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(90)
     got = [r["accepted"] for r in spark.table("limited").where("client = 'a'").orderBy("ts").collect()]
     assert got == [True, True, False, False, True]

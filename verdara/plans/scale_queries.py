@@ -10,6 +10,7 @@ from verdara.operators import bucketed, percentiles, raster, store
 from verdara.plans.queries import _t, indexed, query
 from verdara.plans.registry import SQL
 from verdara.session import scratch_path
+from verdara.streaming import state
 
 
 @query(SQL["ndvi_scene_stats"])
@@ -43,3 +44,19 @@ def artifacts_bucketed(spark, d):
     items = _table(spark, _t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey"), "artifacts", "o_custkey")
     owners = _table(spark, _t(spark, d, "customer").select("c_custkey"), "owners", "c_custkey")
     return bucketed.joined(owners, items, "c_custkey", "o_custkey", "left").select("c_custkey", "o_orderkey", store.artifact_group(F.col("o_orderkey"), F.lit(None)).alias("item"))
+
+
+# -- late granules: events arrive in four lots without order, and each lot corrects what was published ----
+@query("""SELECT event_type || '|R' || (user_id % 3) || '|' || strftime(ts, '%Y-%m-%d') AS acquisition_key, count(*) AS granule_count, epoch_us(min(ts)) AS observed_us, min(CAST(json_extract(props, '$.k') AS DOUBLE)) AS least_cloud,
+ md5(string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY CAST(event_id AS VARCHAR))) AS items_md5 FROM events GROUP BY 1""")
+def late_acquisitions(spark, d):
+    e = _t(spark, d, "events")
+    key = F.concat_ws("|", "event_type", F.concat(F.lit("R"), (F.col("user_id") % 3).cast("string")), F.date_format("ts", "yyyy-MM-dd"))
+    granules = e.select(key.alias("acquisition_key"), F.col("event_id").cast("string").alias("item_id"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("cloud"), F.pmod(F.xxhash64("event_id"), F.lit(4)).alias("lot"))
+    root = scratch_path(spark, "late")
+    for lot in range(4):
+        granules.where(F.col("lot") == lot).drop("lot").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    arrived = spark.readStream.schema(granules.drop("lot").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    state.publish(state.corrected(arrived, keep_days=60), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    found = state.series(spark.read.parquet(f"{root}/out"))
+    return found.select("acquisition_key", "granule_count", F.unix_micros("observed_at").alias("observed_us"), "least_cloud", F.md5(F.array_join("item_ids", " ").cast("binary")).alias("items_md5"))

@@ -1,4 +1,4 @@
-"""Streaming forms: queue intake with a dead-letter branch, exact rate limiting, late-tolerant grouping.
+"""Streaming forms: queue intake with a dead-letter branch, exact rate limiting of tables, late-tolerant grouping. What needs timers is in `state`.
 
 Offsets are committed after the sink's success, so a message is deleted only once it is durable; a batch
 that is run again overwrites its own output by batch id.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -39,13 +40,13 @@ def intake(raw: DataFrame, good_path: str, poison_path: str, checkpoint: str):
 MAX_DEQUEUE = 3  # fixed value: deliveries of a message before it is poison
 
 
-def _accepted(times: list[float], at: float, limit: int, seconds: int) -> bool:
+def _accepted(times: deque[float], at: float, limit: int, seconds: int) -> bool:
     """Whether an event at `at` is within the limit; `times`, the accepted ones of its window, is brought up to date.
 
     An accepted event counts until it is more than `seconds` old.
     """
     while times and times[0] < at - seconds:
-        times.pop(0)
+        times.popleft()
     if len(times) >= limit:
         return False
     times.append(at)
@@ -57,39 +58,17 @@ def _forget_after(state: GroupState, last: pd.Timestamp, seconds: int) -> None:
     state.setTimeoutTimestamp(max(int((last.timestamp() + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
 
 
-def rate_limited(events: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
-    """client, ts, accepted: at most `limit` accepted events in any window before an event; refused ones don't count.
-
-    State by client: the accepted times of the last window, `limit` values at most; a client that stays away for
-    a window is forgotten. A batch's events of one client are sorted, as they arrive in any order.
-    """
-
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat([f["ts"] for f in frames]).sort_values()
-        out = pd.DataFrame({"client": key[0], "ts": rows, "accepted": [_accepted(times, t.timestamp(), limit, seconds) for t in rows]})
-        state.update((times,))
-        _forget_after(state, rows.iloc[-1], seconds)
-        yield out
-
-    seen = events.withWatermark("ts", f"{seconds} seconds")
-    return seen.groupBy("client").applyInPandasWithState(step, "client string, ts timestamp, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def rate_limited_batch(events: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
-    """The same over a stored table (client, ts, id): adds accepted. Whether an event counts depends on those before
+    """`state.rate_limited` over a stored table (client, ts, id): adds accepted. Whether an event counts depends on those before
     it, so a client's events are walked in order, streamed a batch at a time, with `limit` times kept."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, times = object(), []
+        client, times = object(), deque()
         for frame in frames:
             out = []
             for c, t in zip(frame["client"], frame["us"], strict=True):
                 if c != client:
-                    client, times = c, []
+                    client, times = c, deque()
                 out.append(_accepted(times, t / 1e6, limit, seconds))
             yield frame.drop(columns="us").assign(accepted=out)
 
@@ -129,28 +108,6 @@ def counted(messages: DataFrame) -> DataFrame:
     return known.groupBy("message_id").applyInPandasWithState(step, names, "n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def claims(attempts: DataFrame, stale_hours: int = 2) -> DataFrame:
-    """analysis_id, at, granted for a stream of (analysis_id, at, event): `claim` is granted when the analysis isn't
-    running, or has been since before the stale limit; `done` ends it for good. State by analysis, so of claims that
-    race one is granted."""
-
-    def step(key, frames, state: GroupState):
-        status, since = state.get if state.exists else ("queued", 0.0)
-        out = []
-        for at, event in pd.concat(list(frames)).sort_values("at")[["at", "event"]].itertuples(index=False):
-            if event == "done":
-                status = "done"
-            elif event == "claim":
-                free = status == "queued" or status == "running" and since < at.timestamp() - stale_hours * 3600
-                if free:
-                    status, since = "running", at.timestamp()
-                out.append((key[0], at, free))
-        state.update((status, since))
-        yield pd.DataFrame(out, columns=["analysis_id", "at", "granted"])
-
-    return attempts.groupBy("analysis_id").applyInPandasWithState(step, "analysis_id string, at timestamp, granted boolean", "status string, since double", "append", GroupStateTimeout.NoTimeout)
-
-
 def requeued(jobs: DataFrame, now, stale_hours: int = 2) -> DataFrame:
     """Jobs as they are after an operator's requeue: those that are running and not stale, or have succeeded, are
     refused and stay as they are."""
