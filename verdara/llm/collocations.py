@@ -3,8 +3,8 @@
 1. Words are counted by language. A phrase occurs no oftener than any part of it, so only words, and then pairs, that
    occur often enough can be parts of a candidate. Pairs of such words, and triples of two such pairs, are
    counted by 64-bit hash, which undercounts nothing; a phrase whose hash was met too seldom is no candidate.
-   Levels hand on a bitmap of the hashes that are left, of 16 bits each up to 2**27 bits: beyond, more
-   candidates pass than need to, but none is lost.
+   Levels hand on a bitmap of the hashes that are left, 16 bits for each up to 2**27 bits: beyond,
+   more candidates pass than need to, but none is lost.
 2. The distinct candidates are dealt, by that hash of the whole phrase, into shards of some `SHARD` phrases, however
    many share a word. A task builds a shard's double-array trie: language, first, second, third word, each word in two
    digits.
@@ -36,7 +36,9 @@ from verdara.llm.jaccard_join import _C1, BLOCK, _blocks, _gathered, _mix
 from verdara.session import ship
 
 #: Phrases of a trie, on average, of tries that are broadcast together, and hashes or words that a task holds before it hands them on.
-SHARD, WAVE, HELD = 100_000, 2_000_000, 1_000_000
+SHARD, WAVE, HELD = 100_000, 2_000_000, 2_000_000
+#: Bits of a hash in a bitmap.
+PROBES = 5
 STOP = b"\xff"  # in no UTF-8 text
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + STOP * 10)
 
@@ -87,21 +89,40 @@ def _hashes(words: list[bytes], lang: np.ndarray, langs: list[str]) -> tuple[np.
     return one, two, three
 
 
+def _probes(h: np.ndarray, mask: int):
+    """The places of a hash in a bitmap, one after the other."""
+    with np.errstate(over="ignore"):
+        step = h >> np.uint64(32) | np.uint64(1)
+        for k in range(PROBES):
+            yield (h + np.uint64(k) * step) & np.uint64(mask)
+
+
 def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each hash is in a bitmap; zero never is."""
-    at = h & np.uint64(8 * len(bits) - 1)
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (h != 0)
+    left = np.flatnonzero(h)
+    mask = np.uint64(8 * len(bits) - 1)
+    with np.errstate(over="ignore"):
+        at = h[left]
+        step = at >> np.uint64(32) | np.uint64(1)
+        for _ in range(PROBES):
+            place = at & mask
+            on = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+            left, step = left[on], step[on]
+            at = at[on] + step
+    out = np.zeros(len(h), bool)
+    out[left] = True
+    return out
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bit for each of the `h`; only ever lets too much pass."""
+    """Some bits for each of the `h`; only ever lets too much pass, one in 700 while there are 16 bits a hash."""
     bits = min(27, max(18, math.ceil(math.log2(16 * max(hashes.count(), 1)))))
 
     def run(batches):
         seen = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
-            np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+            for at in _probes(batch.column(0).to_numpy().view(np.uint64), (1 << bits) - 1):
+                np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
         yield _blocks(seen)
 
     return _gathered(hashes.select("h").mapInArrow(tidy(run), "block int, values binary"), np.zeros(1 << bits - 3, np.uint8), np.bitwise_or)
@@ -362,15 +383,17 @@ class Forest:
             for k, own in enumerate(codes):
                 table[k, own] = np.arange(1, len(own) + 1)
 
-    def count(self, words: list[bytes], lang: np.ndarray, langs: list[str], counts: np.ndarray) -> None:
-        """Add the phrases that begin at each place of a batch."""
+    def count(self, words: list[bytes], lang: np.ndarray, langs: list[str], pairs: np.ndarray, triples: np.ndarray, counts: np.ndarray) -> None:
+        """Add the phrases that begin at each place of a batch, of those places whose hashes are in the bitmaps."""
         _, two, three = _hashes(words, lang, langs)
+        two[~_set(pairs, two)] = 0
+        three[(two == 0) | ~_set(triples, three)] = 0
         ids = np.fromiter(map(self.code.get, words, repeat(0)), np.int64, len(words))
         of_lang = np.fromiter((self.lang.get(x, 0) for x in langs), np.int64, len(langs))[lang]
         for size, h in ((2, two), (3, three)):
-            slot = np.where(h != 0, self.slot[(h % np.uint64(len(self.slot))).astype(np.int64)], -1)
-            at = np.flatnonzero((slot >= 0) & (ids > 0))
-            own = slot[at]
+            at = np.flatnonzero(h)
+            own = self.slot[(h[at] % np.uint64(len(self.slot))).astype(np.int64)]
+            at, own = at[own >= 0], own[own >= 0]
             state, on = advance(self.base, self.check, self.root[own], self.langs[own, of_lang[at]])
             at, own = at[on], own[on]
             for level in range(size):
@@ -383,7 +406,7 @@ class Forest:
             counts += np.bincount(done[done >= 0], minlength=len(counts))
 
 
-def occurrences(docs: DataFrame, tries: list[tuple[int, int, bytes]], shards: int) -> DataFrame:
+def occurrences(docs: DataFrame, tries: list[tuple[int, int, bytes]], pairs, triples, shards: int) -> DataFrame:
     """(shard, number, f): how often each phrase of these shards (shard, number of phrases, trie) occurs."""
     held = docs.sparkSession.sparkContext.broadcast(tries)
     numbers = [s for s, _, _ in tries]
@@ -392,7 +415,7 @@ def occurrences(docs: DataFrame, tries: list[tuple[int, int, bytes]], shards: in
         forest = Forest(held.value, shards)
         counts = np.zeros(forest.starts[-1], np.int64)
         for batch in batches:
-            forest.count(*_read(batch), counts)
+            forest.count(*_read(batch), pairs.value, triples.value, counts)
         for k, s in enumerate(numbers):
             own = counts[forest.starts[k] : forest.starts[k + 1]]
             found = _blocks(np.concatenate((own, np.zeros(-len(own) % BLOCK, np.int64))))
@@ -434,16 +457,16 @@ def phrase_counts(docs: DataFrame, rule: Rule, write, shard: int = SHARD, wave:
         triples = share(_bitmap(three))
     shards = max(1, -(-(two.count() + three.count()) // shard))
     built = write(_built(write(candidates(docs, pairs, triples, shards), "collocation-candidates")), "collocation-tries")
-    for b in (singles, pairs, triples):
-        b.unpersist()
     none = F.lit(None).cast("string")
     found = frequent.select("lang", F.col("word").alias("w1"), none.alias("w2"), none.alias("w3"), "f")
     tries = built.where("trie is not null").select("shard", "number", "trie")
     rows = built.where("trie is null").drop("trie")
     for own in _waves([(r["shard"], r["number"]) for r in tries.select("shard", "number").collect()], wave):
         held = tries.where(F.col("shard").isin(own)).toArrow().to_pylist()  # a wave's size bounds it
-        f = write(occurrences(docs, [(r["shard"], r["number"], r["trie"]) for r in held], shards), "collocation-counts")
+        f = write(occurrences(docs, [(r["shard"], r["number"], r["trie"]) for r in held], pairs, triples, shards), "collocation-counts")
         found = found.unionByName(rows.join(f.where(F.col("f") >= rule.least), ["shard", "number"]).select("lang", "w1", "w2", "w3", "f"))
+    for b in (singles, pairs, triples):
+        b.unpersist()
     return found, words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
