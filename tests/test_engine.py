@@ -152,6 +152,8 @@ def test_provenance_document(spark):
     doc["canonical_grid"]["transform"] = [1.0]
     del doc["request"]["end_date"], doc["scenes"][0]["assets"]
     broken = spark.createDataFrame([(json.dumps(doc),), ("no json",)], "document string")
+    told = [r["breaches"] for r in provenance.breaches(spark.createDataFrame([(made["document"],), *map(tuple, broken.collect())], "document string")).collect()]
+    assert told[0] == [] and sorted(told[1]) == ["$.canonical_grid.transform: minItems", "$.outputs[0].sha256: pattern", "$.request.end_date: required", "$.scenes[0].assets: required"] and told[2] == ["$: not json"]
     told = [r["problems"] for r in provenance.problems(broken).collect()]
     assert told[0] == ["missing request.end_date", "canonical_grid.transform hasn't six numbers", "scenes[0]: assets", "outputs[0]: sha256 is no digest"] and len(told[1]) == len(provenance.REQUIRED)
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from verdara.operators import spatial
+from verdara.operators import grid, grid_cells, spatial
 
 
 def boxes(rng, n, hot):
@@ -44,3 +44,19 @@ def test_empty_sides(spark):
     one = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], SCHEMA)
     for left, right in ((one, one.where("false")), (one.where("false"), one), (one.where("false"), one.where("false"))):
         assert spatial.meeting(left, right, box(), box()).count() == 0
+
+
+def test_cells_by_the_table_function(spark, monkeypatch):
+    """As `grid.cells` makes them, from SQL too; in bands, and for grids without cells."""
+    monkeypatch.setattr(grid_cells, "BAND", 7)
+    shape = [(0.0, 0.0), (0.002, 0.0005), (0.0015, 0.002), (0.0008, 0.0009)]
+    table = [(k, [{"x": 10 + k + a, "y": 50.0 + b} for a, b in shape]) for k in range(3)]
+    grids = grid.canonical_grids(spark.createDataFrame(table, "id int, ring array<struct<x:double,y:double>>"))
+    names = ("id", "row", "col", "x", "y", "in_aoi")
+    got = grid_cells.cells(grids, "id")
+    assert got.columns == list(names)
+    want = sorted(map(tuple, grid.cells(grids).select(*names).collect()))
+    assert sorted(map(tuple, got.collect())) == want and {r[5] for r in want} == {True, False}
+    spark.range(1).selectExpr("id", "cast(null as array<struct<x:double,y:double>>) ring", "1 epsg", "0D left", "20D top", "2 width", "id height", "10D resolution").createOrReplaceTempView("bare")
+    assert spark.sql("SELECT * FROM grid_cells(TABLE(SELECT * FROM bare) PARTITION BY id)").count() == 0
+    assert [tuple(r) for r in spark.sql("SELECT row, col, x, y, in_aoi FROM grid_cells(TABLE(SELECT id, ring, epsg, left, top, width, 1 AS height, resolution FROM bare) PARTITION BY id)").collect()] == [(0, 0, 5.0, 15.0, False), (0, 1, 15.0, 15.0, False)]

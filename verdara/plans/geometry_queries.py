@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from verdara.functions import polygons
 from verdara.functions.geo import A, E, E2, FLATTENING
 from verdara.functions.projection import bbox_ring
-from verdara.operators import grid
-from verdara.plans.engine_queries import _GRID, _areas
+from verdara.operators import grid, grid_cells
+from verdara.plans.engine_queries import _AREA, _CORNERS, _GRID, _areas, _forward
 from verdara.plans.product_queries import _SHAPE, _SIDES, _rings
 from verdara.plans.queries import _t, query
 
@@ -112,4 +112,19 @@ def granules_on_grid(spark, d):
     return grid.granules_on_grid(granules, grid.canonical_grids(_areas(spark, d))).select("event_id", "c_custkey")
 
 
+# Small areas, one for each customer, whose cells the table function makes.
+_PLOT_AREA = _AREA.replace("% 3500 AS DOUBLE) / 10 - 179", "% 3500 AS DOUBLE) / 10 - 175").replace("% 1500 AS DOUBLE) / 10 - 75", "% 1200 AS DOUBLE) / 10 - 60").replace("x + dx AS x, y + dy AS y", "x + dx / 100 AS x, y + dy / 100 AS y").replace("SELECT s.c_custkey, s.x AS lon", "SELECT s.c_custkey, s.i, s.x AS lon")
+
+
+@query(_PLOT_AREA + _forward("f", "z", "c_custkey, i, epsg") + f""", g AS (SELECT c_custkey, floor(min(px) / 10) * 10 AS l, floor(min(py) / 10) * 10 AS b, ceil(max(px) / 10) * 10 AS r, ceil(max(py) / 10) * 10 AS t FROM f GROUP BY 1),
+k AS (SELECT a.c_custkey, a.px, a.py, b.px AS qx, b.py AS qy FROM f a JOIN f b ON a.c_custkey = b.c_custkey AND b.i = (a.i + 1) % {len(_CORNERS)}),
+c AS (SELECT c_custkey, i.range AS row, j.range AS col, l + (j.range + 0.5) * 10 AS x, t - (i.range + 0.5) * 10 AS y FROM g, range(60) i, range(60) j WHERE i.range < (t - b) / 10 AND j.range < (r - l) / 10)
+SELECT c.c_custkey, CAST(row AS INT) AS row, CAST(col AS INT) AS col, any_value(x) AS x, any_value(y) AS y, count(*) FILTER ((py > y) <> (qy > y) AND x < (qx - px) * (y - py) / nullif(qy - py, 0) + px) % 2 = 1 AS in_aoi FROM c JOIN k USING (c_custkey) GROUP BY 1, 2, 3""")
+def grid_cells_function(spark, d):
+    k = F.col("c_custkey")
+    x, y = (k * 37 % 3500).cast("double") / 10 - 175, (k * 53 % 1200).cast("double") / 10 - 60
+    ring = F.array(*[F.struct((x + a / 100).alias("x"), (y + b / 100).alias("y")) for a, b in _CORNERS])
+    return grid_cells.cells(grid.canonical_grids(_t(spark, d, "customer").select("c_custkey", ring.alias("ring"))), "c_custkey")
+
+
 assert len(_SHAPE) == 5  # the ring that _SIDES states

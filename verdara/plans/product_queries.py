@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdara.functions import projection, views
+from verdara.functions import json_schema, projection, views
 from verdara.functions.geo import E, utm_epsg
 from verdara.operators import raster
 from verdara.plans.queries import _POINTS, _points, _t, pixels, query
@@ -209,3 +209,25 @@ def ndvi_rasters(spark, d):
 
 
 QUERIES["ndvi_previews"], QUERIES["ndvi_rasters"] = ndvi_previews, ndvi_rasters
+
+
+# -- records of events as JSON, some of them broken, against a schema --------------------------------------
+_RECORD = {
+    "type": "object", "required": ["id", "kind", "value"], "additionalProperties": False,
+    "properties": {"id": {"type": "integer", "minimum": 0}, "kind": {"enum": ["click", "view", "purchase", "error", "signup"]}, "value": {"type": "number", "maximum": 80}, "tags": {"type": "array", "maxItems": 2, "items": {"type": "string", "pattern": "^t[0-9]$"}}},
+}
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 17 = 3 THEN '$: not json' ELSE array_to_string(list_filter([
+  CASE WHEN event_id % 5 = 0 THEN '$.kind: required' END, CASE WHEN event_id % 5 <> 0 AND event_type NOT IN ('click', 'view', 'purchase', 'error', 'signup') THEN '$.kind: enum' END,
+  CASE WHEN event_id % 7 = 1 THEN '$.value: type' WHEN value > 80 THEN '$.value: maximum' END, CASE WHEN event_id % 4 = 3 THEN '$.tags: maxItems' END, CASE WHEN event_id % 6 = 2 THEN '$.tags[0]: pattern' END,
+  CASE WHEN event_id % 11 = 4 THEN '$.more: not allowed' END], lambda x: x IS NOT NULL), ', ') END AS breaches FROM events""")
+def record_breaches(spark, d):
+    k = F.col("event_id")
+    tags = F.concat(F.lit('["'), F.when(k % 6 == 2, "x").otherwise("t"), F.lit('1"'), F.when(k % 4 == 3, F.lit(',"t2","t3"')).otherwise(F.lit("")), F.lit("]"))
+    fields = [
+        F.concat(F.lit('"id":'), k.cast("string")), F.when(k % 5 != 0, F.concat(F.lit('"kind":"'), "event_type", F.lit('"'))), F.concat(F.lit('"value":'), F.when(k % 7 == 1, F.lit('"much"')).otherwise(F.col("value").cast("string"))),
+        F.concat(F.lit('"tags":'), tags), F.when(k % 11 == 4, F.lit('"more":null')),
+    ]
+    text = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.when(k % 17 == 3, F.lit("")).otherwise(F.lit("}")))
+    return _t(spark, d, "events").select("event_id", F.array_join(json_schema.problems(text, _RECORD), ", ").alias("breaches"))

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdara.functions import json_schema
+
 from verdara.operators.process import MOSAIC
 
 # The document's version, its source, the fields that it must have, and the classes' names.
@@ -82,6 +84,35 @@ def build(analyses: DataFrame, excluded: DataFrame, scenes: DataFrame, outputs:
     return out.select("analysis_id", document.alias("document"))
 
 
+def schema() -> dict:
+    """The JSON Schema of a record: every field of `REQUIRED`, and the rules of entries, digests and times."""
+    text, entries = {"type": "string", "minLength": 1}, {"type": "array"}
+    root: dict = {"type": "object", "required": [], "properties": {}}
+    for path in REQUIRED:
+        at = root
+        *above, last = path.split(".")
+        for part in above:
+            at["required"] += [part] if part not in at["required"] else []
+            at = at["properties"].setdefault(part, {"type": "object", "required": [], "properties": {}})
+            at.setdefault("required", [])
+            at.setdefault("properties", {})
+        at["required"] += [last] if last not in at["required"] else []
+        at["properties"].setdefault(last, {})
+    own = root["properties"]
+    own["schema_version"] = {"const": SCHEMA_VERSION}
+    own["analysis_id"] = {"type": "string", "format": "uuid"}
+    own["created_at"] = text
+    own["scenes"] = {**entries, "items": {"type": "object", "required": list(SCENE_REQUIRED), "properties": {"contributing_item_ids": {"type": "array", "minItems": 1, "items": text}}}}
+    own["outputs"] = {**entries, "items": {"type": "object", "required": list(OUTPUT_REQUIRED), "properties": {"sha256": {"type": "string", "pattern": "^[0-9a-f]{64}$"}, "size_bytes": {"type": "integer", "minimum": 0}}}}
+    own["canonical_grid"]["properties"]["transform"] = {"type": "array", "minItems": 6, "maxItems": 6, "items": {"type": "number"}}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", **root}
+
+
+def breaches(documents: DataFrame, column: str = "document") -> DataFrame:
+    """Adds breaches: what each record breaks of `schema`, with its path."""
+    return documents.withColumn("breaches", json_schema.problems(F.col(column), schema()))
+
+
 def problems(documents: DataFrame, column: str = "document") -> DataFrame:
     """Adds problems: a text for each constraint that a document breaks, in a fixed order; empty if it is sound."""
     doc = F.col(column)
