@@ -49,3 +49,10 @@ def test_no_pass_holds_a_groups_values(spark, monkeypatch):
 def test_bucketed_joins_shuffle_nothing(spark, name):
     plan = QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
+
+
+@pytest.mark.parametrize("name", ["mosaic_first_valid", "rgb_mosaic", "process_acquisition"])
+def test_mosaics_are_hashed(spark, name):
+    plan = QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert plan.count("Exchange hashpartitioning") <= {"process_acquisition": 4}.get(name, 1)

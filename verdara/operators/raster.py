@@ -1,13 +1,15 @@
 """Pixel operators: scaling, masking, NDVI, coverage classes, statistics, mosaics, previews.
 
 A pixel table has one row a grid cell and acquisition; missing values are NULL, never NaN. Every operator is
-a Catalyst expression or one hash aggregate, so a plan over all acquisitions shuffles once, by acquisition.
+a Catalyst expression or one aggregate, so a plan over all acquisitions shuffles once, by acquisition. Aggregates hash but for
+mosaics of items whose ids are texts, and percentiles gather a group's values (`scene_stats_refined` doesn't).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from verdara.operators import percentiles
 
@@ -144,14 +146,25 @@ def gate(stats: DataFrame, min_coverage: float = 99.0, min_valid: float = 10.0)
     return stats.withColumn("reason", reason).withColumn("usable", F.col("reason").isNull())
 
 
+def _first(granules: DataFrame, item: str, value: str, *only: Column) -> tuple[Column, Column]:
+    """(value, item) of the least item that has a value. Numbers are hashed; of ids that are texts the cells are sorted,
+    so rank them first (`process_acquisitions` does) where there are many."""
+    some = F.col(value).isNotNull()
+    for condition in only:
+        some &= condition
+    if isinstance(granules.schema[item].dataType, IntegralType):
+        order = F.when(some, F.col(item))
+        return F.min_by(value, order), F.min(order)
+    winner = F.min(F.when(some, F.struct(F.col(item).alias("item"), F.col(value).alias("value"))))
+    return winner["value"], winner["item"]
+
+
 def mosaic_first_valid(granules: DataFrame, cell: list[str], item: str = "item_id", value: str = "value") -> DataFrame:
     """First valid value of each cell by ascending item, its item, the number of items, and whether any item covers
     the cell, if the table says so for each."""
-    some = F.col(value).isNotNull()
-    winner = F.min(F.when(some, F.struct(F.col(item).alias("item"), F.col(value).alias("value"))))
+    first, winner = _first(granules, item, value)
     own = [F.bool_or("covered").alias("covered")] if "covered" in granules.columns else []
-    made = granules.groupBy(*cell).agg(winner.alias("w"), F.count(F.lit(1)).alias("n_items"), *own)
-    return made.select(*cell, F.col("w.value").alias("value"), F.col("w.item").alias("winner"), "n_items", *(["covered"] if own else []))
+    return granules.groupBy(*cell).agg(first.alias("value"), winner.alias("winner"), F.count(F.lit(1)).alias("n_items"), *own)
 
 
 def colour_index(v: Column, low: float = -0.2, high: float = 0.9) -> Column:
@@ -202,8 +215,7 @@ def mosaic_rgb(granules: DataFrame, cell: list[str], bands: tuple[str, str, str]
     """First valid value of each band by ascending item, as 0 to 255; 0 where a band has none. One shuffle."""
 
     def band(name: str) -> Column:
-        seen = (F.col("band") == name) & F.col("value").isNotNull()
-        v = F.min(F.when(seen, F.struct("item_id", "value")))["value"]
+        v = _first(granules, "item_id", "value", F.col("band") == name)[0]
         return F.least(F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)), F.lit(255.0)).cast("int").alias(name)
 
     return granules.groupBy(*cell).agg(*[band(b) for b in bands])
