@@ -1,9 +1,14 @@
 """Streams with timers: expiry, poison, restarts from a checkpoint, and state that goes."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
-from verdara.streaming import state
+from pyspark.sql import Observation
+
+from conftest import DATA
+from verdara.plans import scale_queries
+from verdara.streaming import metrics, state
 
 START = datetime(2024, 1, 1)
 
@@ -92,3 +97,30 @@ def test_late_granules_correct_what_was_published(spark, tmp_path):
             want[k] = (len(own), min(g[2] for g in own), [g[1] for g in own], min(g[3] for g in own if g[3] is not None))
         assert got == want and spark.read.parquet(str(root / "out")).agg({"version": "max"}).first()[0] > 1
         assert state_rows(last) > 0
+
+
+def test_observed_metrics_equal_those_of_the_table(spark, tmp_path):
+    runs = scale_queries.runs(spark, f"{DATA}/sf0.01").cache()
+    want = {r["name"]: r.asDict() for r in metrics.histograms(runs).collect()}
+    once = Observation("one run")
+    metrics.observe(runs, once).write.format("noop").mode("overwrite").save()
+    collector = metrics.Collector()
+    spark.streams.addListener(collector)
+    try:
+        runs.repartition(5).write.parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        metrics.observe(stream).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination(120)
+        for _ in range(100):
+            if collector.seen.get("job_duration:count") == runs.count():
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(collector)
+    assert collector.batches >= 5
+    for seen in (once.get, collector.seen):
+        for row in metrics.report(seen):
+            other = want[row["name"]]
+            assert (row["count"], row["least"], row["most"], row["counts"]) == (other["count"], other["least"], other["most"], other["counts"])
+            assert row["sum"] == other["sum"] or abs(row["sum"] - other["sum"]) < 1e-6 * abs(other["sum"])
+    none = metrics.report(metrics.merge([{"queue_delay:count": 0, "queue_delay:sum": 0.0, "queue_delay:min": None}]))
+    assert none[0]["count"] == 0 and none[0]["least"] is None and sum(none[0]["counts"]) == 0

@@ -10,7 +10,7 @@ from verdara.operators import bucketed, percentiles, raster, store
 from verdara.plans.queries import _t, indexed, query
 from verdara.plans.registry import SQL
 from verdara.session import scratch_path
-from verdara.streaming import state
+from verdara.streaming import metrics, state
 
 
 @query(SQL["ndvi_scene_stats"])
@@ -60,3 +60,23 @@ def late_acquisitions(spark, d):
     state.publish(state.corrected(arrived, keep_days=60), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     found = state.series(spark.read.parquet(f"{root}/out"))
     return found.select("acquisition_key", "granule_count", F.unix_micros("observed_at").alias("observed_us"), "least_cloud", F.md5(F.array_join("item_ids", " ").cast("binary")).alias("items_md5"))
+
+
+# -- metrics: a run for each order --------------------------------------------------------------------------
+def runs(spark, d):
+    price, k = F.col("o_totalprice"), F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
+    delay = F.when(k % 7 != 0, F.round(price / 1000, 3))
+    return _t(spark, d, "orders").select(status.alias("status"), F.round(price / 500, 3).alias("job_duration"), delay.alias("queue_delay"), (k % 101).cast("double").alias("valid_pixel_pct"))
+
+
+def _histogram_sql(column: str) -> str:
+    title, bounds = metrics.HISTOGRAMS[column]
+    edges = [f"{column} <= {bounds[0]}", *[f"{column} > {a} AND {column} <= {b}" for a, b in zip(bounds, bounds[1:], strict=False)], f"{column} > {bounds[-1]}"]
+    counts = " || ' ' || ".join(f"count(*) FILTER ({e})" for e in edges)
+    return f"SELECT '{title}' AS name, count({column}) AS count, round(sum({column}), 2) AS sum, min({column}) AS least, max({column}) AS most, {counts} AS counts FROM r"
+
+
+@query("""WITH r AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'failed' ELSE 'running' END AS status, round(o_totalprice / 500, 3) AS job_duration, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 1000, 3) END AS queue_delay, CAST(o_orderkey % 101 AS DOUBLE) AS valid_pixel_pct FROM orders) """ + " UNION ALL ".join(_histogram_sql(c) for c in ("job_duration", "queue_delay", "valid_pixel_pct")) + "".join(f" UNION ALL SELECT '{n}', count(*) FILTER (status = '{s}'), NULL, NULL, NULL, NULL FROM r" for s, n in metrics.COUNTERS.items()))
+def job_histograms(spark, d):
+    return metrics.histograms(runs(spark, d)).select("name", "count", F.round("sum", 2).alias("sum"), "least", "most", F.concat_ws(" ", F.transform("counts", lambda c: c.cast("string"))).alias("counts")).withColumn("counts", F.when(F.col("counts") != "", F.col("counts")))
