@@ -62,3 +62,16 @@ def select_seasonal(acqs: DataFrame, month: int, day: int, tolerance: int, limit
     left = F.when(~F.col("year_kept"), "not_selected_year_sampling").otherwise("not_selected_temporal_sampling")
     reason = F.when(F.col("selected"), F.lit(None)).otherwise(F.coalesce("gate", left))
     return rows.withColumn("reason", reason).select(*acqs.columns, "distance", "selected", "reason")
+
+
+def partition_check(rows: DataFrame, by: str = "analysis") -> DataFrame:
+    """(by, candidates, selected, excluded, reasons, whole): whether every candidate is either selected or excluded for one
+    reason, never both or neither; reasons: the number of excluded rows of each, as `reason=n` in order."""
+    counts = rows.groupBy(by, "selected", "reason").agg(F.count("*").alias("n"))
+    told = F.when(~F.col("selected") & F.col("reason").isNotNull(), F.concat_ws("=", "reason", F.col("n").cast("string")))
+    sound = F.sum(F.when(F.col("selected") & F.col("reason").isNull() | ~F.col("selected") & F.col("reason").isNotNull(), F.col("n")).otherwise(0))
+    out = counts.groupBy(by).agg(
+        F.sum("n").alias("candidates"), F.sum(F.when(F.col("selected"), F.col("n")).otherwise(0)).alias("selected"), F.sum(F.when(~F.col("selected"), F.col("n")).otherwise(0)).alias("excluded"),
+        F.array_sort(F.collect_list(told)).alias("reasons"), sound.alias("_sound"),
+    )
+    return out.withColumn("whole", F.col("_sound") == F.col("candidates")).drop("_sound")

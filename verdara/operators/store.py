@@ -19,6 +19,32 @@ def page(rows: DataFrame, at: str, key: str, limit: int = 20, offset: int = 0) -
     return rows.orderBy(F.desc(at), key).offset(offset).limit(limit)
 
 
+def page_with_total(rows: DataFrame, at: str, key: str, limit: int = 20, offset: int = 0) -> DataFrame:
+    """`page` with `total`, the number of all rows, on each of its rows; a page beyond the end has no row to say it on."""
+    return page(rows, at, key, limit, offset).join(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+
+
+def regions_in_order(regions: DataFrame) -> DataFrame:
+    return regions.orderBy("name", "id")
+
+
+def scenes_of(scenes: DataFrame, analysis_id) -> DataFrame:
+    """Scenes of one analysis, the earliest first."""
+    return scenes.where(F.col("analysis_id") == analysis_id).orderBy("observed_at", "id")
+
+
+def artifacts_of(artifacts: DataFrame, scenes: DataFrame, analysis_id) -> DataFrame:
+    """Artefacts of one analysis with the items of their scenes, if they have one, the first made first."""
+    item = scenes.select(F.col("id").alias("_sid"), "item_id")
+    own = artifacts.where(F.col("analysis_id") == analysis_id)
+    return own.join(item, own["scene_id"] == item["_sid"], "left").drop("_sid").orderBy("created_at", "id")
+
+
+def by_key(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key: one or none."""
+    return rows.where(F.col(key) == value).limit(1)
+
+
 def observations_of_scenes(observations: DataFrame, scenes: DataFrame) -> DataFrame:
     """The time series of all analyses: observations (scene_id) with the columns of their scenes (id)."""
     return observations.join(scenes, observations["scene_id"] == scenes["id"]).drop(scenes["id"])
@@ -74,12 +100,12 @@ def analysis_summary(results: DataFrame, key: str = "analysis_id") -> DataFrame:
 
 
 def records(analyses: DataFrame, regions: DataFrame) -> DataFrame:
-    """Analyses as readers get them: area to two places, region, failure, and links. Regions are few: broadcast."""
+    """Analyses as readers get them: area to two places, region, failure, and links."""
     base = F.concat(F.lit("/api/v1/analyses/"), F.col("id").cast("string"))
     links = F.struct(base.alias("self"), *[F.concat(base, F.lit(f"/{k}")).alias(k) for k in ("scenes", "timeseries", "artifacts", "provenance")])
     failure = F.when(F.col("failure_category").isNotNull(), F.struct(F.col("failure_category").alias("category"), F.col("failure_detail").alias("detail")))
     named = regions.select(F.col("id").alias("_rid"), F.struct(*[c for c in regions.columns]).alias("region"))
-    out = analyses.join(F.broadcast(named), F.col("region_id") == F.col("_rid"), "left").drop("_rid")
+    out = analyses.join(named, F.col("region_id") == F.col("_rid"), "left").drop("_rid")
     return out.withColumns({"area_km2": F.round("area_km2", 2), "failure": failure, "links": links})
 
 

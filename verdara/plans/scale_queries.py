@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from verdara.operators import bucketed, percentiles, raster, store
+from verdara.operators import bucketed, percentiles, raster, selection, store
 from verdara.plans.queries import _t, indexed, query
-from verdara.plans.registry import SQL
+from verdara.plans.registry import QUERIES, SQL
 from verdara.session import scratch_path
 from verdara.streaming import metrics, state
 
@@ -80,3 +80,23 @@ def _histogram_sql(column: str) -> str:
 @query("""WITH r AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'failed' ELSE 'running' END AS status, round(o_totalprice / 500, 3) AS job_duration, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 1000, 3) END AS queue_delay, CAST(o_orderkey % 101 AS DOUBLE) AS valid_pixel_pct FROM orders) """ + " UNION ALL ".join(_histogram_sql(c) for c in ("job_duration", "queue_delay", "valid_pixel_pct")) + "".join(f" UNION ALL SELECT '{n}', count(*) FILTER (status = '{s}'), NULL, NULL, NULL, NULL FROM r" for s, n in metrics.COUNTERS.items()))
 def job_histograms(spark, d):
     return metrics.histograms(runs(spark, d)).select("name", "count", F.round("sum", 2).alias("sum"), "least", "most", F.concat_ws(" ", F.transform("counts", lambda c: c.cast("string"))).alias("counts")).withColumn("counts", F.when(F.col("counts") != "", F.col("counts")))
+
+
+# -- what selection and pages have to keep ------------------------------------------------------------------
+@query("WITH s AS (" + SQL["select_temporal"] + """), n AS (SELECT analysis, reason || '=' || count(*) AS told FROM s WHERE reason IS NOT NULL GROUP BY analysis, reason)
+SELECT s.analysis, count(*) AS candidates, count(*) FILTER (selected) AS selected, count(*) FILTER (NOT selected) AS excluded, bool_and(selected = (reason IS NULL)) AS whole, (SELECT string_agg(told, ' ' ORDER BY told) FROM n WHERE n.analysis = s.analysis) AS reasons FROM s GROUP BY s.analysis""")
+def selection_partition(spark, d):
+    found = selection.partition_check(QUERIES["select_temporal"](spark, d))
+    return found.select("analysis", "candidates", "selected", "excluded", "whole", F.array_join("reasons", " ").alias("reasons"))
+
+
+@query("SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+def list_with_total(spark, d):
+    return store.page_with_total(_t(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 20, 40)
+
+
+@query("SELECT l_linenumber AS id, l_orderkey AS analysis_id, l_shipdate AS created_at, o_orderpriority AS item_id FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F' WHERE l_orderkey = 33")
+def artifacts_of_one(spark, d):
+    items = _t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("item_id"))
+    files = _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("analysis_id"), F.col("l_orderkey").alias("scene_id"), F.col("l_shipdate").alias("created_at"))
+    return store.artifacts_of(files, items, 33).select("id", "analysis_id", "created_at", "item_id")

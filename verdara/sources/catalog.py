@@ -40,7 +40,7 @@ def search(items: DataFrame, wins: DataFrame, max_cloud: float, cap: int, collec
     kept = hit.withColumn("rn", F.row_number().over(by.orderBy("ts", "item_id"))).where(F.col("rn") <= cap)
     kept = kept.withColumn("truncated", F.max("rn").over(by) >= cap)
     last = Window.partitionBy("item_id").orderBy(F.col("window_id").desc())
-    return kept.withColumn("k", F.row_number().over(last)).where("k = 1").select("item_id", "ts", "cloud", "window_id", "truncated")
+    return kept.withColumn("k", F.row_number().over(last)).where("k = 1").select("item_id", "ts", "cloud", "window_id", "truncated").orderBy("ts", "item_id")
 
 
 def search_metadata(found: DataFrame, wins: DataFrame, cap: int) -> DataFrame:
