@@ -37,8 +37,8 @@ from verdara.session import ship
 
 #: Phrases of a trie, on average, of tries that are broadcast together, and hashes or words that a task holds before it hands them on.
 SHARD, WAVE, HELD = 100_000, 2_000_000, 2_000_000
-#: Bits of a hash in a bitmap.
-PROBES = 5
+#: Bits of a hash in a bitmap, and lots of documents, by a hash of their text.
+PROBES, LOTS = 5, 64
 STOP = b"\xff"  # in no UTF-8 text
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + STOP * 10)
 
@@ -58,10 +58,24 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").translate(_TABLE).replace(STOP, b" \xff ").split(), STOP]
 
 
-def _read(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, list[str]]:
-    """All words of a batch of (lang, text), the number of its language for each, and the languages."""
+def _lots(batch: pa.RecordBatch, lengths: list[int]) -> np.ndarray:
+    """The lot of the document that each word of a batch of (lang, text) is in, whatever task reads it."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    own = np.fromiter((digest(t or b"") % LOTS for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+    return np.repeat(own, lengths)
+
+
+def _of_lot(h: np.ndarray, lot: np.ndarray) -> np.ndarray:
+    """Hashes as one lot of documents has them; zero stays zero."""
+    with np.errstate(over="ignore"):
+        return np.where(h == 0, h, _mix(h + (lot + np.uint64(1)) * _C1))
+
+
+def _read(batch: pa.RecordBatch, lengths: list[int] | None = None) -> tuple[list[bytes], np.ndarray, list[str]]:
+    """All words of a batch of (lang, text), the number of its language for each, and the languages; `lengths` gets those of the texts."""
     words: list[bytes] = []
-    lengths = []
+    lengths = [] if lengths is None else lengths
     for text in batch.column(1).to_pylist():
         found = tokens(text)
         lengths.append(len(found))
@@ -114,18 +128,21 @@ def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
+def _bitmap(hashes: DataFrame, by_lot: bool = False) -> np.ndarray:
     """Some bits for each of the `h`; only ever lets too much pass, one in 700 while there are 16 bits a hash."""
     bits = min(27, max(18, math.ceil(math.log2(16 * max(hashes.count(), 1)))))
 
     def run(batches):
         seen = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches:
-            for at in _probes(batch.column(0).to_numpy().view(np.uint64), (1 << bits) - 1):
+            h = batch.column(0).to_numpy().view(np.uint64)
+            h = _of_lot(h, batch.column(1).to_numpy().astype(np.uint64)) if by_lot else h
+            for at in _probes(h, (1 << bits) - 1):
                 np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
         yield _blocks(seen)
 
-    return _gathered(hashes.select("h").mapInArrow(tidy(run), "block int, values binary"), np.zeros(1 << bits - 3, np.uint8), np.bitwise_or)
+    rows = hashes.select("h", "lot") if by_lot else hashes.select("h")
+    return _gathered(rows.mapInArrow(tidy(run), "block int, values binary"), np.zeros(1 << bits - 3, np.uint8), np.bitwise_or)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -164,43 +181,54 @@ def word_hashes(words: DataFrame) -> DataFrame:
 
 
 def often(docs: DataFrame, size: int, bits, least: int) -> DataFrame:
-    """(h): hashes of phrases of `size` words that are met `least` times or more where all parts one word shorter may be."""
+    """(h, lot): hashes of phrases of `size` words that are met `least` times or more where all parts one word shorter may
+    be, and the first lot of documents that has one."""
 
     def run(batches):
         held: list[np.ndarray] = []
+        lots: list[np.ndarray] = []
         n = 0
 
         def out():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            h, lot = np.concatenate(held), np.concatenate(lots)
+            order = np.argsort(h)
+            h, lot = h[order], lot[order]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            c = np.diff(np.concatenate((starts, [len(h)])))
+            return pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(c), pa.array(np.minimum.reduceat(lot, starts))], ["h", "c", "lot"])
 
         for batch in batches:
-            h = _hashes(*_read(batch))
+            lengths: list[int] = []
+            h = _hashes(*_read(batch, lengths))
             part = _set(bits.value, h[size - 2])
-            both = part & np.concatenate((part[1:], [False]))[: len(part)]
-            h = h[size - 1][both]
-            held.append(h[h != 0])
+            both = part & np.concatenate((part[1:], [False]))[: len(part)] & (h[size - 1] != 0)
+            held.append(h[size - 1][both])
+            lots.append(_lots(batch, lengths)[both].astype(np.int8))
             n += len(held[-1])
             if n > HELD:
                 yield out()
-                held, n = [], 0
+                held, lots, n = [], [], 0
         if n:
             yield out()
 
-    met = docs.mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    return met.where(F.col("c") >= least).select("h")
+    met = docs.mapInArrow(tidy(run), "h long, c long, lot byte").groupBy("h").agg(F.sum("c").alias("c"), F.min("lot").alias("lot"))
+    return met.where(F.col("c") >= least).select("h", "lot")
 
 
 def candidates(docs: DataFrame, pairs, triples, shards: int) -> DataFrame:
-    """(shard, lang, w1, w2, w3), the last null in pairs: all that may occur often enough, once each."""
+    """(shard, lang, w1, w2, w3), the last null in pairs: all that may occur often enough, once each.
+
+    pairs and triples are bitmaps by lot: only the first lot that has a phrase hands it on, not every task that meets it.
+    """
 
     def run(batches):
         seen = np.empty(0, np.uint64)  # hashes that this task has handed on
         for batch in batches:
-            found, lang, langs = _read(batch)
+            lengths: list[int] = []
+            found, lang, langs = _read(batch, lengths)
             _, two, three = _hashes(found, lang, langs)
-            pair = _set(pairs.value, two)
-            triple = _set(triples.value, three) & pair & np.concatenate((pair[1:], [False]))[: len(pair)]
+            lot = _lots(batch, lengths)
+            pair, triple = _set(pairs.value, _of_lot(two, lot)), _set(triples.value, _of_lot(three, lot))
             cols: list[list] = [[], [], [], [], []]
             fresh = []
             for size, h, on in ((2, two, pair), (3, three, triple)):
@@ -456,7 +484,8 @@ def phrase_counts(docs: DataFrame, rule: Rule, write, shard: int = SHARD, wave:
         three = write(often(docs, 3, pairs, rule.least), "collocation-triples")
         triples = share(_bitmap(three))
     shards = max(1, -(-(two.count() + three.count()) // shard))
-    built = write(_built(write(candidates(docs, pairs, triples, shards), "collocation-candidates")), "collocation-tries")
+    first = [share(_bitmap(t, by_lot=True)) for t in (two, three)]
+    built = write(_built(write(candidates(docs, *first, shards), "collocation-candidates")), "collocation-tries")
     none = F.lit(None).cast("string")
     found = frequent.select("lang", F.col("word").alias("w1"), none.alias("w2"), none.alias("w3"), "f")
     tries = built.where("trie is not null").select("shard", "number", "trie")
@@ -465,7 +494,7 @@ def phrase_counts(docs: DataFrame, rule: Rule, write, shard: int = SHARD, wave:
         held = tries.where(F.col("shard").isin(own)).toArrow().to_pylist()  # a wave's size bounds it
         f = write(occurrences(docs, [(r["shard"], r["number"], r["trie"]) for r in held], pairs, triples, shards), "collocation-counts")
         found = found.unionByName(rows.join(f.where(F.col("f") >= rule.least), ["shard", "number"]).select("lang", "w1", "w2", "w3", "f"))
-    for b in (singles, pairs, triples):
+    for b in (singles, pairs, triples, *first):
         b.unpersist()
     return found, words.groupBy("lang").agg(F.sum("f").alias("n"))
 
