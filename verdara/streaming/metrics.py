@@ -20,10 +20,10 @@ _SECONDS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 300.0, 900.0)
 _SHARES = (1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 90.0, 95.0, 99.0)
 # The columns that are measured, their names in reports, and their boundaries.
 HISTOGRAMS = {
-    "job_duration": ("oeop.job.duration", _SECONDS), "queue_delay": ("oeop.queue.delay", _SECONDS), "scene_duration": ("oeop.scene.duration", _SECONDS),
-    "valid_pixel_pct": ("oeop.scene.valid_pixel_pct", _SHARES), "upload_duration": ("oeop.blob.upload_duration", _SECONDS), "search_duration": ("oeop.stac.duration", _SECONDS),
+    "job_duration": ("job.duration", _SECONDS), "queue_delay": ("queue.delay", _SECONDS), "scene_duration": ("scene.duration", _SECONDS),
+    "valid_pixel_pct": ("scene.valid_pixel_pct", _SHARES), "upload_duration": ("blob.upload_duration", _SECONDS), "search_duration": ("stac.duration", _SECONDS),
 }
-COUNTERS = {"succeeded": "oeop.analyses.succeeded", "failed": "oeop.analyses.failed"}
+COUNTERS = {"succeeded": "analyses.succeeded", "failed": "analyses.failed"}
 
 
 def _measures(columns: Iterable[str]) -> list[Column]:
