@@ -5,7 +5,8 @@
    counted by 64-bit hash, which undercounts nothing; a phrase whose hash was met too seldom is no candidate.
    Levels hand on a bitmap of the hashes that are left, 16 bits for each up to 2**27 bits: beyond,
    more candidates pass than need to, but none is lost.
-2. The distinct candidates are dealt, by that hash of the whole phrase, into shards of some `SHARD` phrases, however
+2. A candidate is handed on by the first of `LOTS` lots of documents that has it, so that rows grow with candidates, not with
+   candidates and tasks. The distinct candidates are dealt, by that hash of the whole phrase, into shards of some `SHARD` phrases, however
    many share a word. A task builds a shard's double-array trie: language, first, second, third word, each word in two
    digits.
 3. As many shards as have `WAVE` phrases are broadcast together, compressed, as one array: a position's own hashes name the
