@@ -40,6 +40,26 @@ def test_meets_as_all_pairs_do(spark, limit):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_boxes_are_worked_out_once(spark):
+    """However often the join looks at them: filters that are pushed below a costly box repeat it."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def east(west):
+        calls.add(1)
+        return west + 1.0
+
+    rows = spark.range(40).select("id", F.col("id").cast("double").alias("west"))
+    costly = rows.select("id", F.col("west"), F.lit(0.0).alias("south"), east("west").alias("east"), F.lit(1.0).alias("north"))
+    assert spatial.meeting(costly, costly.where("false"), box(), box()).count() == 0 and calls.value == 40
+
+
+def test_grids_are_made_by_many_tasks(spark):
+    one = spark.createDataFrame([(1, [{"x": 10.0, "y": 50.0}, {"x": 10.1, "y": 50.0}, {"x": 10.0, "y": 50.1}])] * 64, "id int, ring array<struct<x:double,y:double>>").coalesce(1)
+    own = grid.canonical_grids(one).groupBy(F.spark_partition_id()).count().count()
+    assert own > 4
+
+
 def test_empty_sides(spark):
     one = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], SCHEMA)
     for left, right in ((one, one.where("false")), (one.where("false"), one), (one.where("false"), one.where("false"))):

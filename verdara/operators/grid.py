@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdara.functions import projection
 from verdara.functions.geo import let, utm_epsg
 from verdara.operators import spatial
+from verdara.session import spread
 
 SCHEMA_VERSION = "1.0.0"
 
@@ -36,7 +37,8 @@ def canonical_grids(areas: DataFrame, ring: str = "ring", resolution: float = 10
     problem to areas with a ring in degrees.
 
     The ring is projected to its centre's UTM zone and its bounds are moved outward to the lattice through the
-    zone's origin, so that areas of one zone share their cells. All of it is arithmetic within a row.
+    zone's origin, so that areas of one zone share their cells. All of it is arithmetic within a row, much of it, so
+    the areas are spread over the tasks first.
     """
     centre = let(projection.ring_middle(F.col(ring)), lambda c: utm_epsg(c["x"], c["y"]))
     snapped = lambda v, snap: (snap(v / resolution) * resolution).cast("double")
@@ -49,7 +51,7 @@ def canonical_grids(areas: DataFrame, ring: str = "ring", resolution: float = 10
     def corners(b: Column) -> Column:
         return F.array(*[F.struct(b[x].alias("x"), b[y].alias("y")) for x in ("left", "right") for y in ("bottom", "top")])
 
-    out = areas.withColumn("epsg", centre).withColumn("_box", let(projection.ring_utm(F.col(ring), F.col("epsg")), bounds))
+    out = spread(areas).withColumn("epsg", centre).withColumn("_box", let(projection.ring_utm(F.col(ring), F.col("epsg")), bounds))
     out = out.withColumn("_corners", projection.ring_lonlat(let(F.col("_box"), corners), F.col("epsg")))
     cells = lambda a, b: F.round((F.col(b) - F.col(a)) / resolution).cast("int")
     step = F.lit(float(resolution))

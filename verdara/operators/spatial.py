@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdara.session import scratch_path
+
 DEEPEST = 20
 #: Boxes of one cell that one task compares with the other side's.
 LIMIT = 50_000
@@ -48,11 +50,20 @@ def _in_cells(boxes: DataFrame, levels: list[int], mark: str) -> DataFrame:
 
 
 def _marked(frame: DataFrame, box: dict[str, Column], mark: str) -> DataFrame:
-    """One struct of the row's columns beside its box; rows without a box are left out."""
-    rows = frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias(mark), *[box[n].cast("double").alias(f"{mark}_{n}") for n in BOX])
+    """The row's columns, numbered, beside its box; rows without a box are left out."""
+    rows = frame.select(*[F.col(f"`{c}`").alias(f"{mark}{k}") for k, c in enumerate(frame.columns)], *[box[n].cast("double").alias(f"{mark}_{n}") for n in BOX])
+    # Stored, as each step below looks at them anew, and each filter, pushed down, would work the boxes out again.
+    path = scratch_path(frame.sparkSession, "boxes")
+    rows.write.parquet(path)
+    rows = frame.sparkSession.read.schema(rows.schema).parquet(path)
     return rows.where((F.col(f"{mark}_west") <= F.col(f"{mark}_east")) & (F.col(f"{mark}_south") <= F.col(f"{mark}_north")))
 
 
+def _whole(frame: DataFrame, mark: str) -> Column:
+    """The struct of a row's columns, made last, so that those nobody asks for aren't carried."""
+    return F.struct(*[F.col(f"{mark}{k}").alias(c) for k, c in enumerate(frame.columns)]).alias(mark)
+
+
 def _levels(rows: DataFrame, mark: str) -> list[int]:
     """Levels in use: 21 at most."""
     return sorted(r[0] for r in rows.select(_level({n: F.col(f"{mark}_{n}") for n in BOX})).distinct().collect())
@@ -71,4 +82,4 @@ def meeting(left: DataFrame, right: DataFrame, left_box: dict[str, Column], righ
     west, south = F.greatest("l_west", "r_west"), F.greatest("l_south", "r_south")
     shared = (west <= F.least("l_east", "r_east")) & (south <= F.least("l_north", "r_north"))
     here = c("_cell") == _cell(c("_level"), _place(west, c("_level")), _place(south, c("_level")))
-    return x.join(y, ["_cell", "_part"]).where((c("l_own") | c("r_own")) & shared & here).select("l", "r")
+    return x.join(y, ["_cell", "_part"]).where((c("l_own") | c("r_own")) & shared & here).select(_whole(left, "l"), _whole(right, "r"))

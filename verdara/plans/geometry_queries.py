@@ -109,7 +109,8 @@ def granules_on_grid(spark, d):
     s = F.when(k % 5 == 0, -22.0).otherwise((k * 104729 % 1600).cast("double") / 10 - 80)
     size = 0.02 * (1 + k % 97)
     granules = _t(spark, d, "events").select("event_id", F.array(w, s, w + size, s + size).alias("bbox"))
-    return grid.granules_on_grid(granules, grid.canonical_grids(_areas(spark, d))).select("event_id", "c_custkey")
+    grids = grid.canonical_grids(_areas(spark, d)).select("c_custkey", "resolution", "bounds_geographic")
+    return grid.granules_on_grid(granules, grids).select("event_id", "c_custkey")
 
 
 # Small areas, one for each customer, whose cells the table function makes.

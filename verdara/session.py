@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: ANSI stays on; timestamps are UTC; AQE coalesces, splits skew and switches joins.
 DEFAULTS = {
@@ -29,6 +29,12 @@ def build_session(app: str = "verdara", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The same rows dealt evenly over as many tasks as a shuffle has, for work that weighs more than a row: a file of one
+    row group is one task, whatever is computed from it."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 _SHIPPED: set[str] = set()
 
 
