@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA
 from verdara.functions import geo, polygons
+from verdara.plans import geometry_queries
 
 POLYGON = "array<array<struct<x:double,y:double>>>"
 
@@ -66,6 +68,22 @@ def test_cover_of_random_rings(spark):
         assert whole == pytest.approx(covered(area, [area]), rel=1e-9, abs=1e-6)
 
 
+def test_area_of_rings_that_touch_and_cross(spark):
+    """Even-odd: equal rings cancel, shared sides and repeated corners count for nothing."""
+    twice, beside, cross = box(0, 40, 2, 42) * 2, box(0, 40, 1, 42) + box(1, 40, 2, 42), [ring([(0, 40), (2, 42), (2, 40), (0, 42)])]
+    stutter = [ring([(0, 40), (0, 40), (2, 40), (2, 42), (2, 42), (0, 42), (0, 40)])]
+    table = [(g,) for g in (twice, beside, cross, stutter, box(0, 40, 2, 42), None, [], [ring([(1, 1)] * 4)])]
+    got = [r[0] for r in spark.createDataFrame(table, f"a {POLYGON}").select(polygons.area_km2(F.col("a"))).collect()]
+    want = math.radians(2) * (zonal(42) - zonal(40))
+    assert got[0] == pytest.approx(0, abs=1e-6) and got[5:] == [0.0] * 3
+    assert [got[k] for k in (1, 3, 4)] == [pytest.approx(want, rel=1e-12)] * 3 and got[2] == pytest.approx(covered(cross, [cross]), rel=1e-9)
+
+
+def test_areas_of_geojson_are_made_by_many_tasks(spark):
+    made = geometry_queries.geojson_area(spark, f"{DATA}/sf0.001")
+    assert made.groupBy(F.spark_partition_id()).count().count() > 4
+
+
 def test_coverage_decides_at_the_gate(spark):
     """A strip of 0.8 % that nobody covers is 0.8 %, however thin."""
     table = [(box(0, 40, 1, 41), [box(0, 40, 1 - gap, 41)]) for gap in (0.0075, 0.008, 0.00001)] + [(box(0, 40, 1, 41), None), (box(0, 40, 1, 41), []), ([], [box(0, 0, 1, 1)]), (None, [box(0, 0, 1, 1)]), (box(1, 1, 1, 1), [box(0, 0, 2, 2)]), ([ring([(0, 0), (1, 1)])], [box(0, 0, 1, 1)])]

@@ -18,6 +18,7 @@ have no area; nearly antipodal corners of one side have no certain shortest way
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,7 +38,9 @@ def _sum(values: Column) -> Column:
 
 
 def _sides(rings: Column) -> Column:
-    return F.flatten(F.transform(F.coalesce(rings, F.array().cast("array<array<struct<x:double,y:double>>>")), _edges))
+    """Sides of all rings but those without length, as the closing one of a closed ring."""
+    sides = F.flatten(F.transform(F.coalesce(rings, F.array().cast("array<array<struct<x:double,y:double>>>")), _edges))
+    return F.filter(sides, lambda e: e["p"] != e["q"])
 
 
 def _crossing_y(e: Column, f: Column) -> Column:
@@ -71,40 +74,59 @@ def _meridional(lat: Column) -> Column:
     return A * A * (1 - E2) * F.cos(F.radians(lat)) * math.pi / 180 / F.pow(1 - E2 * sin * sin, 2)
 
 
-def cover_km2(area: Column, footprints: Column) -> Column:
-    """Ellipsoidal area of what the area has in common with the union of footprints; sides are straight in degrees."""
-    polygons = F.concat(F.array(area), F.coalesce(footprints, F.array().cast("array<array<array<struct<x:double,y:double>>>>")))
+def _cuts(sides: Column, y: Column) -> Column:
+    """Where a scan line is crossed, in order."""
+    cross = F.filter(sides, lambda e: (e["p"]["y"] > y) != (e["q"]["y"] > y))
+    return F.array_sort(F.transform(cross, lambda e: (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]))
 
-    def at(sides: Column, y: Column) -> Column:
-        cross = F.filter(sides, lambda e: (e["p"]["y"] > y) != (e["q"]["y"] > y))
-        return F.array_sort(F.transform(cross, lambda e: (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]))
 
-    def over(sides: Column) -> Column:
-        flat = F.flatten(sides)
-        corners = F.transform(flat, lambda e: e["p"]["y"])
-        crossings = F.flatten(F.transform(flat, lambda e: F.array_compact(F.transform(flat, lambda f: _crossing_y(e, f)))))
-        low, high = (pick(F.transform(sides[0], lambda e: e["p"]["y"])) for pick in (F.array_min, F.array_max))
-        levels = F.filter(F.array_sort(F.array_distinct(F.concat(corners, crossings))), lambda y: y.between(low, high))
+def _levels(sides: Column, low: Column, high: Column) -> Column:
+    """Latitudes from `low` to `high` between which no two sides cross; a side looks at those after it only."""
+    after = lambda i: F.slice(sides, i + 2, F.size(sides))
+    crossings = F.flatten(F.transform(sides, lambda e, i: F.array_compact(F.transform(after(i), lambda f: _crossing_y(e, f)))))
+    corners = F.transform(sides, lambda e: e["p"]["y"])
+    return F.filter(F.array_sort(F.array_distinct(F.concat(corners, crossings))), lambda y: y.between(low, high))
+
 
-        def slab(y: Column, i: Column, ys: Column) -> Column:
-            top = F.get(ys, i + 1)
-            scan = lambda t: let(F.transform(sides, lambda s: at(s, y + t * (top - y))), _covered)
+def _by_slabs(levels: Column, length: Callable[[Column], Column]) -> Column:
+    """Integral over the ellipsoid's latitudes of `length(y)`, degrees of longitude, linear between levels."""
 
-            def integral(ends: Column) -> Column:
-                rise = 2 * (ends[1] - ends[0])
-                return (top - y) * sum(w * (ends[0] + rise * (t - 0.25)) * _meridional(y + t * (top - y)) for t, w in GAUSS)
+    def slab(y: Column, i: Column, ys: Column) -> Column:
+        top = F.get(ys, i + 1)
+        scan = lambda t: length(y + t * (top - y))
 
-            return F.when(top > y, let(F.array(scan(0.25), scan(0.75)), integral)).otherwise(0.0)
+        def integral(ends: Column) -> Column:
+            rise = 2 * (ends[1] - ends[0])
+            return (top - y) * sum(w * (ends[0] + rise * (t - 0.25)) * _meridional(y + t * (top - y)) for t, w in GAUSS)
 
-        return let(levels, lambda ys: _sum(F.transform(ys, lambda y, i: slab(y, i, ys))))
+        return F.when(top > y, let(F.array(scan(0.25), scan(0.75)), integral)).otherwise(0.0)
 
-    km2 = let(F.transform(polygons, _sides), over) * math.pi / 180 / 1e6
+    km2 = let(levels, lambda ys: _sum(F.transform(ys, lambda y, i: slab(y, i, ys)))) * math.pi / 180 / 1e6
     return F.coalesce(km2, F.lit(0.0))
 
 
+def _reach(sides: Column) -> tuple[Column, Column]:
+    return tuple(pick(F.transform(sides, lambda e: e["p"]["y"])) for pick in (F.array_min, F.array_max))
+
+
+def cover_km2(area: Column, footprints: Column) -> Column:
+    """Ellipsoidal area of what the area has in common with the union of footprints; sides are straight in degrees."""
+    polygons = F.concat(F.array(area), F.coalesce(footprints, F.array().cast("array<array<array<struct<x:double,y:double>>>>")))
+
+    def over(sides: Column) -> Column:
+        levels = let(F.flatten(sides), lambda flat: _levels(flat, *_reach(sides[0])))
+        return _by_slabs(levels, lambda y: let(F.transform(sides, lambda s: _cuts(s, y)), _covered))
+
+    return let(F.transform(polygons, _sides), over)
+
+
 def area_km2(rings: Column) -> Column:
-    """Ellipsoidal area of a polygon with holes; sides are straight in degrees."""
-    return cover_km2(rings, F.array(rings))
+    """Ellipsoidal area of a polygon with holes; sides are straight in degrees.
+
+    Of a scan line's sorted crossings each second one ends what lies inside, so signs that alternate sum it up.
+    """
+    inside = lambda cuts: _sum(F.transform(cuts, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)))
+    return let(_sides(rings), lambda sides: _by_slabs(_levels(sides, *_reach(sides)), lambda y: let(_cuts(sides, y), inside)))
 
 
 def coverage_pct(area: Column, footprints: Column) -> Column:
@@ -203,10 +225,18 @@ def geojson_parts(text: Column) -> Column:
 
     Rings need four positions of two numbers, and close where they begin.
     """
+    return let(text, lambda t: let(_parts(t), _sound_parts))
+
+
+def _parts(text: Column) -> Column:
     kind = F.get_json_object(text, "$.type")
     parts = F.when(kind == "Polygon", F.array(F.from_json(text, _SINGLE)["coordinates"])).when(kind == "MultiPolygon", F.from_json(text, _MULTI)["coordinates"])
     point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
-    made = F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, point)))
+    return F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, point)))
+
+
+def _sound_parts(made: Column) -> Column:
+    """The parts if all of them are whole, else NULL."""
     sound = lambda r: (F.size(r) >= 4) & F.forall(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull()) & (F.element_at(r, 1) == F.element_at(r, -1))
     whole = F.forall(made, lambda part: (F.size(part) > 0) & F.forall(part, sound))
     return F.when((F.size(made) > 0) & F.coalesce(whole, F.lit(False)), made)

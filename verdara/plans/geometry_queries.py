@@ -11,6 +11,7 @@ from verdara.operators import grid, grid_cells
 from verdara.plans.engine_queries import _AREA, _CORNERS, _GRID, _areas, _forward
 from verdara.plans.product_queries import _SHAPE, _SIDES, _rings
 from verdara.plans.queries import _t, query
+from verdara.session import spread
 
 
 PAD = 4 * 10.0 / 111_320.0
@@ -93,7 +94,7 @@ def geojson_area(spark, d):
 
     outline = F.when(k % 10 == 0, ring(0, 0, 1, 1, False)).otherwise(ring(0, 0, 1, 1))
     text = F.concat(F.lit('{"type":"MultiPolygon","coordinates":[['), outline, F.lit(","), ring(0.25, 0.25, 0.75, 0.5), F.lit("],["), ring(0.5, 1.5, 1, 2), F.lit("]]}"))
-    parts = _t(spark, d, "customer").select("c_custkey", polygons.geojson_parts(text).alias("parts"))
+    parts = spread(_t(spark, d, "customer").select("c_custkey")).select("c_custkey", polygons.geojson_parts(text).alias("parts"))
     size = lambda c: F.coalesce(c, F.lit(0))
     holes = F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p) - 1)
     area = F.when(F.col("parts").isNotNull(), polygons.area_km2(polygons.outlines(F.col("parts"))))
