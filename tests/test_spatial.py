@@ -2,7 +2,9 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from verdara.operators import grid, grid_cells, spatial
@@ -60,6 +62,27 @@ def test_grids_are_made_by_many_tasks(spark):
     assert own > 4
 
 
+def test_cells_of_many_grids_in_one_call(spark, monkeypatch):
+    """Batches of grids as one at a time: rings of any length, none, grids without cells, NaN-free bands across grids."""
+    one = lambda **kw: dict(dict(id=0, ring=None, epsg=1, left=0.0, top=40.0, width=3, height=2, resolution=10.0), **kw)
+    ring = lambda *points: [{"x": float(x), "y": float(y)} for x, y in points]
+    square, star = ring((5, 35), (25, 35), (25, 21), (5, 21)), ring((0, 40), (30, 33), (0, 26), (30, 20), (15, 40))
+    rows = [one(id=k, ring=r) for k, r in enumerate((square, None, star, []))] + [one(id=4, ring=square, width=0), one(id=5, ring=square, left=None), one(id=6, ring=star, width=300, height=90)]
+    table = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("ring", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("epsg", pa.int32()), *[(k, pa.float64()) for k in ("left", "top")], *[(k, pa.int32()) for k in ("width", "height")], ("resolution", pa.float64())]))
+    want = []
+    for r in (Row(**r) for r in rows):
+        inside = lambda x, y: sum((p["y"] > y) != (q["y"] > y) and (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"] > x for p, q in zip(r.ring, r.ring[1:] + r.ring[:1], strict=True)) % 2 == 1 if r.ring else False  # noqa: E731, B023
+        if r.left is not None:
+            cells = [(i, j, r.left + (j + 0.5) * 10, r.top - (i + 0.5) * 10) for i in range(r.height) for j in range(r.width)]
+            want += [(r.id, i, j, x, y, inside(x, y)) for i, j, x, y in cells]
+    for band in (65_536, 7):
+        monkeypatch.setattr(grid_cells, "BAND", band)
+        batches = list(grid_cells.GridCellBatches().eval(table))
+        assert [tuple(c.values()) for b in batches for c in b.to_pylist()] == want
+        assert sum(b.num_rows for b in batches[:1]) > 12 or band == 7  # several grids in one batch
+        assert [c for r in rows for c in grid_cells.GridCells().eval(Row(**r))] == want
+
+
 def test_empty_sides(spark):
     one = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], SCHEMA)
     for left, right in ((one, one.where("false")), (one.where("false"), one), (one.where("false"), one.where("false"))):
