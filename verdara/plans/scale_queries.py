@@ -54,9 +54,11 @@ def late_acquisitions(spark, d):
     key = F.concat_ws("|", "event_type", F.concat(F.lit("R"), (F.col("user_id") % 3).cast("string")), F.date_format("ts", "yyyy-MM-dd"))
     granules = e.select(key.alias("acquisition_key"), F.col("event_id").cast("string").alias("item_id"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("cloud"), F.pmod(F.xxhash64("event_id"), F.lit(4)).alias("lot"))
     root = scratch_path(spark, "late")
+    # A lot is written by all cores, a file each, and read at once.
+    files = spark.sparkContext.defaultParallelism
     for lot in range(4):
-        granules.where(F.col("lot") == lot).drop("lot").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    arrived = spark.readStream.schema(granules.drop("lot").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        granules.where(F.col("lot") == lot).drop("lot").repartition(files).write.mode("append").parquet(f"{root}/in")
+    arrived = spark.readStream.schema(granules.drop("lot").schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     state.publish(state.corrected(arrived, keep_days=60), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     found = state.series(spark.read.parquet(f"{root}/out"))
     return found.select("acquisition_key", "granule_count", F.unix_micros("observed_at").alias("observed_us"), "least_cloud", F.md5(F.array_join("item_ids", " ").cast("binary")).alias("items_md5"))

@@ -8,7 +8,7 @@ it would have given. Rows of one key in one batch are taken in the order of thei
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from verdara.session import ship
 
 MAX_DEQUEUE = 3  # fixed value: deliveries of a message before it is poison
 HOUR = 3_600_000
+EPOCH = datetime(1970, 1, 1)
 
 
 def _ms(at: datetime) -> int:
@@ -25,6 +26,11 @@ def _ms(at: datetime) -> int:
     return round((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1000)
 
 
+def _us(at: datetime) -> int:
+    """Microseconds, likewise."""
+    return ((at.astimezone(UTC).replace(tzinfo=None) if at.tzinfo else at) - EPOCH) // timedelta(microseconds=1)
+
+
 def _at(ms: int) -> datetime:
     return datetime.fromtimestamp(ms / 1000, UTC).replace(tzinfo=None)
 
@@ -182,24 +188,26 @@ class Acquisitions(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.items = handle.getMapState("items", "item_id string", "ts timestamp, cloud double")
+        self.items = handle.getListState("items", "item_id string, us long, cloud double")
         self.version = handle.getValueState("version", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        fresh = False
+        # The state is read once and written once a batch: a call for each granule costs more than all else.
+        known = {item: (us, cloud) for item, us, cloud in self.items.get()} if self.items.exists() else {}
+        fresh = {}
         for row in rows:
-            if not self.items.containsKey((row["item_id"],)):
-                self.items.updateValue((row["item_id"],), (row["ts"], row["cloud"]))
-                fresh = True
+            if row["item_id"] not in known:
+                fresh.setdefault(row["item_id"], (_us(row["ts"]), row["cloud"]))
         if not fresh:
             return
+        self.items.appendList([(item, *told) for item, told in fresh.items()])
         n = (self.version.get()[0] if self.version.exists() else 0) + 1
         self.version.update((n,))
-        held = sorted((k[0], v[0], v[1]) for k, v in self.items.iterator())
+        held = sorted(((item, *told) for item, told in (known | fresh).items()), key=lambda g: g[0])
         clouds = [c for _, _, c in held if c is not None]
-        self.due(max(_ms(t) for _, t, _ in held) + self.keep)
+        self.due(round(max(t for _, t, _ in held) / 1000) + self.keep)
         yield Row(
-            acquisition_key=key[0], version=n, granule_count=len(held), observed_at=min(t for _, t, _ in held), item_ids=[i for i, _, _ in held], least_cloud=min(clouds, default=None),
+            acquisition_key=key[0], version=n, granule_count=len(held), observed_at=EPOCH + timedelta(microseconds=min(t for _, t, _ in held)), item_ids=[i for i, _, _ in held], least_cloud=min(clouds, default=None),
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
