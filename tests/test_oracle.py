@@ -39,3 +39,14 @@ def test_ts_join_leaves_no_order_out(spark, duck):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_formats_of_large_keys(spark, tmp_path):
+    """Sizes beyond a terabyte and spans beyond a thousand years, which sf0.01 doesn't have."""
+    path = str(tmp_path / "part.parquet")
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT p_partkey + 20000 * r AS p_partkey, p_name FROM '{SF}/part.parquet', range(8) t(r)) TO '{path}' (FORMAT parquet)")
+    c.sql(f"CREATE VIEW part AS FROM '{path}'")
+    got, want = QUERIES["formats"](spark, str(tmp_path)), c.sql(SQL["formats"])
+    rows = table(want.fetchall(), want.columns)
+    assert table(got.collect(), got.columns) == rows and all(any(part in v for r in rows for v in r) for part in (" TB", "about 1,"))

@@ -209,9 +209,10 @@ _TRIM = "regexp_replace(regexp_replace({0}, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '
 @query(f"""WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_partkey * 1.25::DOUBLE END AS v, CAST(p_partkey AS BIGINT) * p_partkey * 331 AS n, p_partkey * 3 AS d, p_name FROM part)
 SELECT k AS p_partkey, CASE WHEN v IS NULL THEN '—' ELSE replace(printf('%.3f', 100 - v), '-', '−') END AS number, CASE WHEN v IS NULL THEN '—' ELSE CASE WHEN v > 100 THEN '+' WHEN v < 100 THEN '−' ELSE '±' END || printf('%.3f', abs(v - 100)) END AS change, CASE WHEN v IS NULL THEN '—' ELSE printf('%.1f', v * 2) || '%' END AS percent,
 CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CASE WHEN n / 1024.0::DOUBLE >= 10 THEN CAST(floor(n / 1024.0::DOUBLE + 0.5) AS BIGINT) || '' ELSE printf('%.1f', n / 1024.0::DOUBLE) END || ' KB' WHEN n < 1073741824 THEN CASE WHEN n / 1048576.0::DOUBLE >= 10 THEN CAST(floor(n / 1048576.0::DOUBLE + 0.5) AS BIGINT) || '' ELSE printf('%.1f', n / 1048576.0::DOUBLE) END || ' MB'
-  ELSE CASE WHEN n / 1073741824.0::DOUBLE >= 10 THEN CAST(floor(n / 1073741824.0::DOUBLE + 0.5) AS BIGINT) || '' ELSE printf('%.1f', n / 1073741824.0::DOUBLE) END || ' GB' END AS size,
+  WHEN n < 1099511627776 THEN CASE WHEN n / 1073741824.0::DOUBLE >= 10 THEN CAST(floor(n / 1073741824.0::DOUBLE + 0.5) AS BIGINT) || '' ELSE printf('%.1f', n / 1073741824.0::DOUBLE) END || ' GB'
+  ELSE CASE WHEN n / 1099511627776.0::DOUBLE >= 10 THEN CAST(floor(n / 1099511627776.0::DOUBLE + 0.5) AS BIGINT) || '' ELSE printf('%.1f', n / 1099511627776.0::DOUBLE) END || ' TB' END AS size,
 CASE WHEN v IS NULL THEN '—' WHEN v >= 100 THEN format('{{:,}}', CAST(floor(v + 0.5) AS BIGINT)) || ' km²' WHEN v >= 10 THEN {_TRIM.format("printf('%.2f', round(v, 1))")} || ' km²' ELSE printf('%.2f', v) || ' km²' END AS km2,
-format('{{:,}}', d) || ' days' || CASE WHEN d < 730 THEN '' ELSE ' (about ' || {_TRIM.format("printf('%.2f', round(d / 365.25::DOUBLE, 1))")} || ' years)' END AS span,
+format('{{:,}}', d) || ' days' || CASE WHEN d < 730 THEN '' ELSE ' (about ' || {_TRIM.format("format('{:,.2f}', round(d / 365.25::DOUBLE, 1))")} || ' years)' END AS span,
 CASE WHEN length(p_name) <= 12 THEN p_name ELSE left(p_name, 5) || '…' || right(p_name, 5) END AS name FROM p""")
 def formats(spark, d):
     k = F.col("p_partkey")
