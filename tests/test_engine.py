@@ -1,6 +1,7 @@
 """Grids, whole acquisitions, processing, rasters, provenance, the store and the queue: analytic values and defined cases."""
 
 import json
+import re
 import struct
 from datetime import date, datetime
 
@@ -58,6 +59,37 @@ def test_ring_problems(spark):
     assert one(spark, *projection.ring_centroid(ring_of(SQUARE))) == (0.5, 0.5)
 
 
+def test_grids_are_made_by_compiled_steps(spark, capsys):
+    """Back to degrees without lambdas, in methods that the JVM compiles (8000 bytes at most); a ring's sides are made once for its centre."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        QUERIES["canonical_grid"](spark, f"{DATA}/sf0.001").explain(mode="codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    told = capsys.readouterr().out
+    assert ".asin(" in told and max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", told)) < 8000
+    plan = QUERIES["canonical_grid"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") == 1
+
+
+def test_whole_numbers_in_six_digits(spark):
+    """Cut from their digits or formatted, they are as C writes them."""
+    values = [float(s * v) for s in (1, -1) for v in (1, 10, 999_999, 1e6, 1_000_010, 1_234_567, 1_234_560, 1_000_001, 9_999_990, 9_999_996, 1e7, 12_345_600, 1e14, 123_456e9, 1e15, 1e16, 1.5e20, 1e300)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", grid.six_digits(F.col("v")).alias("text")).collect()
+    assert [r["text"] for r in got] == [f"{r['v']:.6g}" for r in got] and len(got) == len(values)
+
+
+def test_middle_of_odd_rings(spark):
+    """Closed and open rings are one; without an area, the mean of the corners; none has none."""
+    rings = [[(0, 0), (4, 0), (0, 2)], [(0, 0), (4, 0), (0, 2), (0, 0)], [(0, 2), (4, 0), (0, 0)], [(1, 1), (2, 2), (6, 6)], [(3, 5)], None]
+    table = [(k, r and [{"x": float(x), "y": float(y)} for x, y in r]) for k, r in enumerate(rings)]
+    got = [tuple(r["c"]) for r in spark.createDataFrame(table, f"id int, ring {RING}").select("id", projection.ring_middle(F.col("ring")).alias("c")).orderBy("id").collect()]
+    third = pytest.approx((4 / 3, 2 / 3), rel=1e-15)
+    assert got[:3] == [third] * 3 and got[3:] == [(3.0, 3.0), (3.0, 5.0), (None, None)]
+    empty = grid.canonical_grids(spark.createDataFrame(table[5:], f"id int, ring {RING}")).first()
+    assert empty["problem"] == "too_few_points" and empty["epsg"] is None and empty["signature"] is None
+
+
 def test_seam_makes_one_acquisition(spark):
     ids = ["S2A_MSIL2A_20240701T163000_R040_T17TLH_20240701T200000", "S2A_MSIL2A_20240701T163000_R040_T17TLG_20240701T210000"]
     at = datetime(2024, 7, 1, 16, 30)

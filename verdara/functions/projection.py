@@ -6,6 +6,8 @@ cover and GeoJSON are in `polygons`.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,30 +130,45 @@ def _degrees(xi: Column, eta: Column, chi: Column, epsg: Column) -> tuple[Column
     return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + ((epsg % 100) * 6 - 183), F.degrees(lat)
 
 
-def ring_lonlat(ring: Column, epsg: Column) -> Column:
-    """`lonlat` of each corner, by small steps that are computed once."""
+def with_lonlat(frame: DataFrame, xs: Sequence[str], ys: Sequence[str], epsg: Column) -> DataFrame:
+    """Adds `lonlat` of the points where the columns `xs` and `ys` meet, as _<x>_<y>_lon and _<x>_<y>_lat.
 
-    def place(p: Column) -> Column:
-        flat = lambda s: let(_point(*_unseries(s["x"], s["y"])), sphere)
-        sphere = lambda s: let(_conformal(s["x"], s["y"]), lambda chi: _point(*_degrees(s["x"], s["y"], chi, epsg)))
-        return let(_point(*_scaled(p["x"], p["y"], epsg)), flat)
+    Each step is a column of its own: Spark compiles columns, and walks through lambdas node by node.
+    """
+    c = F.col
+    meet = {f"_{x}_{y}": (f"_{x}_scaled", f"_{y}_scaled") for x in xs for y in ys}
+    right = {f"_{x}_scaled": _scaled(c(x), c(ys[0]), epsg)[1] for x in xs}
+    out = frame.withColumns(right | {f"_{y}_scaled": _scaled(c(xs[0]), c(y), epsg)[0] for y in ys})
 
-    return F.transform(ring, place)
+    def step(out: DataFrame, made: dict[str, tuple[Column, Column]], first: str, second: str) -> DataFrame:
+        return out.withColumns({k + end: v for k, pair in made.items() for end, v in zip((first, second), pair, strict=True)})
+
+    out = step(out, {k: _unseries(c(y), c(x)) for k, (x, y) in meet.items()}, "_xi", "_eta")
+    out = out.withColumns({f"{k}_chi": _conformal(c(f"{k}_xi"), c(f"{k}_eta")) for k in meet})
+    out = step(out, {k: _degrees(c(f"{k}_xi"), c(f"{k}_eta"), c(f"{k}_chi"), epsg) for k in meet}, "_lon", "_lat")
+    return out.drop(*[f"_{k}_scaled" for k in (*xs, *ys)], *[k + end for k in meet for end in ("_xi", "_eta", "_chi")])
 
 
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """Centre of a ring's area; of its corners, if it has no area."""
-    cross = lambda e: e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]
-    total = lambda f: F.aggregate(F.transform(_edges(ring), f), F.lit(0.0), lambda a, v: a + v)
-    twice = F.nullif(total(cross), F.lit(0.0))
-    mean = lambda k: F.aggregate(F.transform(ring, lambda p: p[k]), F.lit(0.0), lambda a, v: a + v) / F.size(ring)
-    moment = lambda k: total(lambda e: (e["p"][k] + e["q"][k]) * cross(e))
-    return tuple(F.coalesce(moment(k) / (3 * twice), mean(k)) for k in ("x", "y"))
+    centre = ring_middle(ring)
+    return centre["x"], centre["y"]
 
 
 def ring_middle(ring: Column) -> Column:
-    """`ring_centroid` as a struct, the ring computed once."""
-    return let(ring, lambda r: _point(*ring_centroid(r)))
+    """`ring_centroid` as a struct: the ring, and each of its sides, is computed once."""
+    none = F.struct(*[F.lit(0.0).alias(k) for k in ("twice", "x", "y")])
+
+    def add(sums: Column, e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        moved = lambda cross: F.struct((sums["twice"] + cross).alias("twice"), *[(sums[k] + (p[k] + q[k]) * cross).alias(k) for k in ("x", "y")])
+        return let(p["x"] * q["y"] - q["x"] * p["y"], moved)
+
+    def middle(r: Column) -> Column:
+        mean = lambda k: F.aggregate(F.transform(r, lambda p: p[k]), F.lit(0.0), lambda a, v: a + v) / F.size(r)
+        return let(F.aggregate(_edges(r), none, add), lambda m: _point(*[F.coalesce(m[k] / (3 * F.nullif(m["twice"], F.lit(0.0))), mean(k)) for k in ("x", "y")]))
+
+    return let(ring, middle)
 
 
 def ring_problem(ring: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,19 @@ SCHEMA_VERSION = "1.0.0"
 
 
 def six_digits(x: Column) -> Column:
-    """A number's text with six significant digits, without trailing zeros, as C's %g writes it."""
-    return let(F.struct(x.cast("double").alias("x"), F.format_string("%.5e", x.cast("double")).alias("short")), lambda s: _six_digits(s["x"], s["short"]))
+    """A number's text with six significant digits, without trailing zeros, as C's %g writes it.
+
+    Whole numbers of six digits and zeros, as a lattice's edges mostly are, are cut from their digits; any other is formatted.
+    """
+    x = x.cast("double")
+    size = F.abs(x)
+    digits, sign = F.floor(size).cast("string"), F.when(x < 0, "-").otherwise("")
+    more = F.length(digits) - 6
+    exact = (x == F.floor(x)) & (size < 1e15) & ((more <= 0) | (size % F.pow(F.lit(10.0), more) == 0))
+    mantissa = F.regexp_replace(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5)), r"\.?0*$", "")
+    power = F.lpad((more + 5).cast("string"), 2, "0")
+    other = let(F.struct(x.alias("x"), F.format_string("%.5e", x).alias("short")), lambda s: _six_digits(s["x"], s["short"]))
+    return F.when(exact & (more <= 0), F.concat(sign, digits)).when(exact, F.concat(sign, mantissa, F.lit("e+"), power)).otherwise(other)
 
 
 def _six_digits(x: Column, short: Column) -> Column:
@@ -26,9 +39,9 @@ def _six_digits(x: Column, short: Column) -> Column:
     return F.when(x == 0, "0").when((power < -4) | (power >= 6), F.concat(mantissa, exponent)).otherwise(fixed)
 
 
-def signature(epsg: Column, width: Column, height: Column, transform: Column) -> Column:
+def signature(epsg: Column, width: Column, height: Column, transform: Sequence[Column]) -> Column:
     """Two grids are one if their signatures are."""
-    numbers = F.array_join(F.transform(transform, six_digits), ",")
+    numbers = F.array_join(F.array(*map(six_digits, transform)), ",")
     return F.concat(F.lit("EPSG:"), epsg.cast("string"), F.lit(":"), width.cast("string"), F.lit("x"), height.cast("string"), F.lit(":"), numbers)
 
 
@@ -38,7 +51,8 @@ def canonical_grids(areas: DataFrame, ring: str = "ring", resolution: float = 10
 
     The ring is projected to its centre's UTM zone and its bounds are moved outward to the lattice through the
     zone's origin, so that areas of one zone share their cells. All of it is arithmetic within a row, much of it, so
-    the areas are spread over the tasks first.
+    the areas are spread over the tasks first. What isn't done for each corner of the ring stays out of lambdas, as Spark
+    compiles columns and walks through lambdas node by node.
     """
     centre = let(projection.ring_middle(F.col(ring)), lambda c: utm_epsg(c["x"], c["y"]))
     snapped = lambda v, snap: (snap(v / resolution) * resolution).cast("double")
@@ -48,20 +62,18 @@ def canonical_grids(areas: DataFrame, ring: str = "ring", resolution: float = 10
         edges = {"left": snapped(at("x", F.array_min), F.floor), "bottom": snapped(at("y", F.array_min), F.floor), "right": snapped(at("x", F.array_max), F.ceil), "top": snapped(at("y", F.array_max), F.ceil)}
         return F.struct(*[v.alias(k) for k, v in edges.items()])
 
-    def corners(b: Column) -> Column:
-        return F.array(*[F.struct(b[x].alias("x"), b[y].alias("y")) for x in ("left", "right") for y in ("bottom", "top")])
-
     out = spread(areas).withColumn("epsg", centre).withColumn("_box", let(projection.ring_utm(F.col(ring), F.col("epsg")), bounds))
-    out = out.withColumn("_corners", projection.ring_lonlat(let(F.col("_box"), corners), F.col("epsg")))
     cells = lambda a, b: F.round((F.col(b) - F.col(a)) / resolution).cast("int")
     step = F.lit(float(resolution))
     out = out.withColumns({k: F.col("_box")[k] for k in ("left", "bottom", "right", "top")})
-    out = out.withColumns({"resolution": step, "width": cells("left", "right"), "height": cells("bottom", "top"), "transform": F.array(step, F.lit(0.0), F.col("left"), F.lit(0.0), -step, F.col("top"))})
-    along = lambda c, k: F.transform(c, lambda p: p[k])
-    span = lambda c: F.array(*[pick(along(c, k)) for pick in (F.array_min, F.array_max) for k in "xy"])
-    made = {"bounds_geographic": let(F.col("_corners"), span), "signature": signature(F.col("epsg"), F.col("width"), F.col("height"), F.col("transform"))}
+    affine = [step, F.lit(0.0), F.col("left"), F.lit(0.0), -step, F.col("top")]
+    out = out.withColumns({"resolution": step, "width": cells("left", "right"), "height": cells("bottom", "top"), "transform": F.array(*affine)})
+    out = projection.with_lonlat(out, ("left", "right"), ("bottom", "top"), F.col("epsg"))
+    corners = [f"_{x}_{y}" for x in ("left", "right") for y in ("bottom", "top")]
+    span = [pick(*[F.col(f"{c}_{k}") for c in corners]) for pick in (F.least, F.greatest) for k in ("lon", "lat")]
+    made = {"bounds_geographic": F.array(*span), "signature": signature(F.col("epsg"), F.col("width"), F.col("height"), affine)}
     made["problem"] = F.coalesce(projection.ring_problem(F.col(ring)), F.when((F.col("width") < 1) | (F.col("height") < 1), "below_one_cell"))
-    return out.withColumns(made).drop("_corners", "_box")
+    return out.withColumns(made).drop("_box", *[f"{c}_{k}" for c in corners for k in ("lon", "lat")])
 
 
 def grid_document(ring: Column) -> Column:
