@@ -1,19 +1,16 @@
 """Phrase collocation mining: tries of Apriori-safe candidates, advanced over all text positions at once.
 
-1. Words are counted by language. A phrase occurs no oftener than any part of it, so only words, and then pairs, that
-   occur often enough can be parts of a candidate. Pairs of such words, and triples of two such pairs, are
-   counted by 64-bit hash, which undercounts nothing; a phrase whose hash was met too seldom is no candidate.
-   Levels hand on a bitmap of the hashes that are left, 16 bits for each up to 2**27 bits: beyond,
-   more candidates pass than need to, but none is lost.
-2. A candidate is handed on by the first of `LOTS` lots of documents that has it, so that rows grow with candidates, not with
-   candidates and tasks. The distinct candidates are dealt, by that hash of the whole phrase, into shards of some `SHARD` phrases, however
-   many share a word. A task builds a shard's double-array trie: language, first, second, third word, each word in two
-   digits.
-3. As many shards as have `WAVE` phrases are broadcast together, compressed, as one array: a position's own hashes name the
-   shards of its pair and of its triple. Tasks turn words into codes and advance the states of all
-   positions of a batch by numpy, a level at a time: next = base[state] + code, where check[next] is the state.
-   Accepting states are counted by `bincount`; the counts of tasks, in blocks of a shard, are summed. A wave takes one
-   pass over the texts, so passes grow with the candidates, memory doesn't.
+1. Words are counted by language. Each (lang, word) has a 64-bit key; no two of the table have the same, or another salt is taken,
+   so that keys stand for words exactly. A phrase occurs no oftener than any part of it, so only words, and then pairs, that
+   occur often enough can be parts of a candidate. Levels hand on a bitmap of the keys that are left, 16 bits for each up to
+   2**27 bits: beyond, more positions pass than need to, but none is lost.
+2. A level takes one pass over the texts, for pairs, then for triples. Tasks hand on the positions whose parts may all occur often
+   enough, as the keys of their words, equal ones of a task added up, dealt by a hash of the phrase into shards of some
+   `SHARD` words of text, however many share a word.
+3. A shard's phrases whose hash is met often enough are its candidates. Its task builds their double-array trie: first,
+   second, third word, each word in two digits, and advances the states of all its positions by numpy, a
+   digit at a time: next = base[state] + code, where check[next] is the state. Accepting states are counted by `bincount`.
+   No trie leaves its task: neither passes over the texts nor memory grow with the candidates, only the number of shards does.
 4. Scores, the loss of candidates that stand inside longer ones, and ranks are joins and windows over the exact counts.
 
 Defined cases: null text is empty; null language is `und`; an empty piece, or one of white space, has no word;
@@ -24,24 +21,26 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdara.llm.common import SMALL_BATCHES, materialize, scratch, settings, tidy
-from verdara.llm.jaccard_join import _C1, BLOCK, _blocks, _gathered, _mix
+from verdara.llm.jaccard_join import _C1, _blocks, _gathered, _mix
 from verdara.session import ship
 
-#: Phrases of a trie, on average, of tries that are broadcast together, and hashes or words that a task holds before it hands them on.
-SHARD, WAVE, HELD = 100_000, 2_000_000, 2_000_000
-#: Bits of a hash in a bitmap, and lots of documents, by a hash of their text.
-PROBES, LOTS = 5, 64
-STOP = b"\xff"  # in no UTF-8 text
-_TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + STOP * 10)
+#: Words of text of a shard, on average, and words or positions that a task holds before it hands them on.
+SHARD, HELD = 1_000_000, 2_000_000
+#: Bits of a hash in a bitmap, and bytes that a task hands on at once.
+PROBES, AT_ONCE = 5, 4_000_000
+SPACE, STOP = 32, 10
+_TABLE = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + b" " + b"\n" * 10)
+KEYS = "k1", "k2", "k3"
 
 
 @dataclass(frozen=True)
@@ -54,54 +53,65 @@ class Rule:
     top: int = 2000
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """The words of a text, A-Z lower-cased, with STOP between pieces and at the end."""
-    return [*(text or b"").translate(_TABLE).replace(STOP, b" \xff ").split(), STOP]
-
-
-def _lots(batch: pa.RecordBatch, lengths: list[int]) -> np.ndarray:
-    """The lot of the document that each word of a batch of (lang, text) is in, whatever task reads it."""
-    from xxhash import xxh3_64_intdigest as digest
-
-    own = np.fromiter((digest(t or b"") % LOTS for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-    return np.repeat(own, lengths)
-
-
-def _of_lot(h: np.ndarray, lot: np.ndarray) -> np.ndarray:
-    """Hashes as one lot of documents has them; zero stays zero."""
-    with np.errstate(over="ignore"):
-        return np.where(h == 0, h, _mix(h + (lot + np.uint64(1)) * _C1))
-
-
-def _read(batch: pa.RecordBatch, lengths: list[int] | None = None) -> tuple[list[bytes], np.ndarray, list[str]]:
-    """All words of a batch of (lang, text), the number of its language for each, and the languages; `lengths` gets those of the texts."""
-    words: list[bytes] = []
-    lengths = [] if lengths is None else lengths
-    for text in batch.column(1).to_pylist():
-        found = tokens(text)
-        lengths.append(len(found))
-        words += found
+def read(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+    """For each language of a batch of (lang, text): its name, its distinct words, A-Z lower-cased, the number among these of each
+    word of its texts, and whether a piece ends after it."""
     langs = batch.column(0).dictionary_encode()
-    return words, np.repeat(langs.indices.to_numpy(), lengths), langs.dictionary.to_pylist()
-
-
-def _hashes(words: list[bytes], lang: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words, pairs and triples that begin at each place; what holds a STOP has the hash zero."""
-    from xxhash import xxh3_64_intdigest as digest
-
-    each = np.fromiter(map(digest, words), np.uint64, len(words))
-    own = np.fromiter((digest(x.encode(), 1) for x in langs), np.uint64, len(langs))
-    stop = each == np.uint64(digest(STOP))
+    order = np.argsort(langs.indices.to_numpy(), kind="stable")
+    lang = langs.indices.to_numpy()[order]
+    texts = batch.column(1).take(pa.array(order)).fill_null(b"")
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or bounds[0] == bounds[-1]:
+        return
+    data = texts.buffers()[2].slice(int(bounds[0]), int(bounds[-1] - bounds[0])).to_pybytes()
+    low = np.frombuffer(data.translate(_TABLE), np.uint8)
+    bounds = bounds - bounds[0]
+    inner = bounds[(bounds > 0) & (bounds < len(low))]
+    stop = low == STOP
+    word = ~(stop | (low == SPACE))
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    first[inner], last[inner - 1] = word[inner], word[inner - 1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return
+    ends = np.concatenate(([0], np.cumsum(np.flatnonzero(last) + 1 - starts))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low[word])])
+    piece = np.cumsum(stop, dtype=np.int32)[starts]
+    end = np.concatenate((piece[1:] != piece[:-1], [True]))
+    of_text = np.searchsorted(starts, bounds)  # its first word
+    end[of_text[of_text > 0] - 1] = True
+    cuts = np.flatnonzero(np.concatenate(([True], lang[1:] != lang[:-1], [True])))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        low_at, high_at = int(of_text[a]), int(of_text[b])
+        if low_at < high_at:
+            own = words.slice(low_at, high_at - low_at).dictionary_encode()
+            yield langs.dictionary[int(lang[a])].as_py(), own.dictionary, own.indices.to_numpy(), end[low_at:high_at]
+
+
+def key(salt: str) -> Column:
+    """The key of a row's (lang, word)."""
+    return F.xxhash64(F.lit(salt), "word").bitwiseXOR(F.xxhash64(F.lit(f"{salt} lang"), "lang"))
+
+
+def keys_of(lang: str, words: pa.Array, salt: str) -> np.ndarray:
+    """The same of words of one language."""
+    from xxhash import xxh64_intdigest as digest
+
+    seed, of_lang = digest(salt.encode(), 42), digest(lang.encode(), digest(f"{salt} lang".encode(), 42))
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    data = words.buffers()[2].to_pybytes()
+    return np.fromiter((digest(data[a:b], seed) for a, b in pairwise(bounds)), np.uint64, len(words)) ^ np.uint64(of_lang)
+
+
+def phrase_hash(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of phrases, by the keys of their first words, their second and so on; never zero."""
+    h = words[0]
     with np.errstate(over="ignore"):
-        one = _mix(each + own[lang] * _C1)
-        pad = np.zeros(2, np.uint64)
-        two = _mix(one * _C1 + np.concatenate((each[1:], pad[:1]))[: len(each)])
-        three = _mix(two * _C1 + np.concatenate((each[2:], pad))[: len(each)])
-    no_two = stop | np.concatenate((stop[1:], [True]))[: len(stop)]
-    no_three = no_two | np.concatenate((no_two[1:], [True]))[: len(stop)]
-    for h, no in ((one, stop), (two, no_two), (three, no_three)):
-        h[no] = 0
-    return one, two, three
+        for k in words[1:]:
+            h = np.maximum(_mix(h * _C1 + k), np.uint64(1))
+    return h
 
 
 def _probes(h: np.ndarray, mask: int):
@@ -129,123 +139,98 @@ def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bitmap(hashes: DataFrame, by_lot: bool = False) -> np.ndarray:
-    """Some bits for each of the `h`; only ever lets too much pass, one in 700 while there are 16 bits a hash."""
-    bits = min(27, max(18, math.ceil(math.log2(16 * max(hashes.count(), 1)))))
+def _bitmap(phrases: DataFrame) -> np.ndarray:
+    """Some bits for each phrase of the keys k1, k2 and so on; only ever lets too much pass, one in 700 while there are 16 bits a phrase."""
+    bits = min(27, max(18, math.ceil(math.log2(16 * max(phrases.count(), 1)))))
 
     def run(batches):
         seen = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            h = _of_lot(h, batch.column(1).to_numpy().astype(np.uint64)) if by_lot else h
+            h = phrase_hash([c.to_numpy().view(np.uint64) for c in batch.columns])
             for at in _probes(h, (1 << bits) - 1):
                 np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
         yield _blocks(seen)
 
-    rows = hashes.select("h", "lot") if by_lot else hashes.select("h")
+    rows = phrases.select([k for k in KEYS if k in phrases.columns])
     return _gathered(rows.mapInArrow(tidy(run), "block int, values binary"), np.zeros(1 << bits - 3, np.uint8), np.bitwise_or)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
     """(lang, word, f) of every word; docs: (lang, text as binary)."""
-    from collections import Counter
 
-    def out(counts: dict[str, Counter]) -> pa.RecordBatch:
-        lang = [x for x, c in counts.items() for _ in range(len(c))]
-        words = [w for c in counts.values() for w in c]
-        f = [n for c in counts.values() for n in c.values()]
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], ["lang", "word", "f"])
+    def out(parts: dict[str, list[pa.Table]]) -> Iterator[pa.RecordBatch]:
+        for lang, own in parts.items():
+            total = pa.concat_tables(own).group_by("word").aggregate([("f", "sum")]).combine_chunks()
+            for rows in total.to_batches(max_chunksize=AT_ONCE // 20):
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, rows.num_rows), rows.column("word").cast(pa.string()), rows.column("f_sum")], ["lang", "word", "f"])
 
     def run(batches):
-        counts: dict[str, Counter] = {}
+        parts: dict[str, list[pa.Table]] = {}
+        n = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = counts.setdefault(lang, Counter())
-                own.update(tokens(text))
-                del own[STOP]
-            if sum(map(len, counts.values())) > HELD:
-                yield out(counts)
-                counts = {}
-        yield out(counts)
+            for lang, words, codes, _ in read(batch):
+                parts.setdefault(lang, []).append(pa.table({"word": words, "f": np.bincount(codes, minlength=len(words))}))
+                n += len(words)
+            if n > held:
+                yield from out(parts)
+                parts, n = {}, 0
+        yield from out(parts)
 
     return docs.mapInArrow(tidy(run), "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def word_hashes(words: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            one = _hashes(batch.column(1).cast(pa.binary()).to_pylist(), langs.indices.to_numpy(), langs.dictionary.to_pylist())[0]
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64))], ["h"])
-
-    return words.select("lang", "word").mapInArrow(tidy(run), "h long")
+def positions(docs: DataFrame, size: int, singles, pairs, salt: str, shards: int, held: int = HELD) -> DataFrame:
+    """(shard, keys, counts): phrases of `size` words all of whose parts may occur often enough, and how often tasks met them.
 
+    A row has all that a task held of a shard: the keys of first words, then of second ones and so on, and the counts.
+    """
 
-def often(docs: DataFrame, size: int, bits, least: int) -> DataFrame:
-    """(h, lot): hashes of phrases of `size` words that are met `least` times or more where all parts one word shorter may
-    be, and the first lot of documents that has one."""
+    def out(words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = phrase_hash(words)
+        order = np.argsort(h)
+        h, words = h[order], [k[order] for k in words]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        for k in words:
+            new[1:] |= k[1:] != k[:-1]
+        starts = np.flatnonzero(new)
+        c = np.diff(np.concatenate((starts, [len(h)])))
+        words = [k[starts] for k in words]
+        shard = ((h[starts] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
+        numbers, keys, counts, n = [], [], [], 0
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            numbers.append(int(shard[a]))
+            keys.append(b"".join(k[a:b].tobytes() for k in words))
+            counts.append(c[a:b].astype(np.min_scalar_type(c[a:b].max())).tobytes())
+            n += len(keys[-1])
+            if n > AT_ONCE or b == cuts[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["shard", "keys", "counts"])
+                numbers, keys, counts, n = [], [], [], 0
 
     def run(batches):
-        held: list[np.ndarray] = []
-        lots: list[np.ndarray] = []
+        met: list[list[np.ndarray]] = [[] for _ in range(size)]
         n = 0
-
-        def out():
-            h, lot = np.concatenate(held), np.concatenate(lots)
-            order = np.argsort(h)
-            h, lot = h[order], lot[order]
-            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            c = np.diff(np.concatenate((starts, [len(h)])))
-            return pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(c), pa.array(np.minimum.reduceat(lot, starts))], ["h", "c", "lot"])
-
-        for batch in batches:
-            lengths: list[int] = []
-            h = _hashes(*_read(batch, lengths))
-            part = _set(bits.value, h[size - 2])
-            both = part & np.concatenate((part[1:], [False]))[: len(part)] & (h[size - 1] != 0)
-            held.append(h[size - 1][both])
-            lots.append(_lots(batch, lengths)[both].astype(np.int8))
-            n += len(held[-1])
-            if n > HELD:
-                yield out()
-                held, lots, n = [], [], 0
-        if n:
-            yield out()
-
-    met = docs.mapInArrow(tidy(run), "h long, c long, lot byte").groupBy("h").agg(F.sum("c").alias("c"), F.min("lot").alias("lot"))
-    return met.where(F.col("c") >= least).select("h", "lot")
-
-
-def candidates(docs: DataFrame, pairs, triples, shards: int) -> DataFrame:
-    """(shard, lang, w1, w2, w3), the last null in pairs: all that may occur often enough, once each.
-
-    pairs and triples are bitmaps by lot: only the first lot that has a phrase hands it on, not every task that meets it.
-    """
-
-    def run(batches):
-        seen = np.empty(0, np.uint64)  # hashes that this task has handed on
         for batch in batches:
-            lengths: list[int] = []
-            found, lang, langs = _read(batch, lengths)
-            _, two, three = _hashes(found, lang, langs)
-            lot = _lots(batch, lengths)
-            pair, triple = _set(pairs.value, _of_lot(two, lot)), _set(triples.value, _of_lot(three, lot))
-            cols: list[list] = [[], [], [], [], []]
-            fresh = []
-            for size, h, on in ((2, two, pair), (3, three, triple)):
+            for lang, words, codes, end in read(batch):
+                own = keys_of(lang, words, salt)
+                own[~_set(singles.value, own)] = 0
+                own = own[codes]
+                on = (own[:-1] != 0) & (own[1:] != 0) & ~end[:-1]
+                if size == 3:
+                    at = np.flatnonzero(on)
+                    on[at] = _set(pairs.value, phrase_hash([own[at], own[at + 1]]))
+                    on = on[:-1] & on[1:]
                 at = np.flatnonzero(on)
-                new, first = np.unique(h[at], return_index=True)
-                keep = ~np.isin(new, seen, assume_unique=True)
-                fresh.append(new[keep])
-                at = at[first[keep]].tolist()
-                cols[0] += (fresh[-1] % np.uint64(shards)).tolist()
-                cols[1] += [langs[k] for k in lang[at].tolist()]
-                for k in range(3):
-                    cols[k + 2] += [found[i + k] for i in at] if k < size else [None] * len(at)
-            seen = np.concatenate((seen if len(seen) < 4 * HELD else seen[:0], *fresh))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.binary()).cast(pa.string()) for c in cols[2:])], ["shard", "lang", "w1", "w2", "w3"])
+                for k in range(size):
+                    met[k].append(own[at + k])
+                n += len(at)
+            if n > held:
+                yield from out([np.concatenate(k) for k in met])
+                met, n = [[] for _ in range(size)], 0
+        if n:
+            yield from out([np.concatenate(k) for k in met])
 
-    return docs.mapInArrow(tidy(run), "shard int, lang string, w1 string, w2 string, w3 string").distinct()
+    return docs.mapInArrow(tidy(run), "shard int, keys binary, counts binary")
 
 
 def radix(words: int) -> int:
@@ -348,192 +333,108 @@ def advance(base: np.ndarray, check: np.ndarray, state: np.ndarray, code: np.nda
     return to[on], on
 
 
-_PHRASE = [("shard", pa.int32()), ("number", pa.int64()), *[(c, pa.string()) for c in ("lang", "w1", "w2", "w3")]]
-
-
-def _built(phrases: DataFrame) -> DataFrame:
-    """Rows (shard, number, lang, w1, w2, w3) and for each shard one more, with its number of phrases and its trie."""
-    schema = pa.schema([*_PHRASE, ("trie", pa.binary())])
+def counted(h: np.ndarray, words: np.ndarray, c: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases that occur `least` times or more, and how often; words: a row of keys for each word of the phrases, which may
+    recur, h: their hashes, c: how often each was met."""
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    starts = np.flatnonzero(first)
+    often = np.repeat(np.add.reduceat(c, starts) >= least, np.diff(np.concatenate((starts, [len(h)]))))
+    words, c, first = words[:, order[often]], c[often], first[often]
+    if not len(c):
+        return words, c
+    lead = words[:, first]
+    other = (words != lead[:, np.cumsum(first) - 1]).any(axis=0)  # another phrase of the same hash
+    phrases = np.concatenate((lead, np.unique(words[:, other], axis=1)), axis=1) if other.any() else lead
+    known = np.unique(phrases)
+    base = radix(len(known))
+    trie = Trie(np.stack([d for k in phrases for d in digits(np.searchsorted(known, k) + 1, base)], axis=1))
+    state, at = np.zeros(len(c), np.int64), np.arange(len(c))
+    for k in words:
+        for code in digits(np.searchsorted(known, k[at]) + 1, base):
+            state, on = advance(trie.base, trie.check, state, code)
+            at = at[on]
+    f = np.bincount(trie.accept[state], weights=c[at], minlength=phrases.shape[1]).astype(np.int64)
+    return phrases[:, f >= least], f[f >= least]
+
+
+def phrases_of(met: DataFrame, size: int, least: int) -> DataFrame:
+    """(k1, k2 and so on, f): the phrases of `positions` that occur `least` times or more."""
+    names = KEYS[:size]
 
     def run(table: pa.Table) -> pa.Table:
-        words = pa.concat_arrays([table.column(k).combine_chunks() for k in range(2, 5)]).dictionary_encode()
-        langs = table.column(1).combine_chunks().dictionary_encode()
-        codes = words.indices.fill_null(-1).to_numpy().astype(np.int64).reshape(3, -1) + 1
-        base = radix(len(words.dictionary))
-        trie = Trie(np.stack([langs.indices.to_numpy().astype(np.int64) + 1, *(d for c in codes for d in digits(c, base))], axis=1))
-        n = table.num_rows
-        parts = [trie.base.tobytes(), trie.check.tobytes(), trie.accept.tobytes(), *(STOP.join(x.encode() for x in names.dictionary.to_pylist()) for names in (words, langs))]
-        blob = pa.compress(b"".join(len(x).to_bytes(8, "little") + x for x in parts), codec="zstd", asbytes=True)
-        size = sum(map(len, parts)) + 8 * len(parts)
-        rows = pa.table([table.column(0), pa.array(np.arange(n)), *(table.column(k) for k in range(1, 5)), pa.nulls(n, pa.binary())], schema=schema)
-        own = pa.table([[table.column(0)[0].as_py()], [n], [None], [None], [None], [None], [size.to_bytes(8, "little") + blob]], schema=schema)
-        return pa.concat_tables([rows, own])
-
-    return phrases.groupBy("shard").applyInArrow(run, "shard int, number long, lang string, w1 string, w2 string, w3 string, trie binary")
-
-
-def _unpacked(trie: bytes) -> list[bytes]:
-    whole = pa.decompress(trie[8:], int.from_bytes(trie[:8], "little"), codec="zstd", asbytes=True)
-    out, at = [], 0
-    while at < len(whole):
-        size = int.from_bytes(whole[at : at + 8], "little")
-        out.append(whole[at + 8 : at + 8 + size])
-        at += 8 + size
-    return out
+        keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
+        words = np.concatenate([np.frombuffer(k, np.uint64).reshape(size, -1) for k in keys], axis=1)
+        c = np.concatenate([np.frombuffer(v, f"<u{len(v) * 8 * size // len(k)}") for k, v in zip(keys, counts, strict=True)], dtype=np.int64)
+        words, f = counted(phrase_hash(list(words)), words, c, least)
+        return pa.table([*(pa.array(k.view(np.int64)) for k in words), pa.array(f)], [*names, "f"])
 
+    return met.groupBy("shard").applyInArrow(run, ", ".join(f"{k} long" for k in (*names, "f")))
 
-class Forest:
-    """Tries of several shards in one array, and the codes that each has for words and languages."""
-
-    def __init__(self, tries: list[tuple[int, int, bytes]], shards: int) -> None:
-        self.slot = np.full(shards, -1, np.int64)
-        self.slot[[s for s, _, _ in tries]] = np.arange(len(tries))
-        self.code: dict[bytes, int] = {}
-        self.lang: dict[str, int] = {}
-        arrays, word_codes, lang_codes = [], [], []
-        self.root, self.radix, self.starts = [], [], [0]
-        end = 0
-        for _, n, blob in tries:
-            base, check, accept, words, langs = _unpacked(blob)
-            base, check, accept = (np.frombuffer(a, np.int32) for a in (base, check, accept))
-            words, langs = words.split(STOP), [x.decode() for x in langs.split(STOP)]
-            word_codes.append([self.code.setdefault(w, len(self.code) + 1) for w in words])
-            lang_codes.append([self.lang.setdefault(x, len(self.lang) + 1) for x in langs])
-            arrays.append((base + end, np.where(check < 0, -1, check + end), np.where(accept < 0, -1, accept + self.starts[-1])))
-            self.root.append(end)
-            self.radix.append(radix(len(words)))
-            self.starts.append(self.starts[-1] + n)
-            end += len(base)
-        self.base, self.check, self.accept = (np.concatenate(a).astype(np.int32) for a in zip(*arrays, strict=True))
-        self.root, self.radix = np.array(self.root), np.array(self.radix)
-        self.words = np.zeros((len(tries), len(self.code) + 1), np.int32)
-        self.langs = np.zeros((len(tries), len(self.lang) + 1), np.int32)
-        for table, codes in ((self.words, word_codes), (self.langs, lang_codes)):
-            for k, own in enumerate(codes):
-                table[k, own] = np.arange(1, len(own) + 1)
-
-    def count(self, words: list[bytes], lang: np.ndarray, langs: list[str], pairs: np.ndarray, triples: np.ndarray, counts: np.ndarray) -> None:
-        """Add the phrases that begin at each place of a batch, of those places whose hashes are in the bitmaps."""
-        _, two, three = _hashes(words, lang, langs)
-        two[~_set(pairs, two)] = 0
-        three[(two == 0) | ~_set(triples, three)] = 0
-        ids = np.fromiter(map(self.code.get, words, repeat(0)), np.int64, len(words))
-        of_lang = np.fromiter((self.lang.get(x, 0) for x in langs), np.int64, len(langs))[lang]
-        for size, h in ((2, two), (3, three)):
-            at = np.flatnonzero(h)
-            own = self.slot[(h[at] % np.uint64(len(self.slot))).astype(np.int64)]
-            at, own = at[own >= 0], own[own >= 0]
-            state, on = advance(self.base, self.check, self.root[own], self.langs[own, of_lang[at]])
-            at, own = at[on], own[on]
-            for level in range(size):
-                high, low = digits(self.words[own, ids[at + level]].astype(np.int64), self.radix[own])
-                state, on = advance(self.base, self.check, state, high)
-                at, own = at[on], own[on]
-                state, on = advance(self.base, self.check, state, low[on])
-                at, own = at[on], own[on]
-            done = self.accept[state]
-            counts += np.bincount(done[done >= 0], minlength=len(counts))
-
-
-def occurrences(docs: DataFrame, tries: list[tuple[int, int, bytes]], pairs, triples, shards: int) -> DataFrame:
-    """(shard, number, f): how often each phrase of these shards (shard, number of phrases, trie) occurs."""
-    held = docs.sparkSession.sparkContext.broadcast(tries)
-    numbers = [s for s, _, _ in tries]
 
-    def run(batches):
-        forest = Forest(held.value, shards)
-        counts = np.zeros(forest.starts[-1], np.int64)
-        for batch in batches:
-            forest.count(*_read(batch), pairs.value, triples.value, counts)
-        for k, s in enumerate(numbers):
-            own = counts[forest.starts[k] : forest.starts[k + 1]]
-            found = _blocks(np.concatenate((own, np.zeros(-len(own) % BLOCK, np.int64))))
-            yield pa.RecordBatch.from_arrays([pa.array([s] * found.num_rows, pa.int32()), *found.columns], ["shard", "block", "values"])
-
-    def add(key, table):
-        total = np.zeros(BLOCK, np.int64)
-        for value in table.column("values").to_pylist():
-            total += np.frombuffer(value, f"<u{len(value) // BLOCK}")
-        at = np.flatnonzero(total)
-        return pa.table({"shard": pa.array([key[0].as_py()] * len(at), pa.int32()), "number": key[1].as_py() * BLOCK + at, "f": total[at]})
-
-    return docs.mapInArrow(tidy(run), "shard int, block int, values binary").groupBy("shard", "block").applyInArrow(add, "shard int, number long, f long")
-
-
-def _waves(sizes: list[tuple[int, int]], wave: int) -> list[list[int]]:
-    """Shards by turns of `wave` phrases at most, or of one shard."""
-    out, held = [], 0
-    for shard, n in sorted(sizes):
-        if not out or held + n > wave:
-            out.append([])
-            held = 0
-        out[-1].append(shard)
-        held += n
-    return out
+def salt_of(words: DataFrame, salts: Iterator[str]) -> tuple[str, int]:
+    """The first salt by which all words have keys of their own, none of them zero; how many words the texts have."""
+    for salt in salts:
+        of_key = words.groupBy(key(salt).alias("key")).agg(F.count("*").alias("c"), F.sum("f").alias("f"))
+        most, zero, n = of_key.agg(F.max("c"), F.max((F.col("key") == 0).cast("int")), F.sum("f")).first()
+        if (most or 1) == 1 and not zero:
+            return salt, n or 0
 
 
-def phrase_counts(docs: DataFrame, rule: Rule, write, shard: int = SHARD, wave: int = WAVE) -> tuple[DataFrame, DataFrame]:
-    """(lang, w1, w2, w3, f) of all words and phrases that occur `least` times or more; (lang, n) of all words."""
+def phrase_counts(docs: DataFrame, rule: Rule, write, shard: int = SHARD, held: int = HELD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All words (lang, word, f, key), pairs (k1, k2, f) and triples (k1, k2, k3, f) that occur `least` times or more; (lang, n) of all words."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    words = write(word_counts(docs), "collocation-words")
-    frequent = words.where(F.col("f") >= rule.least)
+    words = write(word_counts(docs, held), "collocation-words")
+    salt, n = salt_of(words, map(str, count()))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // shard))
+    names = write(words.where(F.col("f") >= rule.least).withColumn("key", key(salt)), "collocation-keys")
     with settings(spark, **SMALL_BATCHES):
-        singles = share(_bitmap(write(word_hashes(frequent), "collocation-singles")))
-        two = write(often(docs, 2, singles, rule.least), "collocation-pairs")
+        singles = share(_bitmap(names.select(F.col("key").alias("k1"))))
+        two = write(phrases_of(positions(docs, 2, singles, None, salt, shards, held), 2, rule.least), "collocation-pairs")
         pairs = share(_bitmap(two))
-        three = write(often(docs, 3, pairs, rule.least), "collocation-triples")
-        triples = share(_bitmap(three))
-    shards = max(1, -(-(two.count() + three.count()) // shard))
-    first = [share(_bitmap(t, by_lot=True)) for t in (two, three)]
-    built = write(_built(write(candidates(docs, *first, shards), "collocation-candidates")), "collocation-tries")
-    none = F.lit(None).cast("string")
-    found = frequent.select("lang", F.col("word").alias("w1"), none.alias("w2"), none.alias("w3"), "f")
-    tries = built.where("trie is not null").select("shard", "number", "trie")
-    rows = built.where("trie is null").drop("trie")
-    for own in _waves([(r["shard"], r["number"]) for r in tries.select("shard", "number").collect()], wave):
-        held = tries.where(F.col("shard").isin(own)).toArrow().to_pylist()  # a wave's size bounds it
-        f = write(occurrences(docs, [(r["shard"], r["number"], r["trie"]) for r in held], pairs, triples, shards), "collocation-counts")
-        found = found.unionByName(rows.join(f.where(F.col("f") >= rule.least), ["shard", "number"]).select("lang", "w1", "w2", "w3", "f"))
-    for b in (singles, pairs, triples, *first):
+        three = write(phrases_of(positions(docs, 3, singles, pairs, salt, shards, held), 3, rule.least), "collocation-triples")
+    for b in (singles, pairs):
         b.unpersist()
-    return found, words.groupBy("lang").agg(F.sum("f").alias("n"))
+    return names, two, three, words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
-def ranked(counts: DataFrame, total: DataFrame, rule: Rule) -> DataFrame:
-    """The phrases of each language by the score of their worst cut."""
+def best(names: DataFrame, two: DataFrame, three: DataFrame, total: DataFrame, rule: Rule, write) -> DataFrame:
+    """The phrases of each language by the score of their worst cut; the tables of `phrase_counts`."""
     c = F.col
-    one = counts.where("w2 is null").select("lang", "w1", "f")
-    two = counts.where("w2 is not null and w3 is null").select("lang", "w1", "w2", "f")
-    three = counts.where("w3 is not null").select("lang", "w1", "w2", "w3", c("f").alias("a"))
-    pair = two.select("lang", "w1", "w2", c("f").alias("a"))
-
-    def part(table: DataFrame, name: str, *words: str) -> DataFrame:
-        return table.select("lang", *[c(f"w{k}").alias(w) for k, w in enumerate(words, 1)], c("f").alias(name))
-
-    cut = pair.join(part(one, "l1", "w1"), ["lang", "w1"]).join(part(one, "r1", "w2"), ["lang", "w2"])
-    cut = cut.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", "l1", "r1", c("l1").alias("l2"), c("r1").alias("r2"))
-    cuts = three.join(part(one, "l1", "w1"), ["lang", "w1"]).join(part(two, "r1", "w2", "w3"), ["lang", "w2", "w3"])
-    cuts = cuts.join(part(two, "l2", "w1", "w2"), ["lang", "w1", "w2"]).join(part(one, "r2", "w3"), ["lang", "w3"])
+    left, right = (names.select(*more, c("key").alias(f"k{k}"), c("word").alias(f"w{k}"), c("f").alias(f)) for k, f, more in ((1, "l", ["lang"]), (2, "r", [])))
+    pair = write(two.withColumnRenamed("f", "a").join(left, "k1").join(right, "k2"), "collocation-scored")
+    first = pair.select("lang", "k1", "k2", "w1", "w2", c("l").alias("l1"), c("a").alias("l2"))
+    second = pair.select(c("k1").alias("k2"), c("k2").alias("k3"), c("w2").alias("w3"), c("a").alias("r1"), c("r").alias("r2"))
+    cuts = three.withColumnRenamed("f", "a").join(first, ["k1", "k2"]).join(second, ["k2", "k3"])
     cuts = cuts.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "l1", "r1", "l2", "r2")
+    # Only a pair can stand inside a longer candidate.
+    longer = three.select("k1", "k2", "f").unionByName(three.select(c("k2").alias("k1"), c("k3").alias("k2"), "f")).groupBy("k1", "k2").agg(F.max("f").alias("longer"))
+    kept = pair.join(longer, ["k1", "k2"], "left").where(F.coalesce(rule.den * c("longer") < rule.num * c("a"), F.lit(True)))
+    cut = kept.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", c("l").alias("l1"), c("r").alias("r1"), c("l").alias("l2"), c("r").alias("r2"))
     score = lambda k: F.expr(f"1000000 * cast(a as decimal(15,0)) * cast(a as decimal(15,0)) div (cast(l{k} as decimal(15,0)) * cast(r{k} as decimal(15,0)))")
     scored = cut.unionByName(cuts).withColumns({"s1": score(1), "s2": score(2)})
     least = c("s1") <= c("s2")
     scored = scored.select("lang", "phrase", "a", F.when(least, c("l1")).otherwise(c("l2")).alias("l"), F.when(least, c("r1")).otherwise(c("r2")).alias("r"), F.least("s1", "s2").alias("score"))
-    inner = F.explode(F.array(F.concat_ws(" ", "w1", "w2"), F.concat_ws(" ", "w2", "w3"))).alias("phrase")
-    longer = three.select("lang", inner, "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = scored.join(longer, ["lang", "phrase"], "left").where(F.coalesce(rule.den * c("longer") < rule.num * c("a"), F.lit(True)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = kept.withColumn("rank", rank).where(c("rank") <= rule.top)
-    return best.join(total, "lang").select("lang", c("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    first = scored.withColumn("rank", rank).where(c("rank") <= rule.top)
+    return first.join(total, "lang").select("lang", c("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def ranked(counts: DataFrame, total: DataFrame, rule: Rule) -> DataFrame:
+    """The same of counts (lang, w1, w2, w3, f) by words, where a word's key is itself with its language."""
+    key = lambda k: F.struct("lang", F.col(f"w{k}").alias("word")).alias(f"k{k}")
+    names = counts.where("w2 is null").select("lang", F.col("w1").alias("word"), "f", key(1).alias("key"))
+    two = counts.where("w2 is not null and w3 is null").select(key(1), key(2), "f")
+    three = counts.where("w3 is not null").select(key(1), key(2), key(3), "f")
+    return best(names, two, three, total, rule, lambda table, _: table)
 
 
-def collocations(docs: DataFrame, rule: Rule = Rule(), shard: int = SHARD, wave: int = WAVE) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n and score of each language's first phrases."""
+def collocations(docs: DataFrame, rule: Rule = Rule(), shard: int = SHARD, wave: int = HELD) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n and score of each language's first phrases; `wave`: positions that a task holds at once."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     with scratch(spark) as write:
-        counts, total = phrase_counts(docs, rule, write, shard, wave)
-        counts = write(counts, "collocation-phrases")
-        return materialize(ranked(counts, total, rule), "collocations")
+        return materialize(best(*phrase_counts(docs, rule, write, shard, wave), rule, write), "collocations")
