@@ -29,6 +29,18 @@ def test_texts_are_passed_three_times_however_many_candidates_there_are(spark):
         assert read.value - before == 3 * len(table)
 
 
+def test_only_first_rows_of_a_task_go_to_the_window(spark, monkeypatch):
+    plans = []
+    write = collocations.materialize
+    monkeypatch.setattr(collocations, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    table = [("en", " ".join(random.Random(k).choices("abcdefgh", k=50))) for k in range(80)]
+    frame = spark.createDataFrame(table, "lang string, text string")
+    for rule in (collocations.Rule(), collocations.Rule(top=3)):
+        assert sorted(rows(collocations.collocations(frame, rule), *COL)) == plain_collocations(table, top=rule.top)
+        partial, dealt = plans[-1].rfind("WindowGroupLimit"), plans[-1].rfind("Exchange hashpartitioning(lang", 0, plans[-1].rfind("WindowGroupLimit"))
+        assert f"row_number(), {rule.top}, Partial" in plans[-1] and -1 < dealt < partial
+
+
 def test_phrases_of_one_hash_are_counted_apart():
     rng = np.random.default_rng(7)
     words = rng.integers(1, 2**64, 40, np.uint64)

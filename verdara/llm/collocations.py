@@ -436,5 +436,6 @@ def collocations(docs: DataFrame, rule: Rule = Rule(), shard: int = SHARD, wave:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    with scratch(spark) as write:
+    # Spark takes the first rows of a window before they are dealt only up to this many; beyond, a language's candidates all meet in one task.
+    with scratch(spark) as write, settings(spark, spark__sql__optimizer__windowGroupLimitThreshold=str(rule.top)):
         return materialize(best(*phrase_counts(docs, rule, write, shard, wave), rule, write), "collocations")
